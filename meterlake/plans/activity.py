@@ -277,8 +277,7 @@ def retention_prunable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _us(prunable(usage(spark, sf_dir), "session_id", "ts", F.expr("timestamp'2024-01-30 12:00:00'")))
 
 
-@query(f"""{priced_sql()}, b AS (SELECT account, project, ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano FROM e GROUP BY ALL)
-SELECT l_orderkey AS orderkey, sum(l_quantity)::DOUBLE AS quantity, count(*) AS items FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY GROUP BY 1""")
+@query("""SELECT l_orderkey AS orderkey, sum(l_quantity)::DOUBLE AS quantity, count(*) AS items FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 30 DAY GROUP BY 1""")
 def quota_block_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that fall in the 30 days of their order: an equality with a range as residual."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_orderdate")
