@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import cache_dollars, hit_percent, nano, stable_sum
@@ -12,7 +12,8 @@ from ..operators import conversations, reports
 from ..sources.tables import table
 from .registry import PRICES_SQL, USAGE_SQL, nano_sql, priced, priced_sql, query, sum_sql, usage
 
-DAY = local_date(F.col("ts"))
+def day() -> Column:
+    return local_date(F.col("ts"))
 
 
 def _blend(t: str, r: str, hi: str) -> str:
@@ -30,7 +31,7 @@ _CACHE = f"{priced_sql()}, c AS (SELECT *, {_SAVED} AS saved, {_WASTED} AS waste
 def _cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = priced(spark, sf_dir).withColumn("d", cache_dollars())
     saved, wasted = F.sum(nano(F.col("d.saved"))), F.sum(nano(F.col("d.wasted")))
-    g = e.groupBy(DAY.alias("day")).agg(F.sum("input_tokens").alias("i"), F.sum("cache_create_tokens").alias("c"), F.sum("cache_read_tokens").alias("r"), saved.alias("saved_nano"), wasted.alias("wasted_nano"))
+    g = e.groupBy(day().alias("day")).agg(F.sum("input_tokens").alias("i"), F.sum("cache_create_tokens").alias("c"), F.sum("cache_read_tokens").alias("r"), saved.alias("saved_nano"), wasted.alias("wasted_nano"))
     return g.select("day", hit_percent(F.col("i"), F.col("c"), F.col("r")).alias("hit"), "saved_nano", "wasted_nano", (F.col("saved_nano") - F.col("wasted_nano")).alias("net"))
 
 
@@ -53,7 +54,7 @@ concat_ws(',', CASE WHEN net < 0 THEN 'net_negative' END, CASE WHEN samples >= 5
 def cache_baseline_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per project and day, the share of fast reads against its median over the fourteen days before."""
     e = priced(spark, sf_dir).withColumn("d", cache_dollars())
-    n = F.date_diff(DAY, F.lit("2024-01-01").cast("date"))
+    n = F.date_diff(day(), F.lit("2024-01-01").cast("date"))
     g = e.groupBy("project", n.alias("n")).agg(
         (F.sum(nano(F.col("d.saved"))) - F.sum(nano(F.col("d.wasted")))).alias("net"),
         F.sum(F.when(F.col("speed") == "fast", F.col("cache_read_tokens")).otherwise(0)).alias("r"), F.sum("cache_read_tokens").alias("t"))
@@ -102,7 +103,7 @@ def diff_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT (ts::DATE - (isodow(ts) - 1)::INTEGER)::DATE AS week, max(least(100.0::DOUBLE, k::DOUBLE)) AS percent FROM u WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1)
 SELECT project, sum(cost)::BIGINT AS nano, round(sum(cost / whole * percent), 6) AS used_pct FROM c JOIN t USING (week) LEFT JOIN p USING (week) GROUP BY 1""")
 def project_week_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    week = week_start(DAY)
+    week = week_start(day())
     c = priced(spark, sf_dir).groupBy(week.alias("week"), "project").agg(F.sum(nano(F.col("cost"))).alias("cost"))
     p = usage(spark, sf_dir).where("ts < timestamp'2024-01-22'").groupBy(week.alias("week")).agg(F.max(F.least(F.lit(100.0), F.col("k").cast("double"))).alias("percent"))
     return reports.attribute(c, "week", "project", p).select("project", F.col("cost").alias("nano"), F.round("used_pct", 6).alias("used_pct"))
@@ -112,14 +113,14 @@ def project_week_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT day, cost, least(8, greatest(1, round_even((cost - lo) / (hi - lo) * 7, 0) + 1))::INTEGER AS height, cost - lag(cost) OVER (ORDER BY day) AS delta_prev FROM m""")
 def trend_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month of days: bounded, so one window holds it."""
-    d = priced(spark, sf_dir).groupBy(DAY.alias("day")).agg(stable_sum(F.col("cost")).alias("cost"))
+    d = priced(spark, sf_dir).groupBy(day().alias("day")).agg(stable_sum(F.col("cost")).alias("cost"))
     return reports.trend(reports.spark_heights(d, [], "cost"), [], "day", "cost").select("day", "cost", "height", "delta_prev")
 
 
 @query(f"""WITH {USAGE_SQL}, d AS (SELECT ts::DATE AS day, count(*) AS n FROM u WHERE k > 97 AND account = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)
 SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (day)""")
 def daily_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = usage(spark, sf_dir).where("k > 97 and account = 0").groupBy(DAY.alias("day")).agg(F.count("*").alias("n"))
+    d = usage(spark, sf_dir).where("k > 97 and account = 0").groupBy(day().alias("day")).agg(F.count("*").alias("n"))
     return reports.fill_days(d, "day", ["n"])
 
 
@@ -133,7 +134,7 @@ def intensity_quintile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{priced_sql()}, a AS (SELECT ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'a' AS provider FROM e WHERE account = 0 GROUP BY 1), b AS (SELECT ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'b' AS provider FROM e WHERE account = 1 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1)
 SELECT day, sum(nano)::BIGINT AS nano, count(*) AS providers FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def provider_daily_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = priced(spark, sf_dir).withColumn("day", DAY)
+    e = priced(spark, sf_dir).withColumn("day", day())
     of = lambda x, p: x.groupBy("day").agg(F.sum(nano(F.col("cost"))).alias("nano")).withColumn("provider", F.lit(p))
     both = of(e.where("account = 0"), "a").unionByName(of(e.where("account = 1 and ts < timestamp'2024-01-20'"), "b"))
     return both.groupBy("day").agg(F.sum("nano").alias("nano"), F.count("*").alias("providers"))

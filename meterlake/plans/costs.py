@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import cache_create_cost, cumulative_entry_cost, sample_prices, stable_sum, tiered, with_prices
@@ -11,22 +11,23 @@ from ..operators import rollups
 from ..operators.events import best_per_key, cumulative_advances, dedup_usage, dedup_violations
 from .registry import COST_SQL, CREATE_SPLIT_SQL, PRICES_SQL, ROLLUP_SQL, USAGE_SQL, nano_sql, priced, priced_sql, query, sum_sql, tier_sql, usage
 
-DAY = local_date(F.col("ts"))
+def day() -> Column:
+    return local_date(F.col("ts"))
 
 
 @query(f"{priced_sql()} SELECT ts::DATE AS day, {ROLLUP_SQL} FROM e GROUP BY 1")
 def daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup(priced(spark, sf_dir), [DAY.alias("day")])
+    return rollups.rollup(priced(spark, sf_dir), [day().alias("day")])
 
 
 @query(f"{priced_sql('display')} SELECT ts::DATE AS day, {ROLLUP_SQL} FROM e GROUP BY 1")
 def daily_cost_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup(priced(spark, sf_dir, "display"), [DAY.alias("day")])
+    return rollups.rollup(priced(spark, sf_dir, "display"), [day().alias("day")])
 
 
 @query(f"{priced_sql('calculate')} SELECT ts::DATE AS day, {ROLLUP_SQL} FROM e GROUP BY 1")
 def daily_cost_calculate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.rollup(priced(spark, sf_dir, "calculate"), [DAY.alias("day")])
+    return rollups.rollup(priced(spark, sf_dir, "calculate"), [day().alias("day")])
 
 
 @query(f"{priced_sql()} SELECT (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::DATE AS day, {ROLLUP_SQL} FROM e GROUP BY 1")
@@ -42,21 +43,21 @@ def monthly_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{priced_sql()} SELECT (ts::DATE - ((isodow(ts) - 1 - 6 + 7) % 7)::INTEGER)::DATE AS week, {ROLLUP_SQL} FROM e GROUP BY 1")
 def calendar_week_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks from Sunday."""
-    return rollups.rollup(priced(spark, sf_dir), [week_start(DAY, 6).alias("week")])
+    return rollups.rollup(priced(spark, sf_dir), [week_start(day(), 6).alias("week")])
 
 
 @query(f"""{priced_sql()}, d AS (SELECT ts::DATE AS day, project, {nano_sql('cost')} AS n FROM e), g AS (SELECT day, project, sum(n)::BIGINT AS nano FROM d GROUP BY ALL),
 t AS (SELECT project, sum(nano)::BIGINT AS group_total, row_number() OVER (ORDER BY sum(nano) DESC, project) AS group_rank FROM g GROUP BY 1)
 SELECT day, project, nano, group_total, group_rank FROM g JOIN t USING (project)""")
 def daily_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = priced(spark, sf_dir).groupBy(DAY.alias("day"), "project").agg(F.sum(F.floor(F.col("cost") * 1e9 + 0.5).cast("long")).alias("nano"))
+    e = priced(spark, sf_dir).groupBy(day().alias("day"), "project").agg(F.sum(F.floor(F.col("cost") * 1e9 + 0.5).cast("long")).alias("nano"))
     return rollups.ranked_groups(e, "project", "nano").select("day", "project", "nano", "group_total", "group_rank")
 
 
 @query(f"""{priced_sql()}, m AS (SELECT ts::DATE AS bucket, CASE WHEN speed = 'fast' THEN model || '-fast' ELSE model END AS model, {sum_sql()} AS cost_usd, count(*) AS n FROM e GROUP BY ALL)
 SELECT bucket, sum({nano_sql('cost_usd')})::DOUBLE / 1e9 AS cost_usd, sum(n)::BIGINT AS entries, string_agg(model, ',' ORDER BY cost_usd DESC, model) AS models FROM m GROUP BY 1""")
 def model_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.model_breakdown(priced(spark, sf_dir), DAY)
+    return rollups.model_breakdown(priced(spark, sf_dir), day())
 
 
 @query(f"{priced_sql()} SELECT session_id, {ROLLUP_SQL}, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(DISTINCT model) AS models, arg_max(project, (ts, entry_id)) AS project FROM e GROUP BY 1")
@@ -90,7 +91,7 @@ _CODEX = f"(({tier_sql(_IN, 'input_rate', 'input_hi', 272000)}) + ({tier_sql('ca
 @query(f"{priced_sql()} SELECT ts::DATE AS day, model, {sum_sql(_CODEX)} AS cost_usd, sum(input_tokens + output_tokens)::BIGINT AS total_tokens FROM e GROUP BY ALL")
 def codex_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = cumulative_entry_cost(F.col("input_tokens"), F.col("cache_read_tokens"), F.col("output_tokens"))
-    return priced(spark, sf_dir).groupBy(DAY.alias("day"), "model").agg(stable_sum(cost).alias("cost_usd"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
+    return priced(spark, sf_dir).groupBy(day().alias("day"), "model").agg(stable_sum(cost).alias("cost_usd"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
 @query(f"""{priced_sql()}, t AS (SELECT session_id, sum({nano_sql('cost')})::BIGINT AS nano, count(*) AS entries FROM e GROUP BY 1),
@@ -128,7 +129,7 @@ def cumulative_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{priced_sql()} SELECT ts::DATE AS day, model, project, grouping(model, project)::INTEGER AS level, {sum_sql()} AS cost_usd, count(*) AS entries FROM e GROUP BY GROUPING SETS ((day), (day, model), (day, project))")
 def grouping_sets_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = priced(spark, sf_dir).withColumn("day", DAY)
+    e = priced(spark, sf_dir).withColumn("day", day())
     g = e.groupingSets([["day"], ["day", "model"], ["day", "project"]], "day", "model", "project")
     out = g.agg(F.grouping_id("day", "model", "project").cast("int").alias("level"), stable_sum(F.col("cost")).alias("cost_usd"), F.count("*").alias("entries"))
     return out.select("day", "model", "project", "level", "cost_usd", "entries")
@@ -137,7 +138,7 @@ def grouping_sets_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{priced_sql()}, t AS (SELECT {sum_sql()} AS whole, sum(CASE WHEN model = 'click' THEN {nano_sql('cost')} END)::BIGINT AS c1, sum(CASE WHEN model = 'purchase' THEN {nano_sql('cost')} END)::BIGINT AS c2,
 sum({nano_sql('cost')})::BIGINT AS total, (ts::DATE - (isodow(ts) - 1)::INTEGER)::DATE AS "row" FROM e GROUP BY 5) SELECT "row", c1, c2, total, total - c1 - c2 AS other FROM t""")
 def crosstab_week_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rollups.crosstab(priced(spark, sf_dir), week_start(DAY), "model", ["click", "purchase"], F.floor(F.col("cost") * 1e9 + 0.5).cast("long"))
+    c = rollups.crosstab(priced(spark, sf_dir), week_start(day()), "model", ["click", "purchase"], F.floor(F.col("cost") * 1e9 + 0.5).cast("long"))
     return c.withColumn("other", F.col("total") - F.col("c1") - F.col("c2"))
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-USAGE_LINE = StructType.fromDDL(
+USAGE_LINE = (
     "type string, timestamp string, requestId string, costUSD double, sessionId string, uuid string, parentUuid string, cwd string, gitBranch string, "
     "isSidechain boolean, isMeta boolean, message struct<id string, model string, stop_reason string, usage struct<input_tokens bigint, output_tokens bigint, "
     "cache_creation_input_tokens bigint, cache_read_input_tokens bigint, speed string, cache_creation struct<ephemeral_1h_input_tokens bigint, ephemeral_5m_input_tokens bigint>>, content string>"

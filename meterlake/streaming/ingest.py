@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from ..functions.money import nano
 from ..sources.tables import classify_usage_lines
@@ -49,8 +48,7 @@ def debounce(samples: DataFrame, by: str, drop: float = 25.0, floor: float = 1.0
 
     State per key: the last percent and the armed baseline.
     """
-    out = StructType.fromDDL(f"{by} long, ts timestamp, seq long, action string")
-    state_type = StructType.fromDDL("last double, baseline double")
+    out, state_type = f"{by} long, ts timestamp, seq long, action string", "last double, baseline double"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, baseline = state.get if state.exists else (None, None)
