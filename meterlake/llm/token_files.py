@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,9 @@ HEADER = struct.Struct("<4sIQIQ")
 #: Bytes of the code of a rank, by its two control bits; four ids share a control byte.
 CODE_LENGTHS = np.array([[1 + (c >> 2 * j & 3) for j in range(4)] for c in range(256)], np.uint8)
 
+#: Ids below this are counted in an array of that many places.
+DENSE = 1 << 22
+
 
 @dataclass(frozen=True)
 class TokenFiles:
@@ -34,18 +40,31 @@ class TokenFiles:
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     """(ids by descending frequency, control bytes, code bytes). Ties in frequency go to the smaller id."""
-    known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < DENSE:
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        place, counts = ids, counts[known]
+        rank = np.empty(int(ids.max()) + 1, np.uint32)
+    else:
+        known, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        rank = np.empty(len(known), np.uint32)
     order = np.lexsort((known, -counts))
-    rank = np.empty(len(known), np.uint32)
-    rank[order] = np.arange(len(known), dtype=np.uint32)
-    ranks = rank[inverse]
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    rank[known[order] if place is ids else order] = np.arange(len(known), dtype=np.uint32)
+    ranks = rank[place]
+    size = np.ones(len(ids), np.uint8)
+    for j in range(1, 4):
+        size += ranks >= 1 << 8 * j
     bits = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     bits[: len(ids)] = size - 1
     control = (bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    codes = raw[np.arange(4) < size[:, None]].tobytes()
-    return known[order].astype("<u4"), control, codes
+    ends = np.cumsum(size, dtype=np.int64)
+    codes, start = np.zeros(int(ends[-1]) if len(ids) else 0, np.uint8), ends - size
+    codes[start] = ranks
+    for j in range(1, 4):
+        longer = size > j
+        if longer.any():
+            codes[start[longer] + j] = ranks[longer] >> 8 * j
+    return known[order].astype("<u4"), control, codes.tobytes()
 
 
 def decode_ids(table: np.ndarray, control: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -61,14 +80,14 @@ def decode_ids(table: np.ndarray, control: np.ndarray, codes: np.ndarray, n: int
     return table[ranks]
 
 
-def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, before: int) -> bytes:
+def pack_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, before: int) -> bytes:
     """One file: header (magic, documents, ids, ranked ids, ids before it in its part), ranked ids, document ids with their
     null flags and lengths, control bytes, code bytes. All numbers are little-endian."""
     table, control, codes = encode_ids(ids)
     present = np.array([i is not None for i in doc_ids], np.uint8)
     return b"".join([
         HEADER.pack(MAGIC, len(doc_ids), len(ids), len(table), before), table.tobytes(), present.tobytes(),
-        np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), control.tobytes(), codes])
+        np.array([i or 0 for i in doc_ids], "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), control.tobytes(), codes])
 
 
 def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
@@ -88,57 +107,141 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray,
     return [int(i) if p else None for i, p in zip(doc_ids, present)], lengths, decode_ids(table, control, np.frombuffer(data, np.uint8, offset=at), n), before
 
 
-@dataclass
+class Pieces(dict):
+    """piece -> its number; numbers new ones in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """The tokenizer, with the ids of pieces met before.
 
     A byte-level BPE tokenizer cuts a text in pieces by a fixed pattern and encodes each alone, so each distinct piece need be
-    encoded once. The pattern is applied here only to texts of characters on whose classes all
-    implementations agree (ASCII and Latin letters); other texts go to the tokenizer whole, as do all texts of a
-    tokenizer of another kind.
+    encoded once. New pieces are encoded together, a line feed between any two, which is a piece and an id of its own. The
+    pattern is applied here only to texts of characters on whose classes all implementations agree (ASCII and Latin
+    letters); other texts go to the tokenizer whole, as do all texts of a tokenizer of another kind.
     """
 
-    path: str
-    limit: int = 200_000
-    known: dict[str, bytes] = field(default_factory=dict)
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+    #: Fixed value: the pattern by which byte-level BPE of this family cuts texts, for these letters.
+    CUT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+    OTHER = re.compile(f"[^\t\n\r -~{LETTERS}]")
 
-    #: Fixed value: the pattern by which byte-level BPE of this family cuts texts.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ſ]")
-
-    def __post_init__(self) -> None:
-        import json
-
-        import regex
+    def __init__(self, path: str, end_id: int, limit: int = 900_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
-        with open(self.path, encoding="utf-8") as f:
+        with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE"
-        self.cut = regex.compile(self.PATTERN).findall if plain else None
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if self.cut is None or self.OTHER.search(text):
-            return self._encode([text])[0]
-        pieces = self.cut(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > self.limit:
-                self.known.clear()
-            new = list({x for x in pieces if x not in self.known})
-            found = dict(zip(new, self._encode(new)))
-            if len(new) + len(self.known) > 2 * self.limit:
-                return b"".join([found.get(x) or self.known[x] for x in pieces])
-            self.known.update(found)
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE"
+        self.feed = self._encode("\n")
+        self.cuts = self.cuts and len(self.feed) == 1
+        self.pieces = Pieces()
+        self.pieces[""] = 0  # stands for the end of a text; no text has an empty piece
+        # the ids of all pieces in one array, and where each piece's are
+        self.flat, self.n_flat = np.array([end_id], np.uint32), 1
+        self.starts, self.sizes, self.n = np.zeros(1, np.int64), np.ones(1, np.int64), 1
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _add(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of further pieces; arrays grow to twice their length when they are full."""
+        def put(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+            if n + len(new) > len(held):
+                held = np.concatenate([held[:n], np.empty(n + 2 * len(new), held.dtype)])
+            held[n : n + len(new)] = new
+            return held
+
+        self.starts = put(self.starts, self.n, starts + self.n_flat)
+        self.sizes = put(self.sizes, self.n, sizes)
+        self.flat = put(self.flat, self.n_flat, ids)
+        self.n, self.n_flat = self.n + len(starts), self.n_flat + len(ids)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces of white space are encoded one by one, all others as lines of one text; line feeds stay in the array of ids."""
+        spaces = [i for i, x in enumerate(pieces) if x.isspace()]
+        plain = [i for i, x in enumerate(pieces) if not x.isspace()]
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        ids = self._encode("\n".join([pieces[i] for i in plain])) if plain else np.empty(0, np.uint32)
+        feeds = np.flatnonzero(ids == self.feed[0])
+        if plain:
+            if len(feeds) != len(plain) - 1:
+                raise ValueError("the tokenizer does not keep lines apart")
+            starts[plain] = np.concatenate([[0], feeds + 1])
+            sizes[plain] = np.append(feeds, len(ids)) - starts[plain]
+        alone = [self._encode(pieces[i]) for i in spaces]
+        sizes[spaces] = [len(x) for x in alone]
+        starts[spaces] = len(ids) + np.cumsum(sizes[spaces]) - sizes[spaces]
+        self._add(np.concatenate([ids, *alone]), starts, sizes)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their end ids, number of ids of each)."""
+        numbers, whole = [], []
+        for t in texts:
+            if self.cuts and not self.OTHER.search(t):
+                cut = self.CUT.findall(t)
+                n = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
+            else:
+                n = np.array([-1 - len(whole)])
+                whole.append(self._encode(t))
+            numbers += [n, _END]
+        before = self.n, self.n_flat
+        if self.pieces.new:
+            self._learn(self.pieces.new)
+        keep = (self.n, self.n_flat) if self.n <= self.limit else before
+        pieces = self.n
+        for x in whole:
+            self._add(x, np.zeros(1, np.int64), np.array([len(x)]))
+        number = np.concatenate(numbers)
+        if whole:
+            number = np.where(number < 0, pieces - 1 - number, number)
+        taken = self.sizes[number]
+        ends = np.cumsum(taken)
+        ids = self.flat[np.repeat(self.starts[number] - ends + taken, taken) + np.arange(ends[-1])]
+        lengths = np.array([len(n) for n in numbers]).reshape(-1, 2).sum(axis=1)
+        per_text = np.add.reduceat(taken, np.cumsum(lengths) - lengths)
+        if keep == before:
+            for x in self.pieces.new:
+                del self.pieces[x]
+        self.n, self.n_flat = keep
+        self.pieces.new = []
+        return ids, per_text
+
+
+_END = np.zeros(1, np.int64)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """A Python worker keeps its encoder, and the pieces that it knows, from task to task."""
+    return Encoder(path, end_id)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 19) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Documents in runs of about ``chars`` characters."""
+    ids, texts, n = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            t = t.as_py() or ""
+            ids.append(i)
+            texts.append(t)
+            n += len(t)
+            if n >= chars:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def write_token_files(docs: DataFrame, p: TokenFiles, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,31 +252,28 @@ def write_token_files(docs: DataFrame, p: TokenFiles, ws: Workspace, id_col: str
     which any store that Spark reaches can hold. A null id comes first; rows of one id are ordered by text; a null text
     is an empty one and makes a document of its end id alone.
     """
-    end = np.array([p.end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, before = Encoder(p.tokenizer), TaskContext.get().partitionId(), 0, 0
+        part, seq, before, total = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        held: list[bytes] = []
-        total = 0
+        lengths: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
         def file() -> pa.RecordBatch:
-            payload = pack_file(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"), before)
+            payload = pack_file(doc_ids, np.concatenate(lengths), np.concatenate(held), before)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([payload], pa.binary())], schema=schema)
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                x = encoder.ids(t.as_py() or "") + end
-                doc_ids.append(i)
-                lengths.append(len(x) // 4)
-                held.append(x)
-                total += len(x) // 4
-                if total >= p.file_ids:
-                    yield file()
-                    seq, before, total = seq + 1, before + total, 0
-                    doc_ids, lengths, held = [], [], []
+        for ids_in, texts in _slices(batches):
+            ids, per_text = encoder(p.tokenizer, p.end_id).encode(texts)
+            doc_ids += ids_in
+            lengths.append(per_text)
+            held.append(ids)
+            total += len(ids)
+            if total >= p.file_ids:
+                yield file()
+                seq, before, total = seq + 1, before + total, 0
+                doc_ids, lengths, held = [], [], []
         if doc_ids:
             yield file()
 
