@@ -247,7 +247,8 @@ def _links_past_hubs(tried: DataFrame, payload: DataFrame, roots: DataFrame, p:
     """Links between members of one hub's family that the hub itself doesn't join."""
     root_of = roots.withColumnRenamed("node", "key")
     hub_root = root_of.select(F.col("key").alias("hub"), F.col("root").alias("hub_root"))
-    rooted = ws.save(tried.where("not link").select("hub").distinct().join(tried, "hub").join(root_of, "key", "left").select("hub", "key", "n", "sim", "exact", F.coalesce("root", "key").alias("root")), "rooted")
+    astray = ws.save(tried.where("not link").select("hub").distinct(), "astray")
+    rooted = ws.save(tried.join(astray, "hub").join(root_of, "key", "left").select("hub", "key", "n", "sim", "exact", F.coalesce("root", "key").alias("root")), "rooted")
     marked = ws.save(rooted.join(hub_root, "hub", "left").withColumn("stray", F.col("root") != F.coalesce("hub_root", "hub")), "marked")
     sizes = ws.save(marked.groupBy("hub", "stray").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks")), "sizes")
     one = F.struct("key", "root", "n", "sim", "exact", "hashes")
@@ -261,5 +262,5 @@ def _links_past_hubs(tried: DataFrame, payload: DataFrame, roots: DataFrame, p:
     strays = blocks.where("stray").select("hub", F.col("rows").alias("strays"))
     met = strays.join(blocks.select("hub", F.col("rows").alias("members")), "hub").select("strays", "members")
     found = ws.save(met.mapInArrow(_across(p), "a binary, b binary"), "links")
-    ws.drop(rooted, marked, sizes, reach, full, blocks)
+    ws.drop(astray, rooted, marked, sizes, reach, full, blocks)
     return found
