@@ -41,53 +41,73 @@ def pivot_table(dim: int, p: TopK) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, p: TopK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: (query id, ids, scores) of the k best of this block of candidates.
-
-    With d the distance of query and candidate, 2 <q, c> = |q|^2 + |c|^2 - d^2, and every pivot bounds d from
-    below by the difference of its distances to both. Candidates are taken in order of the upper bound of
-    their score, a step at a time, until the next bound is less than the k-th best score so far.
-    """
-    q, c = q.astype(np.float64), c.astype(np.float64)
-    qq, cc = (q * q).sum(1), (c * c).sum(1)
-    pivots = pivot_table(c.shape[1], p) * np.sqrt(cc.mean())
-    pp = (pivots * pivots).sum(1)
-    dq = np.sqrt(np.maximum(qq[:, None] + pp - 2 * q @ pivots.T, 0))
-    dc = np.sqrt(np.maximum(cc[:, None] + pp - 2 * c @ pivots.T, 0)).T.copy()
-    for i in range(len(q)):
-        low = np.zeros(len(c))
-        for a, b in zip(dq[i], dc):
-            np.maximum(low, np.abs(b - a), out=low)
-        bound = (qq[i] + cc - low * low) / 2
-        order = np.argsort(-bound)
-        ids, scores, kth = np.empty(0, np.int64), np.empty(0), -np.inf
-        for at in range(0, len(order), p.step):
+class Best:
+    """The k best candidates so far of each query of a block."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, p: TopK):
+        self.p, self.q_ids, self.q = p, q_ids, q.astype(np.float64)
+        self.qq = (self.q * self.q).sum(1)
+        self.ids = [np.empty(0, np.int64) for _ in q_ids]
+        self.scores = [np.empty(0) for _ in q_ids]
+
+    def search(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """Takes a block of candidates into account.
+
+        With d the distance of query and candidate, 2 <q, c> = |q|^2 + |c|^2 - d^2, and every pivot bounds d from
+        below by the difference of its distances to both. Candidates are taken in order of the upper bound of
+        their score, a step at a time, until the next bound is less than the k-th best score so far.
+        """
+        p, c = self.p, c.astype(np.float64)
+        cc = (c * c).sum(1)
+        pivots = pivot_table(c.shape[1], p) * np.sqrt(cc.mean())
+        pp = (pivots * pivots).sum(1)
+        dq = np.sqrt(np.maximum(self.qq[:, None] + pp - 2 * self.q @ pivots.T, 0))
+        dc = np.sqrt(np.maximum(cc[:, None] + pp - 2 * c @ pivots.T, 0)).T.copy()
+        for i in range(len(self.q)):
+            low = np.zeros(len(c))
+            for a, b in zip(dq[i], dc):
+                np.maximum(low, np.abs(b - a), out=low)
+            bound = (self.qq[i] + cc - low * low) / 2
+            ids, scores = self.ids[i], self.scores[i]
+            kth = scores[-1] if len(scores) == p.k else -np.inf
             # half a unit covers rounding in the bounds; scores are whole numbers
-            if bound[order[at]] + 0.5 < kth:
-                break
-            part = order[at : at + p.step]
-            part = part[c_ids[part] != q_ids[i]]
-            ids = np.concatenate([ids, c_ids[part]])
-            scores = np.concatenate([scores, c[part] @ q[i]])
-            if len(scores) > p.k:
+            order = np.flatnonzero(bound + 0.5 >= kth)
+            order = order[np.argsort(-bound[order])]
+            for at in range(0, len(order), p.step):
+                if bound[order[at]] + 0.5 < kth:
+                    break
+                part = order[at : at + p.step]
+                part = part[c_ids[part] != self.q_ids[i]]
+                ids = np.concatenate([ids, c_ids[part]])
+                scores = np.concatenate([scores, c[part] @ self.q[i]])
                 best = np.lexsort((ids, -scores))[: p.k]
                 ids, scores = ids[best], scores[best]
-                kth = scores[-1]
-        yield int(q_ids[i]), ids, scores.astype(np.int64)
+                kth = scores[-1] if len(scores) == p.k else -np.inf
+            self.ids[i], self.scores[i] = ids, scores
 
+    def rows(self) -> pa.RecordBatch:
+        query = np.repeat(self.q_ids, [len(x) for x in self.ids])
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores).astype(np.int64))], schema=_FOUND)
 
-def _search(p: TopK):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _search(p: TopK):
     def matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, None
         for b in batches:
-            for qs, cs in zip(*b.columns):
-                found = list(search_block(*matrix(qs.as_py()), *matrix(cs.as_py()), p))
-                n = [len(ids) for _, ids, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _, _ in found], n)), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([x for _, _, x in found]))], schema=schema)
+            for dim, q_block, qs, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if (dim, q_block) != key:
+                    if best:
+                        yield best.rows()
+                    key, best = (dim, q_block), Best(*matrix(qs.as_py()), p)
+                best.search(*matrix(cs.as_py()))
+        if best:
+            yield best.rows()
 
     return run
 
@@ -97,7 +117,8 @@ def top_inner_products(vectors: DataFrame, queries: Column, p: TopK = TopK(), id
     highest integer inner products with all other rows, ties to the smaller id; all, if there are fewer.
 
     Queries and candidates are packed in blocks of bounded size and every query block meets every
-    candidate block once, in Spark's own join; each meeting gives at most k rows for a query. Only
+    candidate block once, in Spark's own join. A task meets its candidate blocks query block by query block, so that the k
+    best of one block are the bar for the next and a task gives at most k rows for a query. Only
     vectors of one length are compared. A query never meets rows of its own id. Repeated candidate rows
     count as rows; a query whose row is repeated is answered once. Empty tables give no rows.
     """
@@ -112,9 +133,10 @@ def top_inner_products(vectors: DataFrame, queries: Column, p: TopK = TopK(), id
     q_placed = asked.join(q_counts, "dim").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), "q_blocks"))
     packed = q_placed.groupBy("dim", "q_block").agg(pack.alias("qs"))
     # each query block is sent to each candidate block: the fewer rows travel, and each pair is one row
-    sent = packed.join(counts, "dim").select("dim", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    sent = packed.join(counts, "dim").select("dim", "q_block", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = sent.repartition(n, "dim", "block").join(candidates.repartition(n, "dim", "block"), ["dim", "block"])
-    found = pairs.select("qs", "cs").mapInArrow(_search(p), "query_id long, vec_id long, score long")
+    met = pairs.select("dim", "q_block", "qs", "cs").sortWithinPartitions("dim", "q_block")
+    found = met.mapInArrow(_search(p), "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
