@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import Workspace
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -47,7 +49,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = c.select("host").where("host is not null").distinct().select("host", F.explode(suffix).alias("domain"))
     rules = hosts.join(validity(entries), "domain").groupBy("host").agg(F.collect_list(F.struct(F.length("domain").alias("depth"), F.length("prefix").alias("reach"), "domain", "prefix", "valid_from", "valid_to", "action")).alias("rules"))
-    met = c.join(rules, "host", "left")
+    met = c.join(Workspace(captures.sparkSession, "url-filters").save(rules, "rules"), "host", "left")
     in_force = F.filter("rules", lambda r: (r.valid_from <= F.col("fetched_at")) & (r.valid_to.isNull() | (F.col("fetched_at") < r.valid_to)) & F.col("path").startswith(r.prefix))
     best = F.try_element_at(F.sort_array(in_force, False), F.lit(1))
     return met.withColumn("rule", best).select("page_id", "host", "fetched_at", F.coalesce(F.col("rule.action") == "block", F.lit(False)).alias("blocked"), F.col("rule.action").alias("action"), F.col("rule.domain").alias("domain"), F.col("rule.prefix").alias("prefix"), F.col("rule.valid_from").alias("valid_from"))
