@@ -42,11 +42,10 @@ def tokens(text: str | None) -> list[bytes]:
 
 def simhash(shingles: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of all runs of ``width`` shingles: per bit, whether most shingles of the run have it, repeats counted."""
-    out = np.zeros(len(shingles) - width + 1, np.uint64)
-    for bit in range(64):
-        ones = np.concatenate([[0], np.cumsum((shingles >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        out |= (2 * (ones[width:] - ones[:-width]) > width).astype(np.uint64) << np.uint64(bit)
-    return out
+    bits = np.unpackbits(np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.zeros((len(bits) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=ones[1:])
+    return np.packbits(2 * (ones[width:] - ones[:-width]) > width, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
