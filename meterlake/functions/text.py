@@ -95,3 +95,74 @@ def opaque_key(*parts: Column, length: int = 16) -> Column:
 
 def finite_or_null(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def strip_ansi(text: Column) -> Column:
+    """Without terminal escape sequences."""
+    return F.regexp_replace(text, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
+
+
+def command_of(text: Column) -> Column:
+    """struct(name, args) of a slash command; null for other texts."""
+    name = F.regexp_extract(text, r"^/([A-Za-z][\w:-]*)", 1)
+    return F.when(name != "", F.struct(name.alias("name"), F.trim(F.regexp_extract(text, r"^/[A-Za-z][\w:-]*\s+([\s\S]*)$", 1)).alias("args")))
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
+
+
+def encode_identity(*parts: Column) -> Column:
+    """Parts as one URL-safe text; ``decode_identity`` gives them back."""
+    raw = F.to_json(F.array(*[p.cast("string") for p in parts]))
+    return F.regexp_replace(F.translate(F.base64(F.encode(raw, "UTF-8")), "+/\r\n", "-_"), "=+$", "")
+
+
+def decode_identity(token: Column) -> Column:
+    pad = F.rpad(F.translate(token, "-_", "+/"), ((F.length(token) + 3) / 4).cast("int") * 4, F.lit("="))
+    return F.from_json(F.decode(F.unbase64(pad), "UTF-8"), "array<string>")
+
+
+def preview(text: Column, width: int = 80) -> Column:
+    """The first line, shortened."""
+    line = F.trim(F.element_at(F.split(F.coalesce(text, F.lit("")), "\n"), 1))
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
+
+
+def ranges(text: Column, query: str, case_sensitive: bool = False) -> Column:
+    """array<struct<start, end>> of a literal's occurrences, from 0, without overlaps: the text is cut at them and the parts' lengths summed up."""
+    if not query:
+        return F.array().cast("array<struct<start:int,end:int>>")
+    hay, q = (text, query) if case_sensitive else (F.lower(text), query.lower())
+    parts = F.split(F.coalesce(hay, F.lit("")), re.escape(q))
+    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc: Column, n: Column) -> Column:
+        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + n
+        return F.array_append(acc, F.struct(at.cast("int").alias("start"), (at + len(q)).cast("int").alias("end")))
+
+    return F.aggregate(sizes, empty, step)
+
+
+def content_hash(*parts: Column) -> Column:
+    """Hash of a canonical JSON text: the fields in the order given."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def markdown_table(rows: list, columns: list[str]) -> str:
+    """A table of collected report rows, which are few."""
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]
+    return "\n".join(lines + [f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows])
+
+
+def html_table(rows: list, columns: list[str]) -> str:
+    import html
+
+    tr = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{html.escape('' if c is None else str(c))}</{tag}>" for c in cells) + "</tr>"
+    return "<table>" + tr("th", columns) + "".join(tr("td", [r[c] for c in columns]) for r in rows) + "</table>"

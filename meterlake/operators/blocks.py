@@ -78,3 +78,25 @@ def schedule(windows: DataFrame, by: list[str], length: int) -> DataFrame:
     # back from the last: a window is chosen if its choice was to take it and it ends before the one chosen after it
     picked = F.aggregate(F.reverse("t"), F.array().cast("array<bigint>"), lambda acc, s: F.when(s.take & ((F.size(acc) == 0) | (s.x + length <= F.try_element_at(acc, F.lit(-1)))), F.array_append(acc, s.x)).otherwise(acc))
     return rows.select(*by, table.alias("t")).select(*by, F.explode(picked).alias("x"))
+
+
+def anchored_blocks(entries: DataFrame, windows: DataFrame, by: list[str], hours: int = 5) -> DataFrame:
+    """Blocks of ``entries`` (*by, ts) with recorded ``windows`` (*by, start, end), which must not overlap: entries inside a window
+    make its block, all others make fixed-length blocks, whose end is moved to the start of the next recorded window if that
+    lies inside. (*by, start, end, first_ts, last_ts, entries, anchor)."""
+    unit = hours * 3600
+    u = lambda c: F.floor(F.unix_seconds(c) / unit)
+    spread = windows.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(u(F.col("start")), u(F.col("end")))).alias("_u"))
+    e = entries.select(*by, "ts", u(F.col("ts")).alias("_u"))
+    same = [e[c] == spread[c] for c in by]
+    j = e.join(spread, [*same, e["_u"] == spread["_u"], e["ts"] >= spread["_s"], e["ts"] < spread["_e"]], "left").select(*[e[c] for c in by], e["ts"], "_s", "_e")
+    recorded = j.where("_s is not null").groupBy(*by, F.col("_s").alias("start"), F.col("_e").alias("end")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("entries")).withColumn("anchor", F.lit("recorded"))
+    free = fixed_blocks(j.where("_s is null"), by, hours).withColumn("anchor", F.lit("heuristic"))
+    marks = windows.select(*by, F.col("start").alias("_at"), F.lit(None).cast("struct<start:timestamp,end:timestamp,first_ts:timestamp,last_ts:timestamp,entries:bigint,anchor:string>").alias("_b"), F.col("start").alias("_w"))
+    blocks = free.select(*by, F.col("start").alias("_at"), F.struct("start", "end", "first_ts", "last_ts", "entries", "anchor").alias("_b"), F.lit(None).cast("timestamp").alias("_w"))
+    after = Window.partitionBy(*by).orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
+    nxt = F.min("_w").over(after)
+    numbered = marks.unionByName(blocks).withColumn("_at", F.unix_micros("_at"))
+    clamped = numbered.withColumn("_n", nxt).where("_b is not null")
+    end = F.when(F.col("_n") < F.col("_b.end"), F.col("_n")).otherwise(F.col("_b.end"))
+    return recorded.unionByName(clamped.select(*by, "_b.start", end.alias("end"), "_b.first_ts", "_b.last_ts", "_b.entries", "_b.anchor"))

@@ -72,3 +72,54 @@ def window_filter(column: str, low: Column | None, high: Column | None) -> Colum
     if high is not None:
         out = out & (F.col(column) < high)
     return out
+
+
+FAILED = ("failed", "error", "cancelled", "timeout")
+
+
+def tool_failures(calls: DataFrame) -> DataFrame:
+    """Adds ``failed`` to (is_error, status, patch_success): an error mark, a failed status, or a patch that says so; unknown is no failure."""
+    bad = F.coalesce(F.col("is_error"), F.lit(False)) | F.coalesce(F.lower("status").isin(*FAILED), F.lit(False)) | F.coalesce(~F.col("patch_success"), F.lit(False))
+    return calls.withColumn("failed", bad)
+
+
+def titles(turns: DataFrame) -> DataFrame:
+    """The latest non-empty title per conversation of rows (conv_id, turn, title)."""
+    return turns.where(F.coalesce("title", F.lit("")) != "").groupBy("conv_id").agg(F.max_by("title", "turn").alias("title"))
+
+
+def title_search(turns: DataFrame, query: str) -> DataFrame:
+    """One hit per conversation whose title, its first prompt, holds the query, anchored at its first turn."""
+    t = outline(turns).select("conv_id", "title")
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("anchor"))
+    hits = t.where(F.contains(F.lower("title"), F.lit(query.lower()))) if query else t.where(F.lit(False))
+    return hits.join(first, "conv_id").select("conv_id", "anchor", "title")
+
+
+def file_search(touches: DataFrame, query: str) -> DataFrame:
+    """(conv_id, path) whose path holds the query, ignoring case, at its latest touch."""
+    return touches.where(F.contains(F.lower("path"), F.lit(query.lower()))).groupBy("conv_id", "path").agg(F.max("last_turn").alias("anchor"))
+
+
+def find(turns: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
+    """Turns that match a regular expression, with the number of matches; sort by turn for document order."""
+    p = pattern if case_sensitive else f"(?i){pattern}"
+    n = F.regexp_count("text", F.lit(p))
+    return turns.select("conv_id", "turn", n.alias("matches")).where("matches > 0")
+
+
+def prompts(turns: DataFrame) -> DataFrame:
+    """The spine of a conversation: its prompts that are no commands, numbered."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return classify(turns).where("kind = 'prompt'").select("conv_id", "turn", F.row_number().over(w).alias("n"))
+
+
+def browse(turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """One row per session of (conv_id, ts, cwd, branch, model, main): latest branch that is known, models, main ones first, by name,
+    null if none; ``roots`` (cwd, root) names projects, as the file system cannot be asked from a task."""
+    t = turns if roots is None else turns.join(roots, "cwd", "left")
+    project = F.col("root") if roots is not None else F.col("cwd")
+    ordered = F.array_sort(F.collect_set(F.when(F.col("model").isNotNull(), F.struct((~F.col("main")).alias("side"), "model"))))
+    g = t.groupBy("conv_id").agg(F.max_by("branch", F.when(F.col("branch").isNotNull(), F.col("ts"))).alias("branch"), F.max_by(project, F.when(project.isNotNull(), F.col("ts"))).alias("project"), ordered.alias("m"), F.max("ts").alias("last_ts"))
+    names = F.array_distinct(F.transform("m", lambda x: x.model))
+    return g.select("conv_id", "branch", F.coalesce("project", F.lit("")).alias("project"), F.when(F.size(names) > 0, names).alias("models"), "last_ts")

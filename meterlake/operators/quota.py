@@ -95,3 +95,28 @@ def single_vote(rows: DataFrame, group: list[str], vote: str, out: str) -> DataF
     v = rows.groupBy(*group).agg(F.min(vote).alias("_lo"), F.max(vote).alias("_hi"))
     joined = rows.join(v, group)
     return joined.withColumn(out, F.coalesce(F.col(vote), F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))).drop("_lo", "_hi")
+
+
+def quota_blocks(samples: DataFrame, by: list[str], reset: str, order: list[str]) -> DataFrame:
+    """One row per key and canonical reset: first and last observation, the current and the highest percent, samples."""
+    at = F.struct(*order)
+    return samples.groupBy(*by, reset).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("percent", at).alias("current"), F.max("percent").alias("highest"), F.count("*").alias("samples"))
+
+
+def credits(samples: DataFrame, by: list[str], order: list[str], drop: float = 5.0) -> DataFrame:
+    """Falls of ``drop`` or more while the reset of the sample before is still ahead."""
+    w = _ordered(by, order)
+    s = samples.withColumn("prev_percent", F.lag("percent").over(w)).withColumn("_r", F.lag("resets_at").over(w))
+    return s.where((F.col("_r") > F.col("ts")) & (F.col("prev_percent") - F.col("percent") >= drop)).drop("_r")
+
+
+def plausible(epoch: Column, now: Column, past: int = 300, ahead: int = 8 * 86_400) -> Column:
+    """Whether a reset time lies in a believable band around now."""
+    return epoch.between(now - past, now + ahead)
+
+
+def validate_thresholds(values: list[float]) -> list[float]:
+    """Positive, ascending and distinct, or an error."""
+    if not values or any(v <= 0 for v in values) or any(b <= a for a, b in zip(values, values[1:])):
+        raise ValueError(f"thresholds must be positive and ascending: {values!r}")
+    return list(values)

@@ -95,3 +95,54 @@ def any_contains(columns: list[str], patterns: list[str]) -> Column:
         for p in patterns:
             out = out | F.contains(h, F.lit(p.lower()))
     return out
+
+
+def merge_partials(parts: list[DataFrame], keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums by key over stored partial sums, a day's or a batch's each; adding a part never reads the entries of others again."""
+    out = parts[0].select(*keys, *sums)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*keys, *sums))
+    return out.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def mean_of_enough(rows: DataFrame, by: list[str], value: str, least: int = 3) -> DataFrame:
+    """The mean per key of known values; null if there are fewer than ``least``."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_m")).select(*by, "n", F.when(F.col("n") >= least, F.col("_m")).alias("mean"))
+
+
+def footer_legs(rows: DataFrame, source: str, value: str, sources: DataFrame) -> DataFrame:
+    """Count and sum per source, zero for those of the fixed list that have no rows."""
+    g = rows.groupBy(source).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return sources.join(g, source, "left").select(source, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def ranked_trend(rows: DataFrame, period: str, key: str, value: str, n: int) -> DataFrame:
+    """Per period the values of the ``n`` keys that are largest in all, and the rest as (other); ``share``: the key's part of the period."""
+    best = rows.groupBy(key).agg(F.sum(value).alias("_t")).orderBy(F.desc("_t"), key).limit(n).select(F.col(key).alias("_k"))
+    named = rows.join(F.broadcast(best), F.col(key) == F.col("_k"), "left").withColumn("name", F.coalesce(F.col("_k").cast("string"), F.lit("(other)")))
+    g = named.groupBy(period, "name").agg(F.sum(value).alias("value"))
+    return g.withColumn("share", F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy(period))))
+
+
+def zoom(rows: DataFrame, by: list[str], value: str, pad: float = 0.1) -> DataFrame:
+    """Bounds of a chart: least and largest value with a margin, not below 0."""
+    g = rows.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return g.select(*by, F.greatest(F.lit(0.0), F.col("lo") - (F.col("hi") - F.col("lo")) * pad).alias("low"), (F.col("hi") + (F.col("hi") - F.col("lo")) * pad).alias("high"))
+
+
+def sorted_by(rows: DataFrame, column: str, label: str, descending: bool = True) -> DataFrame:
+    """Nulls last in either direction, ties by label without case, ascending."""
+    first = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    return rows.orderBy(first, F.lower(F.col(label).cast("string")), label)
+
+
+def combine_providers(legs: list[tuple[str, DataFrame | None]], key: str, sums: list[str]) -> DataFrame:
+    """Sums of providers that are there; one that isn't contributes nothing, and if none is there is nothing to combine."""
+    there = [(n, d) for n, d in legs if d is not None]
+    if not there:
+        raise ValueError("no provider is available")
+    out = None
+    for n, d in there:
+        d = d.select(key, *sums, F.lit(n).alias("provider"))
+        out = d if out is None else out.unionByName(d)
+    return out.groupBy(key).agg(*[F.sum(s).alias(s) for s in sums], F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
