@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sizes import broadcast_if_small
+
 TIER = 200_000
 CUMULATIVE_TIER = 272_000
 #: A cache write kept for an hour costs this many times the input rate.
@@ -22,18 +24,21 @@ SAMPLE_PRICES = [
 
 
 def sample_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SAMPLE_PRICES, PRICE_COLUMNS)
+    cell = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else f"double('{x!r}')"
+    rows = ", ".join(f"({', '.join(map(cell, r))})" for r in SAMPLE_PRICES)
+    return spark.sql(f"select * from values {rows} as t({', '.join(c.split()[0] for c in PRICE_COLUMNS.split(', '))})")
 
 
 def with_prices(entries: DataFrame, prices: DataFrame, prefixes: tuple[str, ...] = ("anthropic/", "anthropic.", "openai/")) -> DataFrame:
     """A left join on the model's name, or on the name without a vendor prefix; a miss leaves the rates null.
 
-    The price list has one row per model; Spark broadcasts it as long as its statistics say that it is small.
+    The price list has one row per model and is broadcast after a look at its size: entries have few distinct models, so a shuffle
+    on them would put most of a log in one task.
     """
     bare = F.col("model")
     for p in prefixes:
         bare = F.when(F.col("model").startswith(p), F.substring(F.col("model"), len(p) + 1, 1000)).otherwise(bare)
-    return entries.withColumn("price_key", bare).join(prices.withColumnRenamed("model", "price_key"), "price_key", "left").drop("price_key")
+    return entries.withColumn("price_key", bare).join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left").drop("price_key")
 
 
 def tiered(tokens: Column, rate: Column, hi: Column, threshold: int = TIER) -> Column:

@@ -23,7 +23,8 @@ def fixed_blocks(entries: DataFrame, by: list[str], hours: int = 5) -> DataFrame
     starts = F.aggregate(
         "hours", F.array().cast("array<bigint>"),
         lambda acc, h: F.when((F.size(acc) == 0) | (h.hour >= F.try_element_at(acc, F.lit(-1)) + hours * HOUR), F.array_append(acc, h.hour)).otherwise(acc))
-    flat = folded.select(*by, starts.alias("starts"), "hours").select(*by, "hours", F.posexplode("starts").alias("no", "s"))
+    # outer, as an inner one would have Spark fold twice, once to see whether the array is empty; it never is
+    flat = folded.select(*by, starts.alias("starts"), "hours").select(*by, "hours", F.posexplode_outer("starts").alias("no", "s"))
     inside = F.filter("hours", lambda h: (h.hour >= F.col("s")) & (h.hour < F.col("s") + hours * HOUR))
     b = flat.select(*by, "s", inside.alias("i"))
     at = F.timestamp_micros

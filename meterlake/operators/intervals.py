@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timekit import moment
+
 
 def clamp_overlaps(intervals: DataFrame, start: str = "start", end: str = "end", by: list[str] | None = None) -> DataFrame:
     """Ends an interval where the next one starts, if that lies strictly inside; afterwards none overlap."""
@@ -43,11 +45,11 @@ def overlapping(a: DataFrame, b: DataFrame, unit_seconds: int) -> DataFrame:
     return sa.join(sb, F.col("_unit") == F.col("_ub")).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & first).drop("_unit", "_ub")
 
 
-def as_of(rows: DataFrame, by: list[str], order: list[str], until: Column) -> DataFrame:
-    """The latest row per key at or before an instant, by ``order`` descending; one partial aggregate, no sort."""
+def as_of(rows: DataFrame, by: list[str], ts: str, tie: str, until: Column) -> DataFrame:
+    """The latest row per key at or before an instant, the higher ``tie`` of two at one time; one partial aggregate, no sort."""
     names = [c for c in rows.columns if c not in by]
-    pick = F.max_by(F.struct(*names), F.struct(*order)).alias("_row")
-    return rows.where(until).groupBy(*by).agg(pick).select(*by, "_row.*")
+    at = moment(ts, tie)
+    return rows.where(until).groupBy(*by).agg(*[F.max_by(c, at).alias(c) for c in names])
 
 
 def nearest(points: DataFrame, anchors: DataFrame, tolerance: int, by: list[str]) -> DataFrame:

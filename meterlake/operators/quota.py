@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import whole_percent
+from ..functions.timekit import moment
 
 
 def _ordered(by: list[str], order: list[str]):
@@ -59,7 +60,7 @@ def forecast(samples: DataFrame, by: list[str], as_of: Column, window_hours: flo
     s = samples.where(F.col("ts") <= as_of)
     rose = (F.col("percent") > F.lag("percent").over(w)) & (F.col("ts") > F.lag("ts").over(w))
     s = s.withColumn("_rose", F.coalesce(rose.cast("int"), F.lit(0)))
-    g = s.groupBy(*by).agg(F.max_by("percent", F.struct(*order)).alias("current"), F.sum("_rose").alias("rises"), F.max("ts").alias("last_ts"))
+    g = s.groupBy(*by).agg(F.max_by("percent", moment(*order)).alias("current"), F.sum("_rose").alias("rises"), F.max("ts").alias("last_ts"))
     end, elapsed = reset, None
     elapsed = F.least(F.lit(float(window_hours)), F.greatest(F.lit(0.0), window_hours - (F.unix_micros(end) - F.unix_micros(as_of)) / 3.6e9))
     left = F.greatest(F.lit(0), F.floor((F.unix_micros(end) - F.unix_micros(as_of)) / 1e6))
@@ -99,7 +100,7 @@ def single_vote(rows: DataFrame, group: list[str], vote: str, out: str) -> DataF
 
 def quota_blocks(samples: DataFrame, by: list[str], reset: str, order: list[str]) -> DataFrame:
     """One row per key and canonical reset: first and last observation, the current and the highest percent, samples."""
-    at = F.struct(*order)
+    at = moment(*order)
     return samples.groupBy(*by, reset).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("percent", at).alias("current"), F.max("percent").alias("highest"), F.count("*").alias("samples"))
 
 

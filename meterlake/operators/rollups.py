@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import stable_sum
+from ..functions.timekit import moment
 
 TOKENS = ("input_tokens", "output_tokens", "cache_create_tokens", "cache_read_tokens")
 
@@ -35,7 +36,7 @@ def model_breakdown(entries: DataFrame, bucket: Column) -> DataFrame:
 
 def sessions(entries: DataFrame) -> DataFrame:
     """One row per session: bounds, totals, models, and the project of its latest entry that has one."""
-    latest = F.max_by("project", F.when(F.col("project").isNotNull(), F.struct("ts", "entry_id")))
+    latest = F.max_by("project", F.when(F.col("project").isNotNull(), moment("ts", "entry_id")))
     return rollup(entries, ["session_id"], F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("model").alias("models"), latest.alias("project"))
 
 

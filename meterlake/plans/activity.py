@@ -48,7 +48,7 @@ def weekly_dollars_per_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = sample_weeks(spark)
     c = intervals.assign(priced(spark, sf_dir), weeks, "ts", WEEK).groupBy("week", "account").agg(F.sum(nano(F.col("cost"))).alias("nano"))
     s = intervals.assign(usage(spark, sf_dir).withColumn("percent", F.least(F.lit(100.0), "value")), weeks, "ts", WEEK)
-    p = intervals.as_of(s.select("week", "account", "ts", "entry_id", "percent"), ["week", "account"], ["ts", "entry_id"], F.col("ts") <= F.expr("timestamp'2024-01-24 12:00:00'"))
+    p = intervals.as_of(s.select("week", "account", "ts", "entry_id", "percent"), ["week", "account"], "ts", "entry_id", F.col("ts") <= F.expr("timestamp'2024-01-24 12:00:00'"))
     d = c.join(p.select("week", "account", "percent"), ["week", "account"], "left").withColumn("usd_per_pct", F.when(F.col("percent") > 0, F.col("nano") / 1e9 / F.col("percent")))
     t = reports.trend(d, ["account"], "week", "usd_per_pct").withColumnRenamed("delta_known", "delta_rate").drop("delta_prev")
     from pyspark.sql import Window

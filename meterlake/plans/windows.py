@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.timekit import moment
 from ..operators import attribution, forecasts, weeks
 from ..sources.tables import table
 from .registry import USAGE_SQL, query, usage
@@ -131,7 +132,7 @@ def weekly_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir).where(F.col("ts").between(F.expr("timestamp'2024-01-18 00:00:00'"), now)).withColumn("p", F.least(F.lit(99.0), "value"))
     old = F.col("ts") <= day
     s = u.groupBy("session_id").agg(
-        F.max_by("p", F.struct("ts", "entry_id")).alias("percent"), F.max_by("p", F.when(old, F.struct("ts", "entry_id"))).alias("percent_24h"),
+        F.max_by("p", moment("ts", "entry_id")).alias("percent"), F.max_by("p", F.when(old, moment("ts", "entry_id"))).alias("percent_24h"),
         ((F.unix_micros(now) - F.unix_micros(F.max(F.when(old, F.col("ts"))))) / 3.6e9).alias("hours_24h"), F.count("*").alias("snapshots"))
     s = s.withColumn("elapsed", F.lit(60.0)).withColumn("remaining", F.lit(108.0)).withColumn("usd_per_pct", F.when(F.col("percent") > 0, F.col("snapshots") / F.col("percent")))
     codes = F.array_join(forecasts.confidence_triggers(F.col("elapsed"), F.col("percent"), F.col("snapshots"), F.col("percent_24h").isNotNull()), ",")
@@ -144,7 +145,7 @@ n AS (SELECT project, arg_max(window_key, (window_key, percent)) AS window_key,
 SELECT n.project, n.window_key, n.percent, sources, CASE WHEN n.window_key > p.window_key THEN 'publish' WHEN n.window_key < p.window_key THEN 'ignore' WHEN n.percent > p.percent THEN 'publish' WHEN n.percent = p.percent THEN 'none' ELSE 'pending' END AS action FROM n JOIN p USING (project)""")
 def candidate_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir).withColumn("key", F.floor(F.col("k") / 10))
-    at = F.struct("ts", "entry_id")
+    at = moment("ts", "entry_id")
     c = u.groupBy("project", F.col("session_id").alias("source")).agg(F.max_by("key", at).alias("window_key"), F.max_by(F.least(F.lit(100.0), "value"), at).alias("percent"))
     p = u.groupBy("project").agg((F.max("key") - F.col("project") % 2).alias("window_key"), F.avg("k").alias("percent"))
     return forecasts.arbitrate(c, p, "project")
