@@ -52,3 +52,45 @@ def test_debounce_stream(spark, tmp_path):
     q = ingest.debounce(s, "k").writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["seq"], r["action"]) for r in spark.table("debounced").orderBy("seq").collect()] == [(2, "fire"), (4, "arm"), (5, "confirm"), (7, "arm"), (8, "clear")]
+
+
+def test_partials_of_batches_equal_one_rollup(spark, tmp_path):
+    from meterlake.streaming import incremental
+
+    src, out = tmp_path / "in", str(tmp_path / "parts")
+    src.mkdir()
+    for n in range(4):
+        write(src / f"{n}.jsonl", [line(i) for i in range(n * 7, n * 7 + 9)])
+    roll = lambda df: df.groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.count("*").alias("n"))
+    q = ingest.stream_usage(spark, str(src), 1).writeStream.foreachBatch(incremental.partials_sink(out, roll)).option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.select("session_id", "input_tokens", "n").collect()))
+    want = rows(roll(read_usage(spark, str(src))))
+    assert rows(incremental.read_partials(spark, out, ["session_id"], ["input_tokens", "n"])) == want
+    incremental.compact_partials(spark, out, str(tmp_path / "one"), ["session_id"], ["input_tokens", "n"])
+    assert rows(incremental.read_partials(spark, str(tmp_path / "one"), ["session_id"], ["input_tokens", "n"])) == want
+
+
+def test_refresh_computes_touched_keys_only(spark):
+    from meterlake.streaming import incremental
+
+    old = spark.createDataFrame([(1, 1.0), (2, 5.0)], "k long, v double")
+    new = spark.createDataFrame([(2, 7.0)], "k long, v double")
+    median = lambda df: df.groupBy("k").agg(F.median("v").alias("m"))
+    got = incremental.refresh(median(old), old.unionByName(new), new, ["k"], median)
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0), (2, 6.0)]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, d string"), spark.createDataFrame([(2, "z"), (3, "w"), (1, "x")], "k long, d string")
+    assert sorted(r[0] for r in incremental.alert_scope(a, b, ["k"], "d").collect()) == [2, 3]
+
+
+def test_high_water_stream(spark, tmp_path):
+    from meterlake.streaming import incremental
+
+    path = str(tmp_path / "s")
+    for n, part in enumerate([[10.04, 30.0], [20.0, 31.26]]):
+        df = spark.createDataFrame([(1, n * 2 + i, p) for i, p in enumerate(part)], "k long, seq long, percent double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+        df.select("k", "ts", "seq", "percent").coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema("k long, ts timestamp, seq long, percent double").option("maxFilesPerTrigger", 1).parquet(path)
+    q = incremental.high_water(s, "k").writeStream.format("memory").queryName("high").option("checkpointLocation", str(tmp_path / "cp4")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["clamped"] for r in spark.table("high").orderBy("seq").collect()] == [10.0, 30.0, 30.0, 31.3]
