@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import text_batches
+
 # Fixed values of the HTML standard: elements by how they parse and lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -255,6 +257,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     in columns. Null or empty HTML gives an empty text; repeated rows give repeated results. Nesting is
     walked without recursion, so depth and length are bounded by the page itself only.
     """
+    text_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

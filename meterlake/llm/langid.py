@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import text_batches
+
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)
 #: Characters scored at a time, so that a very long text needs no more memory than a short one.
 SPAN = 1 << 16
@@ -114,6 +116,7 @@ def predict(docs: DataFrame, model: Model, p: LangId = LangId(), keep: tuple[Col
     ``und`` with score 0 where the text is null, empty or without a letter, or where nothing was learned.
     The score is the posterior probability of the language. Whole texts are read, in spans.
     """
+    text_batches(docs.sparkSession)
     source = docs.select("doc_id", "text", *keep)
     names = source.columns[2:]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import text_batches
+
 
 @dataclass(frozen=True)
 class Quality:
@@ -134,6 +136,7 @@ def grade(docs: DataFrame, model: Model, p: Quality = Quality(), keep: tuple[str
     """(*keep, expected_grade, tail, kept) for every row of ``docs``: the mean of the grade, the probability of grade
     ``p.keep`` or more, and whether that is ``p.least`` or more. Null and wordless texts are judged on the
     thresholds alone, as a text without evidence. Rows stay where they are; nothing is shuffled."""
+    text_batches(docs.sparkSession)
     source = docs.select(*keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = source.columns[:-1]

@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+#: Rows of long texts that travel between Spark and Python at once; Spark's default is for short rows.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python in smaller batches, unless it already sends less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 class Workspace:
     """Tables that cut lineage: each is written once to ``spark.checkpoint.dir`` and read from there,
     so that a lost executor costs a reread and not a recomputation.
@@ -20,6 +32,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        text_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
         self.spark, self.root, self._n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
         self._paths: dict[int, str] = {}
