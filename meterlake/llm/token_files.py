@@ -31,11 +31,12 @@ DENSE = 1 << 22
 @dataclass(frozen=True)
 class TokenFiles:
     """``tokenizer``: path of a tokenizers JSON file. ``end_id`` closes each document. ``file_ids``: ids after which a file ends
-    with the document that it is in."""
+    with the document that it is in. ``known``: pieces that a Python worker keeps, at about 150 bytes each; fewer take longer."""
 
     tokenizer: str
     end_id: int = 2
     file_ids: int = 2_000_000
+    known: int = 900_000
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -51,8 +52,9 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     order = np.lexsort((known, -counts))
     rank[known[order] if place is ids else order] = np.arange(len(known), dtype=np.uint32)
     ranks = rank[place]
+    most = 1 + (len(known) > 1 << 8) + (len(known) > 1 << 16) + (len(known) > 1 << 24)
     size = np.ones(len(ids), np.uint8)
-    for j in range(1, 4):
+    for j in range(1, most):
         size += ranks >= 1 << 8 * j
     bits = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     bits[: len(ids)] = size - 1
@@ -60,10 +62,9 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     ends = np.cumsum(size, dtype=np.int64)
     codes, start = np.zeros(int(ends[-1]) if len(ids) else 0, np.uint8), ends - size
     codes[start] = ranks
-    for j in range(1, 4):
-        longer = size > j
-        if longer.any():
-            codes[start[longer] + j] = ranks[longer] >> 8 * j
+    for j in range(1, most):
+        longer = np.flatnonzero(size > j)
+        codes[start[longer] + j] = ranks[longer] >> 8 * j
     return known[order].astype("<u4"), control, codes.tobytes()
 
 
@@ -74,8 +75,8 @@ def decode_ids(table: np.ndarray, control: np.ndarray, codes: np.ndarray, n: int
     padded = np.concatenate([codes, np.zeros(4, np.uint8)])
     ranks = padded[start].astype(np.uint32)
     for j in range(1, 4):
-        longer = size > j
-        if longer.any():
+        longer = np.flatnonzero(size > j)
+        if len(longer):
             ranks[longer] |= padded[start[longer] + j].astype(np.uint32) << np.uint32(8 * j)
     return table[ranks]
 
@@ -126,7 +127,8 @@ class Encoder:
     A byte-level BPE tokenizer cuts a text in pieces by a fixed pattern and encodes each alone, so each distinct piece need be
     encoded once. New pieces are encoded together, a line feed between any two, which is a piece and an id of its own. The
     pattern is applied here only to texts of characters on whose classes all implementations agree (ASCII and Latin
-    letters); other texts go to the tokenizer whole, as do all texts of a tokenizer of another kind.
+    letters); other texts go to the tokenizer whole, as do all texts of a tokenizer of another kind. Beyond ``limit`` pieces
+    those go that were met once.
     """
 
     LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -151,6 +153,7 @@ class Encoder:
         # the ids of all pieces in one array, and where each piece's are
         self.flat, self.n_flat = np.array([end_id], np.uint32), 1
         self.starts, self.sizes, self.n = np.zeros(1, np.int64), np.ones(1, np.int64), 1
+        self.uses = np.ones(1, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -168,6 +171,22 @@ class Encoder:
         self.flat = put(self.flat, self.n_flat, ids)
         self.n, self.n_flat = self.n + len(starts), self.n_flat + len(ids)
 
+    def _forget(self) -> None:
+        """Keeps the pieces met more than once, half of the limit at most, and lets them start anew."""
+        least = max(1, int(np.partition(self.uses, -(self.limit // 2))[-(self.limit // 2)]))
+        kept = np.flatnonzero(self.uses > least)
+        kept = np.concatenate([[0], kept[kept > 0]])
+        names = list(self.pieces)
+        self.pieces = Pieces()
+        for i in kept.tolist():
+            self.pieces[names[i]]  # noqa: B018  numbers it
+        self.pieces.new = []
+        sizes, starts = self.sizes[kept], self.starts[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.sizes, self.starts, self.uses = sizes, ends - sizes, np.ones(len(kept), np.int64)
+        self.n, self.n_flat = len(kept), len(self.flat)
+
     def _learn(self, pieces: list[str]) -> None:
         """Pieces of white space are encoded one by one, all others as lines of one text; line feeds stay in the array of ids."""
         spaces = [i for i, x in enumerate(pieces) if x.isspace()]
@@ -196,11 +215,9 @@ class Encoder:
                 n = np.array([-1 - len(whole)])
                 whole.append(self._encode(t))
             numbers += [n, _END]
-        before = self.n, self.n_flat
         if self.pieces.new:
             self._learn(self.pieces.new)
-        keep = (self.n, self.n_flat) if self.n <= self.limit else before
-        pieces = self.n
+        pieces, pieces_flat = self.n, self.n_flat
         for x in whole:
             self._add(x, np.zeros(1, np.int64), np.array([len(x)]))
         number = np.concatenate(numbers)
@@ -211,11 +228,12 @@ class Encoder:
         ids = self.flat[np.repeat(self.starts[number] - ends + taken, taken) + np.arange(ends[-1])]
         lengths = np.array([len(n) for n in numbers]).reshape(-1, 2).sum(axis=1)
         per_text = np.add.reduceat(taken, np.cumsum(lengths) - lengths)
-        if keep == before:
-            for x in self.pieces.new:
-                del self.pieces[x]
-        self.n, self.n_flat = keep
-        self.pieces.new = []
+        self.n, self.n_flat, self.pieces.new = pieces, pieces_flat, []
+        uses = np.bincount(number, minlength=pieces)[:pieces]
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        if pieces > self.limit:
+            self._forget()
         return ids, per_text
 
 
@@ -223,9 +241,9 @@ _END = np.zeros(1, np.int64)
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, end_id: int) -> Encoder:
+def encoder(path: str, end_id: int, known: int) -> Encoder:
     """A Python worker keeps its encoder, and the pieces that it knows, from task to task."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, known)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 19) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -265,7 +283,7 @@ def write_token_files(docs: DataFrame, p: TokenFiles, ws: Workspace, id_col: str
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([payload], pa.binary())], schema=schema)
 
         for ids_in, texts in _slices(batches):
-            ids, per_text = encoder(p.tokenizer, p.end_id).encode(texts)
+            ids, per_text = encoder(p.tokenizer, p.end_id, p.known).encode(texts)
             doc_ids += ids_in
             lengths.append(per_text)
             held.append(ids)
