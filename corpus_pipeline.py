@@ -58,8 +58,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the mix to token files and returns what they hold of each document; a repeated document is written repeatedly."""
-    return token_index(docs, TokenFiles(default_tokenizer()))
+    """Writes the mix to token files and returns what they hold of each document; a repeated document is written repeatedly.
+    Workers that have served the other stages keep fewer pieces in memory."""
+    return token_index(docs, TokenFiles(default_tokenizer(), file_ids=1_000_000, known=200_000))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]

@@ -174,7 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decon
         return _windows(p, lengths, np.unpackbits(packed.value))(batches)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = source.mapInArrow(windows, "doc_id long, text_hash long, start int, length int, fp long, shingles binary")
+    # stored, so that no task needs two Python workers at once
+    found = ws.save(source.mapInArrow(windows, "doc_id long, text_hash long, start int, length int, fp long, shingles binary"), "windows")
 
     edges = [round(64 * i / p.blocks) for i in range(p.blocks + 1)]
 
