@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: SimHash windows, multi-index Hamming blocks, exact verification."""
+"""Benchmark passages in documents: windows met by the rarest shingles of items, exact verification."""
 
 from __future__ import annotations
 
@@ -7,33 +7,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shingles import WordHashes, rolling
+from .shingles import WordHashes, mix, rolling
 from .store import Workspace
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-#: Windows fingerprinted at a time.
+#: Windows looked at at a time.
 SPAN = 1 << 12
 
 
 @dataclass(frozen=True)
 class Decontamination:
-    """``radius``: bits in which fingerprints of a match may differ; a copy of 80 % similarity differs in fewer with
-    near certainty. ``filter_bits``: log2 of the bits of the shingle filter, a fixed 512 KB. ``small_index``: index rows
+    """``filter_bits``: log2 of the bits of each of the two shingle filters, a fixed 512 KB. ``small_index``: index rows
     up to which the index is broadcast."""
 
     shingle: int = 5
     percent: int = 80
-    radius: int = 15
     filter_bits: int = 22
     small_index: int = 200_000
 
-    @property
-    def blocks(self) -> int:
-        return self.radius + 1
-
 
 def tokens(text: str | None) -> list[bytes]:
     """Runs of letters and digits (and of characters beyond ASCII), A-Z lower-cased."""
@@ -48,6 +42,11 @@ def simhash(shingles: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(2 * (ones[width:] - ones[:-width]) > width, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
+def keys_of(shingles: np.ndarray, length: int) -> np.ndarray:
+    """Shingles as keys of the index, which differ by the length of the item."""
+    return mix(shingles + np.uint64(length * 0x9E3779B97F4A7C15 % 2**64))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Weighted Jaccard similarity of shingles, weights being counts, as (sum of minima, sum of maxima)."""
     x, n = np.unique(a, return_counts=True)
@@ -58,7 +57,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _items(p: Decontamination):
-    schema = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("fp", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("item_id", pa.int64()), ("length", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -68,20 +67,38 @@ def _items(p: Decontamination):
                 words = tokens(t.as_py())
                 if words:
                     s = rolling(words, p.shingle, hashes)
-                    rows.append((i, len(words), int(simhash(s, len(s)).view(np.int64)[0]), s.tobytes()))
+                    rows.append((i, len(words), s.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray):
-    """(doc_id, text_hash, start, length, fp, shingles): windows of items' lengths in which the share of shingles that
-    pass the filter allows the asked similarity; no other window can be similar enough."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("fp", pa.int64()), ("shingles", pa.binary())])
+def _keys(p: Decontamination):
+    """(uid, width, key, n): distinct shingles of items with their counts; ``width`` counts all."""
+    schema = pa.schema([("uid", pa.int64()), ("width", pa.int32()), ("key", pa.int64()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = []
+                for uid, length, x in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                    s = np.frombuffer(x, np.uint64)
+                    keys, n = np.unique(keys_of(s, length).view(np.int64), return_counts=True)
+                    rows += zip([uid] * len(keys), [len(s)] * len(keys), keys.tolist(), n.tolist())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed: np.ndarray):
+    """(doc_id, text_hash, start, length, keys, shingles): windows of items' lengths in which the share of shingles that
+    pass the filter allows the asked similarity and that hold an indexed key; no other window can be similar enough."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
     mask = np.uint64((1 << p.filter_bits) - 1)
 
-    def of(words: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, int, int, bytes]]:
+    def of(words: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in lengths:
             k = min(p.shingle, length)
@@ -102,9 +119,12 @@ def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray):
             for run_ in np.split(starts, cut) if len(starts) else []:
                 for at in range(0, len(run_), SPAN):
                     part = run_[at : at + SPAN]
-                    prints = simhash(s[part[0] : part[-1] + width], width).view(np.int64)
-                    for x in part:
-                        yield int(x), length, int(prints[x - part[0]]), s[x : x + width].tobytes()
+                    keys = keys_of(s[part[0] : part[-1] + width], length)
+                    on = np.flatnonzero(indexed[keys & mask])
+                    keys = keys[on].view(np.int64)
+                    lo, hi = np.searchsorted(on, part - part[0]), np.searchsorted(on, part - part[0] + width)
+                    for i in np.flatnonzero(lo < hi):
+                        yield int(part[i]), length, np.unique(keys[lo[i] : hi[i]]), s[part[i] : part[i] + width].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = WordHashes(), []
@@ -138,60 +158,67 @@ def _verify(p: Decontamination):
 
 
 def _filter_bits(p: Decontamination):
+    """Places in a filter: of hashes, or of all hashes in binary rows."""
     schema = pa.schema([("bit", pa.int32())])
     mask = np.uint64((1 << p.filter_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.frombuffer(s.as_py(), np.uint64) & mask for s in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).astype(np.int32))], schema=schema)
+            c = b.column(0)
+            hashes = c.to_numpy().view(np.uint64) if pa.types.is_integer(c.type) else np.concatenate([np.frombuffer(s.as_py(), np.uint64) for s in c] or [np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes & mask).astype(np.int32))], schema=schema)
 
     return run
 
 
+def _filter(hashes: DataFrame, p: Decontamination) -> np.ndarray:
+    seen = np.zeros(1 << p.filter_bits, np.uint8)
+    seen[hashes.mapInArrow(_filter_bits(p), "bit int").distinct().toPandas()["bit"].to_numpy(int)] = 1
+    return np.packbits(seen)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """(doc_id, text_hash, item_id, start, length, similarity): for each document row and benchmark item, the best window of
     the item's length whose weighted five-word shingle similarity to the item is ``percent`` or more.
 
-    Fingerprints are cut in radius + 1 blocks, so two that differ in at most ``radius`` bits agree in one
-    block at least: windows and items of one length are joined on length, block number and block, then held to the radius,
-    then verified on all their shingles. Windows that share too few shingles with the whole benchmark are
-    never fingerprinted: a filter of fixed size, sent to all tasks, tells them. The index is broadcast if it has at most
-    ``small_index`` rows and joined by a shuffle otherwise.
+    A window that is similar enough lacks few of an item's shingles, so it holds one at least of any few more: those of the
+    item that are rarest among items of its length are its keys. Windows and items are joined on keys, then
+    verified on all their shingles; no match is lost on the way. Windows that share too few shingles with the whole benchmark or
+    hold no key never leave their task: two filters of fixed size, sent to all tasks, tell them. The index is broadcast if
+    it has at most ``small_index`` rows and joined by a shuffle otherwise.
 
     Null, empty and wordless texts on either side match nothing. An item of fewer than five words is one
     shingle. Repeated documents give a row each once per (doc_id, text); repeated items one per id. Of equal
     windows the first counts. Empty tables give no rows.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "decontamination")
-    items = ws.save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items(p), "item_id long, length int, fp long, shingles binary"), "items")
+    told = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items(p), "item_id long, length int, shingles binary")
+    items = ws.save(told.distinct().withColumn("uid", F.xxhash64("item_id", "shingles")), "items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
-    seen = np.zeros(1 << p.filter_bits, np.uint8)
-    seen[items.select("shingles").mapInArrow(_filter_bits(p), "bit int").distinct().toPandas()["bit"].to_numpy(int)] = 1
-    packed = spark.sparkContext.broadcast(np.packbits(seen))
+    held = ws.save(items.select("uid", "length", "shingles").mapInArrow(_keys(p), "uid long, width int, key long, n int"), "keys")
+    ranked = held.join(held.groupBy("key").agg(F.count("*").alias("held_by")), "key")
+    before = F.sum("n").over(Window.partitionBy("uid").orderBy("held_by", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    # a window may lack width - need shingles, so the rarest width - need + 1 are enough
+    need = F.ceil(2 * F.col("width") * p.percent / (100 + p.percent))
+    index = ws.save(ranked.withColumn("before", before).where(F.col("before") <= F.col("width") - need).select("uid", "key"), "index")
+    packed = spark.sparkContext.broadcast((_filter(items.select("shingles"), p), _filter(index.select("key"), p)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _windows(p, lengths, np.unpackbits(packed.value))(batches)
+        return _windows(p, lengths, *map(np.unpackbits, packed.value))(batches)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # stored, so that no task needs two Python workers at once
-    found = ws.save(source.mapInArrow(windows, "doc_id long, text_hash long, start int, length int, fp long, shingles binary"), "windows")
-
-    edges = [round(64 * i / p.blocks) for i in range(p.blocks + 1)]
-
-    def cut(fp: str | Column) -> Column:
-        return F.array(*[F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])])
+    found = ws.save(source.mapInArrow(windows, "doc_id long, text_hash long, start int, length int, keys array<long>, shingles binary"), "windows")
 
-    index = items.select("item_id", "length", F.col("fp").alias("item_fp"), F.posexplode(cut("fp")).alias("no", "block"))
-    payload = items.select("item_id", "length", F.col("shingles").alias("its"))
+    index = index.join(index.groupBy("uid").agg(F.collect_list("key").alias("item_keys")), "uid")
+    payload = items.select("uid", "item_id", F.col("shingles").alias("its"))
     if index.count() <= p.small_index:
         index, payload = F.broadcast(index), F.broadcast(payload)
-    probe = found.select("*", F.posexplode(cut("fp")).alias("no", "block"))
-    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    # a pair is taken in the first block in which it agrees
-    first = F.array_position(cut(apart), F.lit(0).cast("long")) == F.col("no") + 1
-    candidates = probe.join(index, ["length", "no", "block"]).where((F.bit_count(apart) <= p.radius) & first)
-    checked = candidates.join(payload, ["item_id", "length"]).select("doc_id", "text_hash", "item_id", "start", "length", F.col("shingles").alias("mine"), "its")
+    probe = found.select("*", F.explode("keys").alias("key"))
+    # a pair is taken in the first key in which it agrees
+    first = F.element_at(F.array_intersect("item_keys", "keys"), 1) == F.col("key")
+    candidates = probe.join(index, "key").where(first)
+    checked = candidates.join(payload, "uid").select("doc_id", "text_hash", "item_id", "start", "length", F.col("shingles").alias("mine"), "its")
     leaks = checked.mapInArrow(_verify(p), "doc_id long, text_hash long, item_id long, start int, length int, similarity double")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "length")).alias("best")
     return leaks.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"), F.col("best.similarity").alias("similarity"))

@@ -207,6 +207,36 @@ def test_leak_edges(spark):
     assert D.find_leaks(docs(spark, rows), bench.where("false")).count() == 0 and D.find_leaks(docs(spark, []), bench).count() == 0
 
 
+def edited(rng, item, similarity):
+    """A copy of a passage of distinct words whose similarity is the given one or barely more: words are replaced apart."""
+    w, n = list(item), len(item) - 4
+    spoilt, places = set(), list(range(len(w)))
+    rng.shuffle(places)
+    for at in places:
+        more = spoilt | set(range(max(0, at - 4), min(n, at + 1)))
+        if (n - len(more)) / (n + len(more)) >= similarity:
+            w[at], spoilt = f"new{rng.getrandbits(40)}", more
+    return w, (n - len(spoilt)) / (n + len(spoilt))
+
+
+def test_leaks_at_the_threshold(spark):
+    rng, h = random.Random(3), D.WordHashes()
+    of = lambda w: D.rolling([x.encode() for x in w], 5, h)
+    bits = lambda w: D.simhash(of(w), len(w) - 4)[0]
+    items, rows, want, far = [], [], {}, 0
+    while len(items) < 60 or not far:
+        item = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([40, 49, 58, 94]))]
+        copy, similar = edited(rng, item, 0.8)
+        items.append((len(items), " ".join(item)))
+        rows.append((len(rows), " ".join(["before", *copy, "after"])))
+        want[rows[-1][0], items[-1][0]] = pytest.approx(similar)
+        far += int(bits(item) ^ bits(copy)).bit_count() > 15
+    # some at 0.8 exactly
+    assert any(s.expected == 0.8 for s in want.values())
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.find_leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_simhash_of_runs():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 2**63, 50, dtype=np.uint64)
