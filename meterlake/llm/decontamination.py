@@ -93,7 +93,8 @@ def _keys(p: Decontamination):
 
 
 def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed: np.ndarray):
-    """(doc_id, text_hash, start, length, keys, shingles): windows of items' lengths in which the share of shingles that
+    """(doc_id, text_hash, start, length, keys, shingles): windows of items' lengths, and whole documents for the longer
+    items to which they can be similar enough, in which the share of shingles that
     pass the filter allows the asked similarity and that hold an indexed key; no other window can be similar enough."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
     mask = np.uint64((1 << p.filter_bits) - 1)
@@ -102,16 +103,17 @@ def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in lengths:
             k = min(p.shingle, length)
-            if len(words) < length:
-                continue
+            # of the item and of the window
+            whole, width = length - k + 1, min(len(words), length) - k + 1
+            if width < 1 or 100 * width < p.percent * whole:
+                break  # nor will longer items do
             if k not in held:
                 s = rolling(words, k, hashes)
                 hit = seen[s & mask]
                 held[k] = s, np.concatenate([[0], np.cumsum(hit)])
             s, hits = held[k]
-            width = length - k + 1
-            # common / (2 width - common) >= percent / 100
-            need = -(-2 * width * p.percent // (100 + p.percent))
+            # common / (whole + width - common) >= percent / 100
+            need = -(-(whole + width) * p.percent // (100 + p.percent))
             if hits[-1] < need:
                 continue
             starts = np.flatnonzero(hits[width:] - hits[:-width] >= need)
@@ -124,7 +126,7 @@ def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed:
                     keys = keys[on].view(np.int64)
                     lo, hi = np.searchsorted(on, part - part[0]), np.searchsorted(on, part - part[0] + width)
                     for i in np.flatnonzero(lo < hi):
-                        yield int(part[i]), length, np.unique(keys[lo[i] : hi[i]]), s[part[i] : part[i] + width].tobytes()
+                        yield int(part[i]), min(len(words), length), np.unique(keys[lo[i] : hi[i]]), s[part[i] : part[i] + width].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = WordHashes(), []
@@ -179,7 +181,8 @@ def _filter(hashes: DataFrame, p: Decontamination) -> np.ndarray:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """(doc_id, text_hash, item_id, start, length, similarity): for each document row and benchmark item, the best window of
-    the item's length whose weighted five-word shingle similarity to the item is ``percent`` or more.
+    the item's length whose weighted five-word shingle similarity to the item is ``percent`` or more. A document
+    shorter than the item is one window, of its own length.
 
     A window that is similar enough lacks few of an item's shingles, so it holds one at least of any few more: those of the
     item that are rarest among items of its length are its keys. Windows and items are joined on keys, then
@@ -198,8 +201,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decon
     held = ws.save(items.select("uid", "length", "shingles").mapInArrow(_keys(p), "uid long, width int, key long, n int"), "keys")
     ranked = held.join(held.groupBy("key").agg(F.count("*").alias("held_by")), "key")
     before = F.sum("n").over(Window.partitionBy("uid").orderBy("held_by", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    # a window may lack width - need shingles, so the rarest width - need + 1 are enough
-    need = F.ceil(2 * F.col("width") * p.percent / (100 + p.percent))
+    # a window, the shortest document that will do at worst, may lack width - need shingles, so the rarest width - need + 1 are enough
+    need = F.ceil(F.col("width") * p.percent / 100)
     index = ws.save(ranked.withColumn("before", before).where(F.col("before") <= F.col("width") - need).select("uid", "key"), "index")
     packed = spark.sparkContext.broadcast((_filter(items.select("shingles"), p), _filter(index.select("key"), p)))
 

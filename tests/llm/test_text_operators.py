@@ -237,6 +237,29 @@ def test_leaks_at_the_threshold(spark):
     assert got == want
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng, h, p = random.Random(8), D.WordHashes(), D.Decontamination()
+    # words repeat, so that shingles have weights
+    items = [(i, rng.choices([f"w{j}" for j in range(5 if i % 4 == 0 else 300)], k=n)) for i, n in enumerate([5, 6, 9, 14, 15, 30, 50, 50, 51, 54, 70, 120])]
+    rows = [(None, []), (0, ["w1"])]
+    for i, w in items:
+        for cut in (1, 2, 3, *range(5, len(w) // 3, 5)):
+            rows += [(len(rows), w[cut:]), (len(rows) + 1, w[:-cut]), (len(rows) + 2, [*w[: len(w) // 2 - cut], "other", *w[len(w) // 2 :]])]
+    want = {}
+    for i, w in rows:
+        for item, other in items:
+            n = min(len(w), len(other))
+            for at in range(len(w) - n + 1) if n else ():
+                common, union = D.similarity(*(D.rolling([x.encode() for x in y], p.shingle, h) for y in (w[at : at + n], other)))
+                if 100 * common >= p.percent * union:
+                    want[i, item] = max(want.get((i, item), (0, 0, 0)), (common / union, -at, n))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for small in (p, D.Decontamination(small_index=0)):
+        got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"], r["length"]) for r in D.find_leaks(docs(spark, [(i, " ".join(w)) for i, w in rows]), bench, small).collect()}
+        assert got == want
+    assert sum(n < len(items[item][1]) for (_, item), (_, _, n) in want.items()) > 40
+
+
 def test_simhash_of_runs():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 2**63, 50, dtype=np.uint64)
