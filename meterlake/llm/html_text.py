@@ -36,9 +36,15 @@ IMPLIED_END = {
 #: an element that stands between its parent and a child that needs it
 IMPLIED_START = {"td": ("tr", {"tr"}), "th": ("tr", {"tr"}), "tr": ("tbody", {"tbody", "thead", "tfoot"})}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)""", re.S)
-_CONCEALED = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
-_COLSPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
+# An attribute as the tokenizer of the standard reads it: a quote opens a value only directly after "=" and white space.
+_VALUE = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|(?=>)|\Z)"""
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
+_UNNAMED = re.sub(r"\((?=\[\^)", "(?:", _VALUE)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{_NAME}(?:{_UNNAMED})?+)*+)(?:>|\Z)""", re.S)
+_TOLD = re.compile("hidden|style|colspan", re.I)
+_CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COLSPAN = re.compile(r"\s*(\d{1,3})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
@@ -50,6 +56,20 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of attributes of one name the first counts. Empty if none is of use here."""
+    out: dict[str, str] = {}
+    if _TOLD.search(attrs):
+        for name, *values in _ATTRIBUTE.findall(attrs):
+            out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def concealed(attrs: str) -> bool:
+    found = attributes(attrs)
+    return "hidden" in found or bool(_CONCEALED.search(found.get("style", "")))
+
+
 def parse(source: str) -> Node:
     root = Node("html")
     stack = [root]
@@ -189,7 +209,7 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if tag in HIDDEN or node.attrs and _CONCEALED.search(node.attrs):
+            if tag in HIDDEN or node.attrs and concealed(node.attrs):
                 continue
             if tag == "br":
                 out.end(keep=True)
@@ -225,7 +245,7 @@ def render(root: Node) -> str:
             cell = flows.pop().result()
             if not tables[-1]:
                 tables[-1].append([])
-            span = _COLSPAN.search(node.attrs)
+            span = _COLSPAN.match(attributes(node.attrs).get("colspan", ""))
             tables[-1][-1] += [cell] + [""] * (min(int(span[1]), 100) - 1 if span else 0)
             continue
         if tag == "table":

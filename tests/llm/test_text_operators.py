@@ -72,6 +72,10 @@ def test_spans_meet_each_gram_once(monkeypatch):
     ("<a href=\"x>y\">link</a> <img alt='no'>end", "link end"), ("</p></div>stray</td>", "stray"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"), ("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>", "wide\na     b"),
     ("<table><tr><td><table><tr><td>in</table><td>out</table>", "in  out"), ("<textarea><p>raw</textarea>", "<p>raw"), ("<blockquote>q</blockquote>", "  q"),
+    ('<p>a</p><a href="x"">link</a><p class="b">rest of page</p><p>end</p>', "a\n\nlink\n\nrest of page\n\nend"), ("<p title=don't>visible</p><p it's>too</p>", "visible\n\ntoo"),
+    ('<p class="nav hidden md:block">a<p title="the hidden path">b<p data-style="display:none">c<p title=\'x style="display:none"\'>d', "a\n\nb\n\nc\n\nd"),
+    ("<p style='backface-visibility:hidden'>a<p STYLE = display:none>no<p style=color:red;visibility:&#104;idden>no<p class=x HIDDEN=''>no<p =hidden>b<p/hidden>no", "a\n\nb"),
+    ("<p class=\"a\"hidden>no<p id='x>y' title= \">\" >a<a href=>b</a> <i x=a\"b>c</i>", "ab c"), ("<table><tr><td data-colspan=2>w<td colspan=' 2'>x<td>y<tr><td>a<td>b<td>c<td>d</table>", "w  x     y\na  b  c  d"),
 ])
 def test_rendering(source, text):
     assert H.visible_text(source) == text
