@@ -127,7 +127,8 @@ class Encoder:
     A byte-level BPE tokenizer cuts a text in pieces by a fixed pattern and encodes each alone, so each distinct piece need be
     encoded once. New pieces are encoded together, a line feed between any two, which is a piece and an id of its own. The
     pattern is applied here only to texts of characters on whose classes all implementations agree (ASCII and Latin
-    letters); other texts go to the tokenizer whole, as do all texts of a tokenizer of another kind. Beyond ``limit`` pieces
+    letters); other texts go to the tokenizer whole, as do texts that hold an added token such as <|endoftext|>, which has an
+    id of its own, and all texts of a tokenizer of another kind. Beyond ``limit`` pieces
     those go that were met once.
     """
 
@@ -141,13 +142,15 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.encode_special_tokens = True
+        # no piece: the tokenizer takes these out of a text before it cuts
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE"
         self.feed = self._encode("\n")
-        self.cuts = self.cuts and len(self.feed) == 1
+        self.cuts = self.cuts and len(self.feed) == 1 and not any("\n" in x for x in added)
         self.pieces = Pieces()
         self.pieces[""] = 0  # stands for the end of a text; no text has an empty piece
         # the ids of all pieces in one array, and where each piece's are
@@ -208,7 +211,7 @@ class Encoder:
         """(ids of all texts with their end ids, number of ids of each)."""
         numbers, whole = [], []
         for t in texts:
-            if self.cuts and not self.OTHER.search(t):
+            if self.cuts and not self.OTHER.search(t) and not self.added.search(t):
                 cut = self.CUT.findall(t)
                 n = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
             else:

@@ -303,6 +303,22 @@ def test_token_files_equal_the_tokenizer(spark):
     assert T.token_index(docs(spark, []), T.TokenFiles(default_tokenizer())).count() == 0
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(default_tokenizer())
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in added
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n日本", "<|endoftext| >", "a <|endoftext|> b"] + [f"it's {x} twice {x}12" for x in added]
+    got = [tuple(r) for r in T.token_index(docs(spark, list(enumerate(texts))), T.TokenFiles(default_tokenizer())).orderBy("start").collect()]
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_rows_keep_their_order_of_columns(spark):
     df = spark.createDataFrame([("t", 1)], "text string, doc_id long").select("text", "doc_id", F.lit(1).alias("n_tokens"))
     assert T.token_index(df, T.TokenFiles(default_tokenizer())).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
