@@ -253,8 +253,8 @@ def _links_past_hubs(tried: DataFrame, payload: DataFrame, roots: DataFrame, p:
     sizes = ws.save(marked.groupBy("hub", "stray").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks")), "sizes")
     one = F.struct("key", "root", "n", "sim", "exact", "hashes")
     # a member as far from the hub as the nearest stray allows; the rest cannot be linked to a stray
-    reach = ws.save(marked.where("stray").groupBy("hub").agg(F.max("sim").alias("near")), "reach")
     slack = F.when(F.col("exact"), F.lit(1e-9)).otherwise(F.lit(2 * p.slack))
+    reach = ws.save(marked.where("stray").groupBy("hub").agg(F.max(F.col("sim") + slack).alias("near")), "reach")
     fringe = marked.join(reach, "hub").where(F.col("stray") | (1 - F.col("sim") >= 1 - F.col("near") - (1 - p.percent / 100) - slack)).drop("near")
     placed = fringe.join(sizes, ["hub", "stray"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).select("hub", "stray", "block", "key", "root", "n", "sim", "exact")
     full = ws.save(placed.join(payload.select("key", "hashes"), "key"), "placed")

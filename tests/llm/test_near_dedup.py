@@ -73,6 +73,22 @@ def test_edges(spark):
     assert kept[5, 4] is False and kept[4, 4] is True and kept[None, None] is True and kept[None, 4] is False
 
 
+def test_strays_told_by_an_estimate_only(spark):
+    p, rng = N.NearDedup(), np.random.default_rng(0)
+    while True:
+        h = rng.integers(0, 2**64, 110, dtype=np.uint64)
+        hub, member, stray = (np.sort(h[at : at + 90]) for at in (0, 10, 20))
+        sim = N.estimate(*(N.registers(s, p.starts(), p.probes()) for s in (hub, stray)))
+        # similarity 7/11 to the hub, 0.8 to the member, but estimated too low to be verified
+        if sim < 0.58:
+            break
+    tried = spark.createDataFrame([(b"h", b"m", 90, 0.8, True, True), (b"h", b"y", 90, sim, False, False)], "hub binary, key binary, n long, sim double, exact boolean, link boolean")
+    payload = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in ((b"h", hub), (b"m", member), (b"y", stray))], "key binary, hashes binary")
+    roots = spark.createDataFrame([(b"h", b"h"), (b"m", b"h")], "node binary, root binary")
+    links = N._links_past_hubs(tried, payload, roots, p, Workspace(spark, "t")).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in links] == [(b"y", b"m")]
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(table(spark, []), N.NearDedup()).count() == 0
     assert got(spark, [(1, None)], 5) == [(1, 0, 1)]
