@@ -101,12 +101,12 @@ _VALUES = ", ".join(f"('{d}', '{p}', '{a}', DATE '{t}')" for d, p, a, t in URL_L
 ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": """
 WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_url_filter": f"""
 WITH listed(domain, prefix, action, listed_at) AS (VALUES {_VALUES}),

@@ -14,24 +14,45 @@ from meterlake.llm import topk, url_filters
 # exact top-k
 
 def brute_topk(rows, k, scale=64):
-    good = [(i, [math.floor(float(np.float32(c)) * scale) for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    """Every row is told apart by its place, so rows with one id answer each and meet each other."""
+    good = [(at, i, [math.floor(float(np.float32(c)) * scale) for c in v]) for at, (i, v) in enumerate(rows) if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q, a in good:
+    for at, q, a in good:
         if q % 5 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b))
+            scores = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for other, i, b in good if other != at and len(a) == len(b))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("p", [topk.TopK(k=7, block=40, step=8), topk.TopK(k=500, block=10_000), topk.TopK(k=3, pivots=2, block=16, step=1)])
+@pytest.mark.parametrize("p", [topk.TopK(k=7, block=40, group=8), topk.TopK(k=500, block=10_000), topk.TopK(k=3, pivots=2, block=16, group=1, lengths=1)])
 def test_topk_equals_all_scores(spark, p):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(150)] + [(200 + i, [0.5] * 8) for i in range(12)]
-    rows += [(300, None), (305, [1.0, None] + [0.0] * 6), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, []), (325, [1.0, 2.0]), (330, [3.0, 1.0])]
+    rows += [(300, None), (305, [1.0, None] + [0.0] * 6), (310, [float("nan")] * 8), (315, [float("inf")] * 8), (320, []), (325, [1.0, 2.0]), (330, [3.0, 1.0]), (None, [1.0] * 8)]
+    rows += [(200, [0.5] * 8), (5, [rng.gauss(0, 0.2) for _ in range(8)]), (5, [rng.gauss(0, 0.2) for _ in range(8)])]  # repeated rows and ids
+    # components beyond 2**24, 2**53 and 2**63 after scaling
+    rows += [(400 + i, [rng.choice([1, -1]) * rng.uniform(1, 9) * m for _ in range(8)]) for i, m in enumerate([1e5, 1e6, 1e8, 1e15, 1e20, 1e37] * 2)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, dim int")
     assert sorted(tuple(r) for r in topk.top_inner_products(df, F.col("vec_id") % 5 == 0, p).collect()) == brute_topk(rows, p.k)
 
 
+def test_pivots_rule_out_far_groups():
+    """Clustered vectors: the nearest pivots' groups are evaluated and most others never are."""
+    rng = np.random.default_rng(5)
+    p = topk.TopK(k=5, pivots=16, group=50)
+    centres = rng.standard_normal((16, 12)).round(1) * 1000
+    c = np.floor(np.repeat(centres, 500, axis=0) + rng.standard_normal((8000, 12)) * 20)
+    ids = np.arange(8000)
+    d = topk.distances(c, centres)
+    cuts = np.arange(0, 8000, p.group)
+    best = topk.Best(ids[::400] + 10_000, c[::400], d[::400], None, p)
+    best.search(ids, ids, c, np.maximum.reduceat((c * c).sum(1), cuts), np.minimum.reduceat(d, cuts), np.maximum.reduceat(d, cuts))
+    scores = c[::400] @ c.T
+    expected = [np.lexsort((ids, -s))[: p.k].tolist() for s in scores]
+    assert best.ids.reshape(20, p.k).tolist() == expected
+    assert best.evaluated < 0.35 * scores.size
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_inner_products(df, F.col("vec_id") % 20 == 0).count() == 0
