@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -17,7 +17,7 @@ from .store import Workspace
 
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
-#: Words' hashes in one block of a family; bounds what one row holds.
+#: Shingles of strays, and of all others, up to which a family is compared in one task; bounds what one row holds.
 BLOCK_HASHES = 1 << 16
 
 
@@ -121,7 +121,7 @@ def _signatures(p: NearDedup):
 
 
 def _payloads(p: NearDedup):
-    schema = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary()), ("regs", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary()), ("regs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, probes = WordHashes(), p.starts(), p.probes()
@@ -140,7 +140,7 @@ def _payloads(p: NearDedup):
 
 def _verify(p: NearDedup):
     """Rows (hub, key, n, hashes, regs, hub_n, hub_hashes, hub_regs) -> (hub, key, n, sim, exact, link)."""
-    schema = pa.schema([("hub", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("sim", pa.float64()), ("exact", pa.bool_()), ("link", pa.bool_())])
+    schema = pa.schema([("hub", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sim", pa.float64()), ("exact", pa.bool_()), ("link", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -161,8 +161,8 @@ def _verify(p: NearDedup):
 
 
 def _across(p: NearDedup):
-    """Rows (strays, members), each a block of (key, root, n, sim, exact, hashes) -> links (a, b)."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """Rows (strays, members), each a list of (key, root, n, sim, exact, hashes) -> links (a, b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     far = 1 - p.percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +194,16 @@ def _across(p: NearDedup):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, key, hashes) -> (hub, key, hash), a row for each shingle."""
+    for b in batches:
+        hashes = [np.frombuffer(x.as_py(), np.int64) for x in b.column("hashes")]
+        sizes = [len(x) for x in hashes]
+        for at in range(0, len(hashes), 64):
+            part, n = hashes[at : at + 64], sizes[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy()[at : at + 64], n)) for c in ("hub", "key")] + [pa.array(np.concatenate(part))], names=["hub", "key", "hash"])
+
+
 def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id that can be
     reached by links of similarity ``percent`` or more, its own included) and kept.
@@ -201,8 +211,10 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     Equal sets collapse to one class before anything is compared, so a group of exact copies costs one
     row. Bands then bring classes together in buckets. A bucket is not paired out: its most widely
     matched member is the hub, every other is verified against the hub on its full set, and only those
-    that miss the hub are compared, block by block, with the bucket's members of other components, as
-    far as the triangle inequality from the hub allows a link at all.
+    that miss the hub, the strays, are compared with the family's members of other components, as
+    far as the triangle inequality from the hub allows a link at all: directly in a small family, and in
+    a larger one through the shingles that are rarest in the family (``_links_past_hubs``), so that work does not grow with
+    the square of a family.
 
     Null and wordless texts have an empty set, no link and themselves as component. Repeated rows and
     rows sharing an id are separate rows of one component if their sets are linked. A null id never
@@ -212,55 +224,83 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     p, ws = params, Workspace(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = ws.save(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_signatures(p), "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>"), "signatures")
-    classes = ws.save(sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    classes = sigs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # numbered once: whole numbers are joined and aggregated by hash
+    classes = ws.save(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
 
     # a smaller set reaches the threshold with its equal only, which is in its class already
     banded = classes.where(F.col("n_shingles") * 100 >= p.percent * (F.col("n_shingles") + 1)).select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     multi = ws.save(banded.join(shared, "band"), "buckets")
     spread = multi.groupBy("key").agg(F.sum("members").alias("spread"))
-    hubs = ws.save(multi.join(spread, "key").groupBy("band").agg(F.max(F.struct("spread", "key")).alias("top")).select("band", F.col("top.key").alias("hub")), "hubs")
+    # a tie of ranks between members of one bucket may go either way; any hub leads to the same components
+    rank = F.col("spread") + F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    hubs = ws.save(multi.join(spread, "key").groupBy("band").agg(F.max_by("key", rank).alias("hub")), "hubs")
     stars = ws.save(multi.select("band", "key").join(hubs, "band").where("key <> hub").select("hub", "key").distinct(), "stars")
     ws.drop(multi, hubs)
 
     compared = stars.select("key").union(stars.select(F.col("hub").alias("key"))).distinct()
-    ids = classes.join(compared, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    named = ws.save(classes.join(compared, "key", "left_semi").select("key", "digest", "rep"), "compared")
+    ids = named.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    payload = ws.save(texts.mapInArrow(_payloads(p), "key binary, n long, hashes binary, regs binary").dropDuplicates(["key"]), "sets")
+    told = texts.mapInArrow(_payloads(p), "digest binary, n long, hashes binary, regs binary")
+    payload = ws.save(told.join(named.select("key", "digest"), "digest").drop("digest").dropDuplicates(["key"]), "sets")
     hub_side = payload.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"), F.col("regs").alias("hub_regs"))
     pairs = stars.join(payload, "key").join(hub_side, "hub").select("hub", "key", "n", "hashes", "regs", "hub_n", "hub_hashes", "hub_regs")
-    tried = ws.save(pairs.mapInArrow(_verify(p), "hub binary, key binary, n long, sim double, exact boolean, link boolean"), "tried")
+    tried = ws.save(pairs.mapInArrow(_verify(p), "hub long, key long, n long, sim double, exact boolean, link boolean"), "tried")
     links = ws.save(tried.where("link").select(F.col("hub").alias("a"), F.col("key").alias("b")), "links")
     more = _links_past_hubs(tried, payload, components(links, ws), p, ws)
     roots = components(links.unionByName(more), ws)
 
-    named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    named = classes.select("key", "digest", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("digest", "rep", F.coalesce("root", "key").alias("root"))
     named = ws.save(named, "named")
     least = ws.save(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    ofkey = ws.save(named.join(least, "root").select("key", "component_id", "root"), "components")
+    ofkey = ws.save(named.join(least, "root").select(F.col("digest").alias("key"), "component_id", "root"), "components")
     out = sigs.select("doc_id", "text_hash", "n_shingles", "key").join(ofkey, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash", "root"] if detail else []))
 
 
 def _links_past_hubs(tried: DataFrame, payload: DataFrame, roots: DataFrame, p: NearDedup, ws: Workspace) -> DataFrame:
-    """Links between members of one hub's family that the hub itself doesn't join."""
+    """Links between members of one hub's family that the hub itself doesn't join.
+
+    A family whose strays and whose others have at most ``BLOCK_HASHES`` shingles each is one row, compared in its task. Members of
+    a larger family meet by shingles: two sets of similarity 0.8 share a shingle among the first fifth (and one) of either, in
+    any common order; the order is how many members hold a shingle, so what the whole family shares comes last and
+    members meet by what sets them apart. No link is lost and no block meets every other.
+    """
     root_of = roots.withColumnRenamed("node", "key")
     hub_root = root_of.select(F.col("key").alias("hub"), F.col("root").alias("hub_root"))
     astray = ws.save(tried.where("not link").select("hub").distinct(), "astray")
     rooted = ws.save(tried.join(astray, "hub").join(root_of, "key", "left").select("hub", "key", "n", "sim", "exact", F.coalesce("root", "key").alias("root")), "rooted")
     marked = ws.save(rooted.join(hub_root, "hub", "left").withColumn("stray", F.col("root") != F.coalesce("hub_root", "hub")), "marked")
-    sizes = ws.save(marked.groupBy("hub", "stray").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks")), "sizes")
-    one = F.struct("key", "root", "n", "sim", "exact", "hashes")
     # a member as far from the hub as the nearest stray allows; the rest cannot be linked to a stray
     slack = F.when(F.col("exact"), F.lit(1e-9)).otherwise(F.lit(2 * p.slack))
     reach = ws.save(marked.where("stray").groupBy("hub").agg(F.max(F.col("sim") + slack).alias("near")), "reach")
-    fringe = marked.join(reach, "hub").where(F.col("stray") | (1 - F.col("sim") >= 1 - F.col("near") - (1 - p.percent / 100) - slack)).drop("near")
-    placed = fringe.join(sizes, ["hub", "stray"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).select("hub", "stray", "block", "key", "root", "n", "sim", "exact")
-    full = ws.save(placed.join(payload.select("key", "hashes"), "key"), "placed")
-    blocks = ws.save(full.groupBy("hub", "stray", "block").agg(F.collect_list(one).alias("rows")), "blocks")
-    strays = blocks.where("stray").select("hub", F.col("rows").alias("strays"))
-    met = strays.join(blocks.select("hub", F.col("rows").alias("members")), "hub").select("strays", "members")
-    found = ws.save(met.mapInArrow(_across(p), "a binary, b binary"), "links")
-    ws.drop(astray, rooted, marked, sizes, reach, full, blocks)
+    fringe = ws.save(marked.join(reach, "hub").where(F.col("stray") | (1 - F.col("sim") >= 1 - F.col("near") - (1 - p.percent / 100) - slack)).drop("near"), "fringe")
+    sizes = fringe.groupBy("hub").agg(F.sum(F.when(F.col("stray"), F.col("n"))).alias("strays"), F.sum(F.when(~F.col("stray"), F.col("n"))).alias("others"))
+    # strays meet strays too, so a family of two rows at least
+    sizes = ws.save(sizes.select("hub", (F.greatest("strays", F.coalesce("others", F.lit(0))) > BLOCK_HASHES).alias("large")), "sizes")
+    full = ws.save(fringe.join(sizes, "hub").join(payload.select("key", "hashes"), "key"), "placed")
+    one = F.struct("key", "root", "n", "sim", "exact", "hashes")
+    lists = full.where("not large").groupBy("hub").agg(F.collect_list(F.when(F.col("stray"), one)).alias("strays"), F.collect_list(one).alias("members"))
+    direct = lists.where("size(members) > 1").select("strays", "members").mapInArrow(_across(p), "a long, b long")
+
+    shingles = ws.save(full.where("large").select("hub", "key", "hashes").mapInArrow(_spread, "hub long, key long, hash long"), "shingles")
+    held = shingles.groupBy("hub", "hash").agg(F.count("*").alias("held")).where("held > 1")
+    shared = ws.save(shingles.join(held, ["hub", "hash"]), "shared")
+    alone = shared.groupBy("hub", "key").agg(F.count("*").alias("shared"))
+    by = Window.partitionBy("hub", "key").orderBy("held", "hash")
+    # shingles that no other member holds come first and meet nothing
+    room = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - (F.col("n") - F.col("shared"))
+    family = fringe.join(alone, ["hub", "key"]).select("hub", "key", "root", "stray", room.alias("room")).where("room > 0")
+    first = shared.withColumn("place", F.row_number().over(by)).join(family, ["hub", "key"]).where("place <= room")
+    first = ws.save(first.select("hub", "hash", "key", "root", "stray"), "first")
+    others = first.select("hub", "hash", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    met = first.where("stray").join(others, ["hub", "hash"]).where("root <> other_root").select(F.least("key", "other").alias("hub"), F.greatest("key", "other").alias("key")).distinct()
+    left = payload.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"), F.col("regs").alias("hub_regs"))
+    pairs = met.join(payload, "key").join(left, "hub").select("hub", "key", "n", "hashes", "regs", "hub_n", "hub_hashes", "hub_regs")
+    indirect = pairs.mapInArrow(_verify(p), "hub long, key long, n long, sim double, exact boolean, link boolean").where("link").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    found = ws.save(direct.unionByName(indirect), "links")
+    ws.drop(astray, rooted, marked, fringe, sizes, reach, full, shingles, shared, first)
     return found

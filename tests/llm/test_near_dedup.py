@@ -73,7 +73,7 @@ def test_edges(spark):
     assert kept[5, 4] is False and kept[4, 4] is True and kept[None, None] is True and kept[None, 4] is False
 
 
-def test_strays_told_by_an_estimate_only(spark):
+def test_strays_told_by_an_estimate_only(spark, monkeypatch):
     p, rng = N.NearDedup(), np.random.default_rng(0)
     while True:
         h = rng.integers(0, 2**64, 110, dtype=np.uint64)
@@ -82,11 +82,28 @@ def test_strays_told_by_an_estimate_only(spark):
         # similarity 7/11 to the hub, 0.8 to the member, but estimated too low to be verified
         if sim < 0.58:
             break
-    tried = spark.createDataFrame([(b"h", b"m", 90, 0.8, True, True), (b"h", b"y", 90, sim, False, False)], "hub binary, key binary, n long, sim double, exact boolean, link boolean")
-    payload = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in ((b"h", hub), (b"m", member), (b"y", stray))], "key binary, hashes binary")
-    roots = spark.createDataFrame([(b"h", b"h"), (b"m", b"h")], "node binary, root binary")
-    links = N._links_past_hubs(tried, payload, roots, p, Workspace(spark, "t")).collect()
-    assert [(bytes(r["a"]), bytes(r["b"])) for r in links] == [(b"y", b"m")]
+    tried = spark.createDataFrame([(1, 2, 90, 0.8, True, True), (1, 3, 90, sim, False, False)], "hub long, key long, n long, sim double, exact boolean, link boolean")
+    regs = [bytearray(N.registers(s, p.starts(), p.probes()).tobytes()) for s in (hub, member, stray)]
+    payload = spark.createDataFrame([(k, 90, bytearray(s.tobytes()), r) for k, s, r in zip((1, 2, 3), (hub, member, stray), regs)], "key long, n long, hashes binary, regs binary")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    for limit in (N.BLOCK_HASHES, 10):
+        monkeypatch.setattr(N, "BLOCK_HASHES", limit)
+        links = N._links_past_hubs(tried, payload, roots, p, Workspace(spark, "t")).collect()
+        assert [sorted((r["a"], r["b"])) for r in links] == [[2, 3]]
+
+
+def test_large_families_meet_by_their_rarest_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_HASHES", 50)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    # look-alikes at a similarity of about 0.7 to each other, some of them in pairs or chains that only they link
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for i in range(60):
+        t = base[:100] + [f"x{i}y{j}" for j in range(25)]
+        docs += [(10 * i + j, " ".join(t[: 125 - 5 * j])) for j in range(rng.choice([1, 1, 2, 3]))]
+    docs += family(rng, words, 40, 14, 5000)
+    assert got(spark, docs, 2) == brute(docs, 2)
 
 
 def test_empty_table(spark):
@@ -115,3 +132,10 @@ def test_components_of_chains_and_stars(spark):
     roots = {r["node"]: r["root"] for r in components(df, Workspace(spark, "t")).collect()}
     assert len({roots[i] for i in range(61)}) == 1 and len({roots[100 + i] for i in range(40)}) == 1 and roots[200] == roots[201] and 300 not in roots
     assert components(df.where("a < 0"), Workspace(spark, "t")).count() == 0
+
+
+def test_rounds_grow_with_the_logarithm(spark):
+    ws = Workspace(spark, "t")
+    found = components(spark.range(100_000).selectExpr("id as a", "id + 1 as b"), ws)
+    assert found.select("root").distinct().count() == 1 and found.count() == 100_001
+    assert (ws._n - 1) // 5 <= 20  # five tables a round
