@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import find_leaks
 from .html_text import extract_text
 from .langid import held_out_predictions
-from .licenses import scan_licenses
+from .licenses import LicenseScan, scan_licenses
 from .mixing import mix_sizes
 from .near_dedup import NearDedup, near_duplicates
 from .quality import fit, grade, ratings_of
@@ -96,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_near_dedup, op2_language_id, op3_topk_search, op4_html_text, op5_license_scan, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_mixing)
 }
 
+_TEMPLATES = ", ".join(f"('{t.name}', '{t.label}', {str(t.whole).lower()}, {1.0 if t.whole else t.share}::DOUBLE, {t.k}, {t.words!r})" for t in LicenseScan().templates)
 _VALUES = ", ".join(f"('{d}', '{p}', '{a}', DATE '{t}')" for d, p, a, t in URL_LIST)
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,6 +109,34 @@ WITH v AS (
   FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op5_license_scan": f"""
+WITH t(template, label, whole, least, k, ws) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT template, k, len(ws) AS length, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS t_pos FROM t),
+tg AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM tw WINDOW o AS (PARTITION BY template ORDER BY t_pos)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), dw AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+dg AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM dw WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+g AS (
+  SELECT rid, template, k, length, pos - t_pos AS diagonal, min(t_pos) AS first_t, max(t_pos) AS last_t, list_distinct(flatten(list(range(t_pos, t_pos + k)))) AS in_place
+  FROM dg JOIN tg ON dg.w = tg.w AND dg.w1 = tg.w1 AND (k = 2 OR dg.w2 = tg.w2 AND dg.w3 = tg.w3) GROUP BY ALL HAVING count(*) > 1 OR k = 2
+), n AS (
+  SELECT *, diagonal + first_t AS start, diagonal + last_t + k AS stop FROM g
+), b AS (
+  SELECT n.*, label, whole, least, coalesce(whole OR abs(diagonal - lag(diagonal) OVER o) > 3 OR start - lag(stop) OVER o > length OR first_t <= lag(last_t) OVER o, true)::INTEGER AS new
+  FROM n JOIN t USING (template, k) WINDOW o AS (PARTITION BY rid, template ORDER BY start, diagonal)
+), s AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY start, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM b),
+f AS (
+  SELECT rid, label, whole, least, min(diagonal) AS diagonal, len(list_distinct(flatten(list(in_place))))::DOUBLE / greatest(max(length), max(stop) - min(start)) AS share
+  FROM s GROUP BY rid, template, label, whole, least, span
+), r AS (
+  SELECT rid, count(*) FILTER (WHERE whole) AS n_base, min(diagonal) FILTER (WHERE whole) AS first_word, max(diagonal) FILTER (WHERE whole) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE whole))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM f WHERE share >= least GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (rid)""",
     "op7_url_filter": f"""
 WITH listed(domain, prefix, action, listed_at) AS (VALUES {_VALUES}),
 valid AS (SELECT domain, prefix, action, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY domain, prefix ORDER BY listed_at) AS valid_to FROM listed),
