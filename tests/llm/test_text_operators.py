@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,12 +53,54 @@ def test_language_edges(spark):
     assert [r["lang_pred"] for r in langid.held_out_predictions(docs(spark, [(0, "abc", None)])).collect()] == ["und"]
 
 
+def brute_grams(text, p):
+    codes = [ord(c) for c in text.lower()]
+    for n in p.orders:
+        for i in range(len(codes) - n + 1):
+            h = n
+            for m, c in zip(langid._MULTIPLIERS.tolist(), codes[i : i + n]):
+                h = (h ^ c) * m % 2**64
+                h ^= h >> 15
+            yield h % p.buckets
+
+
+def brute_languages(rows, p):
+    """Naive Bayes text by text with dictionaries; (lang_pred, score) of each row."""
+    taught = [(t, k) for i, t, k in rows if t and k is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    sizes = Counter(k for _, k in taught)
+    counts = {k: Counter() for k in sizes}
+    for t, k in taught:
+        counts[k].update(brute_grams(t, p))
+    logs = {k: {b: math.log((c[b] + p.alpha) / (sum(c.values()) + p.alpha * p.buckets)) for b in range(p.buckets)} for k, c in counts.items()}
+    out = []
+    for _, t, _ in rows:
+        if not logs or t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        found = list(brute_grams(t, p))
+        totals = {k: math.log(n / len(taught)) + sum(logs[k][b] for b in found) for k, n in sizes.items()}
+        best = min(totals, key=lambda k: (-round(totals[k], 6), k))
+        out.append((best, 1 / sum(math.exp(v - totals[best]) for v in totals.values())))
+    return out
+
+
+def test_predictions_equal_naive_bayes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SPAN", 50)
+    p = langid.LangId(buckets=512, cells=3000)
+    rows = sample(60, 4) + [(100, "the of", "tie b"), (102, "the of", "tie a"), (103, "the of", None), (104, "İ ı", "xx"), (105, None, "xx"), (106, "...", "yy"), (None, "der und", "yy"), (107, "und der x" * 300, "yy")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.held_out_predictions(docs(spark, rows), p).collect()}
+    for (i, _, _), (k, score) in zip(rows, brute_languages(rows, p)):
+        assert got[i][0] == k and got[i][1] == pytest.approx(score, abs=1e-6)
+
+
 def test_spans_meet_each_gram_once(monkeypatch):
     p = langid.LangId()
     t = "".join(random.Random(1).choices("abcdé ", k=1000))
-    whole = sorted(np.concatenate(list(langid.grams(t, p))))
+    found = lambda texts: sorted(zip(*(np.concatenate(x).tolist() for x in zip(*((np.repeat(r, np.diff(np.append(s, len(g)))), g) for r, s, g in langid.grams(texts, p, 300))))))
+    whole = sorted(brute_grams(t, p))
+    assert [g for _, g in found([t])] == whole and len(whole) == 1000 + 999 + 998
     monkeypatch.setattr(langid, "SPAN", 64)
-    assert sorted(np.concatenate(list(langid.grams(t, p)))) == whole and len(whole) == 1000 + 999 + 998
+    assert found([t, "", "x", t]) == sorted([(0, g) for g in whole] + [(2, g) for g in brute_grams("x", p)] + [(3, g) for g in whole])
 
 
 # HTML
