@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -17,7 +17,7 @@ from .store import Workspace
 
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
-#: Shingles of strays, and of all others, up to which a family is compared in one task; bounds what one row holds.
+#: Words' hashes in one block of a family; bounds what one row holds.
 BLOCK_HASHES = 1 << 16
 
 
@@ -161,7 +161,7 @@ def _verify(p: NearDedup):
 
 
 def _across(p: NearDedup):
-    """Rows (strays, members), each a list of (key, root, n, sim, exact, hashes) -> links (a, b)."""
+    """Rows (strays, members), each a block of (key, root, n, sim, exact, hashes, regs) -> links (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     far = 1 - p.percent / 100
 
@@ -171,21 +171,25 @@ def _across(p: NearDedup):
                 for strays, members in zip(*b.columns):
                     strays, members = strays.as_py(), members.as_py()
                     sets = [np.frombuffer(m["hashes"], np.uint64) for m in members]
-                    all_, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
+                    sizes = np.array([len(s) for s in sets])
+                    regs = np.array([np.frombuffer(m["regs"], np.uint16) for m in members])
                     sims, exact = np.array([m["sim"] for m in members]), np.array([m["exact"] for m in members])
                     for y in strays:
                         n = y["n"]
                         slack = np.where(exact & y["exact"], 1e-9, 2 * p.slack)
                         fit = (np.minimum(sizes, n) * 100 >= p.percent * np.maximum(sizes, n)) & (1 - sims >= 1 - y["sim"] - far - slack)
-                        if not fit.any():
+                        fit = np.flatnonzero(fit)
+                        alike = (regs[fit] == np.frombuffer(y["regs"], np.uint16)).mean(1)
+                        fit = fit[(np.minimum(sizes[fit], n) < p.small) | (alike * 100 >= p.percent - 100 * p.slack)]
+                        if not len(fit):
                             continue
                         s = np.frombuffer(y["hashes"], np.uint64)
-                        found = s[np.minimum(np.searchsorted(s, all_), n - 1)] == all_
-                        common = np.diff(np.concatenate([[0], np.cumsum(found)])[ends])
                         told = {y["root"]}
-                        for i in np.flatnonzero(fit & (100 * common >= p.percent * (sizes + n - common))):
-                            if (root := members[i]["root"]) not in told:  # one link to a component is as good as all
+                        for i in fit:
+                            if (root := members[i]["root"]) in told:  # one link to a component is as good as all
+                                continue
+                            common = int((s[np.minimum(np.searchsorted(s, sets[i]), n - 1)] == sets[i]).sum())
+                            if 100 * common >= p.percent * (sizes[i] + n - common):
                                 told.add(root)
                                 yield y["key"], members[i]["key"]
 
@@ -194,16 +198,6 @@ def _across(p: NearDedup):
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, key, hashes) -> (hub, key, hash), a row for each shingle."""
-    for b in batches:
-        hashes = [np.frombuffer(x.as_py(), np.int64) for x in b.column("hashes")]
-        sizes = [len(x) for x in hashes]
-        for at in range(0, len(hashes), 64):
-            part, n = hashes[at : at + 64], sizes[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy()[at : at + 64], n)) for c in ("hub", "key")] + [pa.array(np.concatenate(part))], names=["hub", "key", "hash"])
-
-
 def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id that can be
     reached by links of similarity ``percent`` or more, its own included) and kept.
@@ -211,10 +205,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     Equal sets collapse to one class before anything is compared, so a group of exact copies costs one
     row. Bands then bring classes together in buckets. A bucket is not paired out: its most widely
     matched member is the hub, every other is verified against the hub on its full set, and only those
-    that miss the hub, the strays, are compared with the family's members of other components, as
-    far as the triangle inequality from the hub allows a link at all: directly in a small family, and in
-    a larger one through the shingles that are rarest in the family (``_links_past_hubs``), so that work does not grow with
-    the square of a family.
+    that miss the hub, the strays, are compared, block by block, with the family's members of other components, as
+    far as the triangle inequality from the hub allows a link at all (``_links_past_hubs``).
 
     Null and wordless texts have an empty set, no link and themselves as component. Repeated rows and
     rows sharing an id are separate rows of one component if their sets are linked. A null id never
@@ -264,43 +256,26 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
 def _links_past_hubs(tried: DataFrame, payload: DataFrame, roots: DataFrame, p: NearDedup, ws: Workspace) -> DataFrame:
     """Links between members of one hub's family that the hub itself doesn't join.
 
-    A family whose strays and whose others have at most ``BLOCK_HASHES`` shingles each is one row, compared in its task. Members of
-    a larger family meet by shingles: two sets of similarity 0.8 share a shingle among the first fifth (and one) of either, in
-    any common order; the order is how many members hold a shingle, so what the whole family shares comes last and
-    members meet by what sets them apart. No link is lost and no block meets every other.
+    Strays meet the others of their family in blocks of bounded size. A pair's registers are compared first, which is a few
+    nanoseconds, so that full sets are compared only where the estimate allows a link; still, pairs of strays and others grow
+    with the square of a family whose members look alike and are not linked.
     """
     root_of = roots.withColumnRenamed("node", "key")
     hub_root = root_of.select(F.col("key").alias("hub"), F.col("root").alias("hub_root"))
     astray = ws.save(tried.where("not link").select("hub").distinct(), "astray")
     rooted = ws.save(tried.join(astray, "hub").join(root_of, "key", "left").select("hub", "key", "n", "sim", "exact", F.coalesce("root", "key").alias("root")), "rooted")
     marked = ws.save(rooted.join(hub_root, "hub", "left").withColumn("stray", F.col("root") != F.coalesce("hub_root", "hub")), "marked")
+    sizes = ws.save(marked.groupBy("hub", "stray").agg(F.ceil(F.sum("n") / BLOCK_HASHES).alias("blocks")), "sizes")
+    one = F.struct("key", "root", "n", "sim", "exact", "hashes", "regs")
     # a member as far from the hub as the nearest stray allows; the rest cannot be linked to a stray
     slack = F.when(F.col("exact"), F.lit(1e-9)).otherwise(F.lit(2 * p.slack))
     reach = ws.save(marked.where("stray").groupBy("hub").agg(F.max(F.col("sim") + slack).alias("near")), "reach")
-    fringe = ws.save(marked.join(reach, "hub").where(F.col("stray") | (1 - F.col("sim") >= 1 - F.col("near") - (1 - p.percent / 100) - slack)).drop("near"), "fringe")
-    sizes = fringe.groupBy("hub").agg(F.sum(F.when(F.col("stray"), F.col("n"))).alias("strays"), F.sum(F.when(~F.col("stray"), F.col("n"))).alias("others"))
-    # strays meet strays too, so a family of two rows at least
-    sizes = ws.save(sizes.select("hub", (F.greatest("strays", F.coalesce("others", F.lit(0))) > BLOCK_HASHES).alias("large")), "sizes")
-    full = ws.save(fringe.join(sizes, "hub").join(payload.select("key", "hashes"), "key"), "placed")
-    one = F.struct("key", "root", "n", "sim", "exact", "hashes")
-    lists = full.where("not large").groupBy("hub").agg(F.collect_list(F.when(F.col("stray"), one)).alias("strays"), F.collect_list(one).alias("members"))
-    direct = lists.where("size(members) > 1").select("strays", "members").mapInArrow(_across(p), "a long, b long")
-
-    shingles = ws.save(full.where("large").select("hub", "key", "hashes").mapInArrow(_spread, "hub long, key long, hash long"), "shingles")
-    held = shingles.groupBy("hub", "hash").agg(F.count("*").alias("held")).where("held > 1")
-    shared = ws.save(shingles.join(held, ["hub", "hash"]), "shared")
-    alone = shared.groupBy("hub", "key").agg(F.count("*").alias("shared"))
-    by = Window.partitionBy("hub", "key").orderBy("held", "hash")
-    # shingles that no other member holds come first and meet nothing
-    room = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - (F.col("n") - F.col("shared"))
-    family = fringe.join(alone, ["hub", "key"]).select("hub", "key", "root", "stray", room.alias("room")).where("room > 0")
-    first = shared.withColumn("place", F.row_number().over(by)).join(family, ["hub", "key"]).where("place <= room")
-    first = ws.save(first.select("hub", "hash", "key", "root", "stray"), "first")
-    others = first.select("hub", "hash", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    met = first.where("stray").join(others, ["hub", "hash"]).where("root <> other_root").select(F.least("key", "other").alias("hub"), F.greatest("key", "other").alias("key")).distinct()
-    left = payload.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"), F.col("regs").alias("hub_regs"))
-    pairs = met.join(payload, "key").join(left, "hub").select("hub", "key", "n", "hashes", "regs", "hub_n", "hub_hashes", "hub_regs")
-    indirect = pairs.mapInArrow(_verify(p), "hub long, key long, n long, sim double, exact boolean, link boolean").where("link").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    found = ws.save(direct.unionByName(indirect), "links")
-    ws.drop(astray, rooted, marked, fringe, sizes, reach, full, shingles, shared, first)
+    fringe = marked.join(reach, "hub").where(F.col("stray") | (1 - F.col("sim") >= 1 - F.col("near") - (1 - p.percent / 100) - slack)).drop("near")
+    placed = fringe.join(sizes, ["hub", "stray"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).select("hub", "stray", "block", "key", "root", "n", "sim", "exact")
+    full = ws.save(placed.join(payload.select("key", "hashes", "regs"), "key"), "placed")
+    blocks = ws.save(full.groupBy("hub", "stray", "block").agg(F.collect_list(one).alias("rows")), "blocks")
+    strays = blocks.where("stray").select("hub", F.col("rows").alias("strays"))
+    met = strays.join(blocks.select("hub", F.col("rows").alias("members")), "hub").select("strays", "members")
+    found = ws.save(met.mapInArrow(_across(p), "a long, b long"), "links")
+    ws.drop(astray, rooted, marked, sizes, reach, full, blocks)
     return found

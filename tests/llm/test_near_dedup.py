@@ -92,7 +92,7 @@ def test_strays_told_by_an_estimate_only(spark, monkeypatch):
         assert [sorted((r["a"], r["b"])) for r in links] == [[2, 3]]
 
 
-def test_large_families_meet_by_their_rarest_shingles(spark, monkeypatch):
+def test_large_families_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_HASHES", 50)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(300)]
