@@ -90,9 +90,21 @@ def test_urls_meet_the_entries_of_their_day(spark):
     e = spark.createDataFrame(entries, "domain string, prefix string, action string, listed_at date")
     got = sorted(repr((r["page_id"], r["fetched_at"], r["blocked"], r["action"])) for r in url_filters.filter_urls(c, e).collect())
     assert got == sorted(repr((i, t, *brute_rule(u, t, entries))) for i, u, t in rows)
+    # two actions on one date, IPv6, long paths
+    e2 = spark.createDataFrame([("[::1]", "/", "block", day(0)), ("t.org", "/", "block", day(0)), ("t.org", "/", "allow", day(0)), ("t.org", "/" + "a" * 5000, "remove", day(1))], e.schema)
+    c2 = spark.createDataFrame([(1, "http://[::1]:8080/x", day(1), ""), (2, "http://t.org/y", day(2), ""), (3, "http://t.org/" + "a" * 100_000, day(3), "")], c.schema)
+    assert sorted((r["page_id"], r["host"], r["blocked"]) for r in url_filters.filter_urls(c2, e2).collect()) == [(1, "[::1]", True), (2, "t.org", True), (3, "t.org", True)]
     assert not any(r["blocked"] for r in url_filters.filter_urls(c, e.where("false")).collect()) and url_filters.filter_urls(c.where("false"), e).count() == 0
 
 
+def test_a_host_with_very_many_rules(spark):
+    e = spark.range(100_000).select(F.lit("big.org").alias("domain"), F.concat(F.lit("/p"), F.col("id")).alias("prefix"), F.lit("block").alias("action"), F.lit(dt.date(2024, 1, 1)).alias("listed_at"))
+    urls = [(i, f"https://big.org/p{i}", dt.date(2024, 1, i % 2 + 1)) for i in range(99_990, 100_010)] + [(1, "https://big.org/q", dt.date(2024, 2, 1)), (2, "https://a.big.org/p7/x", dt.date(2023, 2, 1))]
+    got = {r["page_id"]: (r["blocked"], r["prefix"]) for r in url_filters.filter_urls(spark.createDataFrame(urls, "page_id long, url string, fetched_at date"), e).collect()}
+    # p100001 begins with p10000
+    assert got == {i: (True, f"/p{i if i < 100_000 else str(i)[:5]}") for i in range(99_990, 100_010)} | {1: (False, None), 2: (False, None)}
+
+
 # mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_id long, size int, copies string"
