@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,10 +16,10 @@ from .store import text_batches
 # Fixed values of the HTML standard: elements by how they parse and lay out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg datalist".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr caption ul".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes audio video canvas datalist defs desc metadata symbol".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary svg table tbody td text tfoot th thead tr caption ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu".split())
-CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption option legend summary".split())
+CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption option legend summary svg text".split())
 #: start tag -> (open elements that it ends, elements beyond which it doesn't look)
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -42,9 +43,15 @@ _NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _UNNAMED = re.sub(r"\((?=\[\^)", "(?:", _VALUE)
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{_NAME}(?:{_UNNAMED})?+)*+)(?:>|\Z)""", re.S)
-_TOLD = re.compile("hidden|style|colspan", re.I)
+_TOLD = re.compile("hidden|style|colspan|rowspan", re.I)
 _CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_COLSPAN = re.compile(r"\s*(\d{1,3})")
+_NUMBER = re.compile(r"[ \t\n\r\f]*(\d{1,9})")
+# Fixed values of the HTML standard: a cell spans so many columns and rows at most.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Lines are indented by so many columns at most, cells wider than WIDE don't widen their column, columns that begin after LINE are
+#: not aligned, tables nested deeper than DEEP are read as running text and rows spanned are followed in the first FOLLOWED
+#: columns, so that no page takes or gives more than a multiple of its own length.
+INDENT, WIDE, LINE, DEEP, FOLLOWED = 40, 100, 400, 16, 100
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
@@ -70,21 +77,31 @@ def concealed(attrs: str) -> bool:
     return "hidden" in found or bool(_CONCEALED.search(found.get("style", "")))
 
 
+def span(attrs: dict[str, str], name: str, most: int) -> int:
+    m = _NUMBER.match(attrs.get(name, ""))
+    return max(1, min(int(m[1]), most)) if m else 1
+
+
 def parse(source: str) -> Node:
+    """The tree of a page. Where the open elements of a name stand is kept, so that no tag searches the stack."""
     root = Node("html")
     stack = [root]
+    open_at: dict[str, list[int]] = defaultdict(list)
+
+    def pop() -> None:
+        open_at[stack.pop().tag].pop()
 
     def close(tags: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        """Ends the innermost open element of ``tags`` and all inside it, unless one of ``stop`` stands between."""
+        at = max((open_at[t][-1] for t in tags if open_at[t]), default=0)
+        if at and at >= max((open_at[t][-1] for t in stop if open_at[t]), default=0):
+            while len(stack) > at:
+                pop()
 
     def push(tag: str, attrs: str = "") -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        open_at[tag].append(len(stack))
         stack.append(node)
 
     at, n = 0, len(source)
@@ -93,7 +110,7 @@ def parse(source: str) -> Node:
         text = source[at : m.start() if m else n]
         if text:
             if len(stack) > 1 and stack[-1].tag == "head" and not text.isspace():
-                stack.pop()
+                pop()
             stack[-1].children.append(text)
         if not m:
             break
@@ -102,7 +119,7 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(x.tag != "p" for x in stack):
+            if tag == "p" and not open_at["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -112,7 +129,7 @@ def parse(source: str) -> Node:
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in _HEAD_ONLY:
-            stack.pop()
+            pop()
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "li", "div", "blockquote", "button"})
         if tag in IMPLIED_END:
@@ -122,7 +139,7 @@ def parse(source: str) -> Node:
             if tag in ("tbody", "thead", "tfoot"):
                 close({"tr"}, {"table"})
             close(set(ends), set(stop))
-        while tag in IMPLIED_START and any(x.tag == "table" for x in stack):
+        while tag in IMPLIED_START and open_at["table"]:
             between, parents = IMPLIED_START[tag]
             if stack[-1].tag in parents:
                 break
@@ -136,9 +153,9 @@ def parse(source: str) -> Node:
             stop = end.start() if end else n
             stack[-1].children.append(source[at:stop])
             at = end.end() if end else n
-            stack.pop()
+            pop()
         elif tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in BLOCK:
-            stack.pop()
+            pop()
     return root
 
 
@@ -150,7 +167,7 @@ class Writer:
         self.line: list[str] = []
         self.gap = 0
         self.marker = ""
-        self.indent: list[str] = []
+        self.indent = 0
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
@@ -173,9 +190,9 @@ class Writer:
         if self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = " " * min(self.indent, INDENT)
         if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
+            lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
         self.lines.append(f"{lead}{line}" if line else "")
 
@@ -188,18 +205,56 @@ class Writer:
         return "\n".join(self.lines)
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Cells in columns of equal width, two spaces apart; several lines of a cell are joined."""
-    rows = [[" ".join(c.split()) for c in r] for r in rows if any(c.strip() for c in r)]
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return ["  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
+class Table:
+    """Cells by row and column; a cell that spans rows or columns leaves the places after it empty."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict[int, str]] = []
+        self.column = 0
+        self.taken: dict[int, int] = {}  # column -> the last row that a cell from above reaches
+
+    def row(self) -> None:
+        self.rows.append({})
+        self.column = 0
+
+    def cell(self, text: str, attrs: dict[str, str]) -> None:
+        if not self.rows:
+            self.row()
+        at = len(self.rows) - 1
+        while self.taken.get(self.column, -1) >= at:
+            self.column += 1
+        wide, down = span(attrs, "colspan", MOST_COLUMNS), span(attrs, "rowspan", MOST_ROWS)
+        if down > 1:
+            self.taken.update(dict.fromkeys(range(self.column, min(self.column + wide, FOLLOWED)), at + down - 1))
+        if text := " ".join(text.split()):
+            self.rows[-1][self.column] = text
+        self.column += wide
+
+    def lines(self) -> Iterator[str]:
+        """Columns of equal width, two spaces apart, without columns and rows that are empty throughout."""
+        width: dict[int, int] = {}
+        for r in self.rows:
+            for i, c in r.items():
+                width[i] = max(width.get(i, 0), len(c) if len(c) <= WIDE else 0)
+        starts, at = {}, 0
+        for i in sorted(width):
+            starts[i] = at
+            at += width[i] + 2
+        for r in self.rows:
+            line, n = [], 0
+            for i, c in r.items():  # cells come in order of columns
+                pad = max(2 if n else 0, starts[i] - n if starts[i] <= LINE else 0)
+                line += [" " * pad, c]
+                n += pad + len(c)
+            if line:
+                yield "".join(line)
 
 
 def render(root: Node) -> str:
     flows = [Writer()]
-    tables: list[list[list[str]]] = []
+    tables: list[Table] = []
     lists: list[list] = []
-    pre = 0
+    pre = deep = 0
     work: list[tuple[object, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
@@ -222,42 +277,44 @@ def render(root: Node) -> str:
                 if lists:
                     lists[-1][1] += 1
                 marker = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
-                out.indent.append(" " * len(marker))
+                out.indent += len(marker)
                 out.marker = marker
-            elif tag == "blockquote":
-                out.indent.append("  ")
-            elif tag == "dd":
-                out.indent.append("  ")
+            elif tag in ("blockquote", "dd"):
+                out.indent += 2
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
-                tables[-1].append([])
-            elif tag in ("td", "th") and tables:
+                if len(tables) < DEEP:
+                    tables.append(Table())
+                else:
+                    deep += 1
+            elif tag == "tr" and tables and not deep:
+                tables[-1].row()
+            elif tag in ("td", "th") and tables and not deep:
                 flows.append(Writer())
             elif tag in ("td", "th"):
                 out.text(" ", False)
             work.append((node, True))
             work.extend((c, False) for c in reversed(node.children))
             continue
-        if tag in ("td", "th") and tables:
-            cell = flows.pop().result()
-            if not tables[-1]:
-                tables[-1].append([])
-            span = _COLSPAN.match(attributes(node.attrs).get("colspan", ""))
-            tables[-1][-1] += [cell] + [""] * (min(int(span[1]), 100) - 1 if span else 0)
+        if tag in ("td", "th") and tables and not deep:
+            tables[-1].cell(flows.pop().result(), attributes(node.attrs))
             continue
-        if tag == "table":
-            for line in _table(tables.pop()):
+        if tag == "table" and deep:
+            deep -= 1
+        elif tag == "table":
+            for line in tables.pop().lines():
                 out.line.append(line)
                 out.end()
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         if tag in BLOCK:
             out.block(tag in SPACED and not (tag in ("ul", "ol", "menu") and lists))
-        if tag in ("li", "blockquote", "dd"):
-            out.indent.pop()
+        if tag == "li":
+            out.indent -= len(f"{lists[-1][1]}. ") if lists and lists[-1][0] == "ol" else 2
+            out.marker = ""
+        elif tag in ("blockquote", "dd"):
+            out.indent -= 2
             out.marker = ""
         elif tag == "pre":
             pre -= 1
@@ -274,8 +331,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Missing and unclosed tags are supplied, what the page hides (head, scripts, templates, ``hidden``,
     ``display:none``) is left out, blocks stand on lines of their own with a blank line around
     paragraphs, headings, lists and tables, list items have markers by depth and table cells are aligned
-    in columns. Null or empty HTML gives an empty text; repeated rows give repeated results. Nesting is
-    walked without recursion, so depth and length are bounded by the page itself only.
+    in columns, across spanned columns and rows. Text of drawings (svg) is visible, each piece on a line. Null or empty HTML gives an empty
+    text; repeated rows give repeated results. Nesting is walked without recursion, in time that grows with the page's
+    length only. Indents and the alignment of tables are bounded (see ``INDENT``); no text is lost by these bounds.
     """
     text_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_words", pa.int64())])

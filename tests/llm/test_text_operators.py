@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +126,90 @@ def test_rendering(source, text):
     assert H.visible_text(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<svg><title>no</title><text>seen</text><defs><text>no</text></defs><text>too</text></svg>end", "seen\ntoo\nend"), ("<object>instead</object>", "instead"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td rowspan=3 colspan=2>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tr><td colspan=5000>a<td>b<tr><td>c</table>", "a  b\nc"), ("<table><tr><td rowspan=x>a<td colspan=-1>b</table>", "a  b"),
+    ("<table><tr><td>" + "w" * 300 + "<td>x<tr><td>y<td>z</table>", "w" * 300 + "  x\ny  z"),
+])
+def test_drawings_and_spans(source, text):
+    assert H.visible_text(source) == text
+
+
+def random_page(rng, depth=0):
+    """(HTML, words that show, in order), built from a tree; end tags that HTML lets out are let out now and then."""
+    html, words = [], []
+
+    def say(shown=True):
+        w = f"w{rng.randrange(10**9)}"
+        html.append(f" {w} ")
+        if shown:
+            words.append(w)
+
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["text", "p", "div", "b", "hidden", "ul", "table", "script", "br", "dl"] if depth < 4 else ["text", "b"])
+        inner, shown = random_page(rng, depth + 1) if kind in ("div", "hidden", "dl") else ("", [])
+        if kind == "text":
+            say()
+        elif kind in ("p", "b"):
+            html.append(f"<{kind} class='hidden'>")
+            say()
+            html.append(rng.choice(["</p><!-- <b>x</b> -->", "<div></div>"]) if kind == "p" else "</b>")
+        elif kind == "div":
+            html.append(f"<div>{inner}</div>")
+            words += shown
+        elif kind == "hidden":
+            html.append(f"<div {rng.choice(['hidden', 'style=display:none'])}>{inner}</div>")
+        elif kind == "script":
+            html.append("<script>if (1 < 2) document.write('<p>no')</script>")
+        elif kind == "br":
+            html.append("<br>")
+        elif kind == "dl":
+            html.append("<dl><dt>")
+            say()
+            html.append(f"<dd>{inner}</dl>")
+            words += shown
+        elif kind == "ul":
+            html.append("<ul>")
+            for _ in range(rng.randrange(1, 4)):
+                words.append("-")
+                html.append("<li>")
+                say()
+                html.append(rng.choice(["", "</li>"]))
+            html.append("</ul>")
+        else:
+            html.append("<table>")
+            for _ in range(rng.randrange(1, 4)):
+                html.append(rng.choice(["<tr>", "<tbody><tr>"]))
+                for _ in range(rng.randrange(1, 4)):
+                    html.append(f"<td colspan={rng.randrange(4)} rowspan={rng.randrange(3)}>")
+                    say()
+                    html.append(rng.choice(["", "</td>"]))
+                html.append(rng.choice(["", "</tr>"]))
+            html.append("</table>")
+    return "".join(html), words
+
+
+def test_visible_words_equal_the_tree():
+    rng = random.Random(3)
+    for _ in range(400):
+        source, words = random_page(rng)
+        assert H.visible_text(source).split() == words, source
+
+
+@pytest.mark.parametrize("start, step", [("", "<b>"), ("<p><table>", "<b>"), ("", "<blockquote>x"), ("<table>", "<tr><td rowspan=9999>a<td>b"), ("", "<table><tr><td>x"), ("<table><tr><td>" + "y" * 9000, "<tr><td>a<td>b")])
+def test_time_and_length_grow_with_the_page(start, step):
+    def took(n):
+        source = start + step * n + "</p><div></div>" * n
+        began = time.process_time()
+        text = H.visible_text(source)
+        assert len(text) <= 60 * len(source)
+        return time.process_time() - began
+
+    small, large = min(took(2000) for _ in range(3)), min(took(16_000) for _ in range(2))
+    assert large < 25 * small + 0.2  # eight times the page; 64 times if the stack were searched
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 20_000 + "x"
     odd = "<a b=\"" * 20_000
