@@ -20,13 +20,15 @@ SPAN = 1 << 12
 
 @dataclass(frozen=True)
 class Decontamination:
-    """``filter_bits``: log2 of the bits of each of the two shingle filters, a fixed 512 KB. ``small_index``: index rows
-    up to which the index is broadcast."""
+    """``filter_bits``: log2 of the most bits that each of the two shingle filters may take (8 MB); they take 16 a shingle of the
+    benchmark if that is less. Fuller filters let more windows pass, and lose none. ``small_index``, ``small_bytes``: rows of the
+    index and bytes of the items' shingles up to which both are broadcast."""
 
     shingle: int = 5
     percent: int = 80
-    filter_bits: int = 22
+    filter_bits: int = 26
     small_index: int = 200_000
+    small_bytes: int = 16 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,12 +94,12 @@ def _keys(p: Decontamination):
     return run
 
 
-def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed: np.ndarray):
+def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed: np.ndarray, log2: int):
     """(doc_id, text_hash, start, length, keys, shingles): windows of items' lengths, and whole documents for the longer
     items to which they can be similar enough, in which the share of shingles that
     pass the filter allows the asked similarity and that hold an indexed key; no other window can be similar enough."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
-    mask = np.uint64((1 << p.filter_bits) - 1)
+    mask = np.uint64((1 << log2) - 1)
 
     def of(words: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, int, np.ndarray, bytes]]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -115,6 +117,8 @@ def _windows(p: Decontamination, lengths: list[int], seen: np.ndarray, indexed:
             # common / (whole + width - common) >= percent / 100
             need = -(-(whole + width) * p.percent // (100 + p.percent))
             if hits[-1] < need:
+                if k == p.shingle:
+                    break  # longer items need more
                 continue
             starts = np.flatnonzero(hits[width:] - hits[:-width] >= need)
             cut = np.flatnonzero((np.diff(starts) > width)) + 1
@@ -159,10 +163,10 @@ def _verify(p: Decontamination):
     return run
 
 
-def _filter_bits(p: Decontamination):
+def _filter_bits(log2: int):
     """Places in a filter: of hashes, or of all hashes in binary rows."""
     schema = pa.schema([("bit", pa.int32())])
-    mask = np.uint64((1 << p.filter_bits) - 1)
+    mask = np.uint64((1 << log2) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,10 +177,12 @@ def _filter_bits(p: Decontamination):
     return run
 
 
-def _filter(hashes: DataFrame, p: Decontamination) -> np.ndarray:
-    seen = np.zeros(1 << p.filter_bits, np.uint8)
-    seen[hashes.mapInArrow(_filter_bits(p), "bit int").distinct().toPandas()["bit"].to_numpy(int)] = 1
-    return np.packbits(seen)
+def _filter(hashes: DataFrame, log2: int) -> np.ndarray:
+    """A filter of ``1 << log2`` bits, packed; its words are put together on Spark, so that its own size is all that the driver gets."""
+    bits = hashes.mapInArrow(_filter_bits(log2), "bit int").groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("bits")).toPandas()
+    words = np.zeros(1 << log2 - 5, "<u4")
+    words[bits["word"].to_numpy(int)] = bits["bits"].to_numpy(np.int64)
+    return words.view(np.uint8)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
@@ -204,10 +210,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decon
     # a window, the shortest document that will do at worst, may lack width - need shingles, so the rarest width - need + 1 are enough
     need = F.ceil(F.col("width") * p.percent / 100)
     index = ws.save(ranked.withColumn("before", before).where(F.col("before") <= F.col("width") - need).select("uid", "key"), "index")
-    packed = spark.sparkContext.broadcast((_filter(items.select("shingles"), p), _filter(index.select("key"), p)))
+    log2 = min(p.filter_bits, max(16, (16 * held.count()).bit_length()))
+    packed = spark.sparkContext.broadcast((_filter(items.select("shingles"), log2), _filter(index.select("key"), log2)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _windows(p, lengths, *map(np.unpackbits, packed.value))(batches)
+        return _windows(p, lengths, *(np.unpackbits(x, bitorder="little") for x in packed.value), log2)(batches)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # stored, so that no task needs two Python workers at once
@@ -215,7 +222,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decon
 
     index = index.join(index.groupBy("uid").agg(F.collect_list("key").alias("item_keys")), "uid")
     payload = items.select("uid", "item_id", F.col("shingles").alias("its"))
-    if index.count() <= p.small_index:
+    size = items.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0)).alias("bytes")).first()["bytes"]
+    if index.count() <= p.small_index and size <= p.small_bytes:
         index, payload = F.broadcast(index), F.broadcast(payload)
     probe = found.select("*", F.explode("keys").alias("key"))
     # a pair is taken in the first key in which it agrees
