@@ -59,8 +59,8 @@ def copies(docs: DataFrame, p: Mixing, ws: Workspace) -> DataFrame:
     expectation for every stretch of the order, so for every range of sizes.
 
     The running sum needs a rank, not a pass: groups of about ``group`` documents of one source and size, cut by the hash,
-    are counted, the counts are summed up in order, and only ranks within a group are sorted out. No
-    task sees a whole source, however large.
+    are counted, the counts are summed up in order, first by size and then by group, and only ranks within a group are sorted
+    out. No task sees a whole source, however large; the one window over a source has a row for each size of its texts.
     """
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     counts = ws.save(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
@@ -70,8 +70,12 @@ def copies(docs: DataFrame, p: Mixing, ws: Workspace) -> DataFrame:
     cut = rows.alias("r").join(parts.alias("c"), same("r", "c") & (F.col("r.size") == F.col("c.size"))).select("r.*", F.floor(F.col("h") * F.col("groups") / F.lit(float(1 << 32))).alias("group"))
     cut = ws.save(cut, "groups")
     grouped = cut.groupBy("source", "size", "group").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("source").orderBy("size", "group").rowsBetween(Window.unboundedPreceding, -1)
-    first = ws.save(grouped.select("source", "size", "group", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("first")), "ranks")
+    # two levels: the sizes of a source, of which there are as many as texts differ in length, then the groups of a size
+    above = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = counts.where("size > 0").select("source", "size", F.coalesce(F.sum("n").over(above("source").orderBy("size")), F.lit(0)).alias("smaller"))
+    within = grouped.select("source", "size", "group", F.coalesce(F.sum("n").over(above("source", "size").orderBy("group")), F.lit(0)).alias("within"))
+    first = within.alias("w").join(smaller.alias("s"), same("w", "s") & (F.col("w.size") == F.col("s.size"))).select("w.source", "w.size", "w.group", (F.col("smaller") + F.col("within")).alias("first"))
+    first = ws.save(first, "ranks")
     inside = cut.withColumn("inside", F.row_number().over(Window.partitionBy("source", "size", "group").orderBy("h", "doc_id", "row_id")) - 1)
     ranked = inside.alias("i").join(first.alias("f"), same("i", "f") & (F.col("i.size") == F.col("f.size")) & (F.col("i.group") == F.col("f.group"))).select("i.row_id", (F.col("first") + F.col("inside")).alias("rank"))
     known = docs.alias("d").join(F.broadcast(by_source).alias("t") if by_source.count() <= 10_000 else by_source.alias("t"), same("d", "t")).select("d.*", "source_size", "target")
