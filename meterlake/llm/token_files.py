@@ -270,7 +270,7 @@ def write_token_files(docs: DataFrame, p: TokenFiles, ws: Workspace, id_col: str
 
     Each task writes the files of one range of ids, the ids ranked by their frequency in the file, so that
     a file is read by itself and no count of the corpus has to come first. Files are stored as rows of a Parquet table,
-    which any store that Spark reaches can hold. A null id comes first; rows of one id are ordered by text; a null text
+    which any store that Spark reaches can hold. A null id comes first; rows of one id are ordered by a hash of their text; a null text
     is an empty one and makes a document of its end id alone.
     """
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("payload", pa.binary())])
@@ -298,7 +298,9 @@ def write_token_files(docs: DataFrame, p: TokenFiles, ws: Workspace, id_col: str
         if doc_ids:
             yield file()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    # by id and then by text, so that rows of one id don't all fall in one range
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return ws.save(ordered.mapInArrow(run, "part long, seq long, payload binary"), "token-files")
 
 
