@@ -29,16 +29,33 @@ def sample_prices(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from values {rows} as t({', '.join(c.split()[0] for c in PRICE_COLUMNS.split(', '))})")
 
 
+def bare_model(model: Column, prefixes: tuple[str, ...]) -> Column:
+    bare = model
+    for p in prefixes:
+        bare = F.when(model.startswith(p), F.substring(model, len(p) + 1, 1000)).otherwise(bare)
+    return bare
+
+
+def with_prices_or_fallback(entries: DataFrame, prices: DataFrame, aliases: DataFrame, fallback: str, prefixes: tuple[str, ...] = ("anthropic/", "anthropic.", "openai/")) -> DataFrame:
+    """``with_prices`` for a vendor whose unknown models are charged like the model ``fallback``: the name as it is, else without a vendor
+    prefix, else the one that ``aliases`` (alias, model) gives it, else the fallback, which ``is_fallback`` tells. Both lists are
+    broadcast after a look at their size."""
+    known = broadcast_if_small(prices.select(F.col("model").alias("known")).distinct())
+    e = entries.withColumn("_bare", bare_model(F.col("model"), prefixes))
+    e = e.join(broadcast_if_small(aliases.select(F.col("alias").alias("_bare"), F.col("model").alias("_alias"))), "_bare", "left")
+    for name, key in (("_k0", "model"), ("_k1", "_bare"), ("_k2", "_alias")):
+        e = e.join(known.withColumnRenamed("known", name), F.col(key) == F.col(name), "left")
+    e = e.withColumn("price_key", F.coalesce("_k0", "_k1", "_k2", F.lit(fallback))).withColumn("is_fallback", F.coalesce("_k0", "_k1", "_k2").isNull()).drop("_bare", "_alias", "_k0", "_k1", "_k2")
+    return e.join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left")
+
+
 def with_prices(entries: DataFrame, prices: DataFrame, prefixes: tuple[str, ...] = ("anthropic/", "anthropic.", "openai/")) -> DataFrame:
     """A left join on the model's name, or on the name without a vendor prefix; a miss leaves the rates null.
 
     The price list has one row per model and is broadcast after a look at its size: entries have few distinct models, so a shuffle
     on them would put most of a log in one task.
     """
-    bare = F.col("model")
-    for p in prefixes:
-        bare = F.when(F.col("model").startswith(p), F.substring(F.col("model"), len(p) + 1, 1000)).otherwise(bare)
-    return entries.withColumn("price_key", bare).join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left").drop("price_key")
+    return entries.withColumn("price_key", bare_model(F.col("model"), prefixes)).join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left").drop("price_key")
 
 
 def tiered(tokens: Column, rate: Column, hi: Column, threshold: int = TIER) -> Column:
@@ -57,20 +74,34 @@ def cache_create_cost(flat: Column, hour: Column) -> Column:
     return F.when((flat <= 0) | (h <= 0), tiered(flat, rate, F.col("create_hi"))).otherwise(split)
 
 
+def _tiered(tokens: str, rate: str, hi: str) -> str:
+    return f"CASE WHEN {tokens} <= 0 THEN 0D WHEN {tokens} > {TIER} AND {hi} IS NOT NULL THEN {TIER} * {rate} + ({tokens} - {TIER}) * {hi} ELSE {tokens} * {rate} END"
+
+
+def _create(hour: str) -> str:
+    """Cache writes as ``cache_create_cost`` prices them."""
+    flat = "cache_create_tokens"
+    plain = _tiered(flat, "create_rate", "create_hi")
+    if not hour:
+        return plain
+    h = f"greatest(0, least(coalesce({hour}, 0), {flat}))"
+    below, above, part = f"least({flat}, {TIER})", f"greatest(0, {flat} - {TIER})", f"({h} / {flat})"
+    split = (f"({below} * {part}) * (input_rate * {HOUR_WRITE_FACTOR}D) + ({above} * {part}) * (coalesce(input_hi, input_rate) * {HOUR_WRITE_FACTOR}D)"
+             f" + ({below} * (1 - {part})) * create_rate + ({above} * (1 - {part})) * coalesce(create_hi, create_rate)")
+    return f"CASE WHEN {flat} <= 0 OR {h} <= 0 THEN {plain} ELSE {split} END"
+
+
 def entry_cost(mode: str = "auto", hour_split: bool = True) -> Column:
     """The cost of an entry with its prices joined. ``display``: the recorded cost or 0; ``auto``: the recorded cost if there is
     one; ``calculate``: from tokens. Unknown models cost 0. Fast entries are multiplied."""
     if mode not in ("auto", "calculate", "display"):
         raise ValueError(f"unknown cost mode {mode!r}")
-    raw = F.col("cost_usd_raw")
     if mode == "display":
-        return F.coalesce(raw, F.lit(0.0))
-    create = cache_create_cost(F.col("cache_create_tokens"), F.col("cache_1h_tokens") if hour_split else F.lit(None).cast("long"))
-    total = (tiered(F.col("input_tokens"), F.col("input_rate"), F.col("input_hi")) + tiered(F.col("output_tokens"), F.col("output_rate"), F.col("output_hi"))
-             + create + tiered(F.col("cache_read_tokens"), F.col("read_rate"), F.col("read_hi")))
-    total = F.when(F.col("speed") == "fast", total * F.coalesce("fast_factor", F.lit(1.0))).otherwise(total)
-    total = F.when(F.col("input_rate").isNull(), 0.0).otherwise(total)
-    return F.coalesce(raw, total) if mode == "auto" else total
+        return F.coalesce("cost_usd_raw", F.lit(0.0))
+    # one expression as text is built far faster than the same as nested columns
+    total = " + ".join(f"({x})" for x in (_tiered("input_tokens", "input_rate", "input_hi"), _tiered("output_tokens", "output_rate", "output_hi"), _create("cache_1h_tokens" if hour_split else ""), _tiered("cache_read_tokens", "read_rate", "read_hi")))
+    total = f"CASE WHEN input_rate IS NULL THEN 0D ELSE ({total}) * CASE WHEN speed = 'fast' THEN coalesce(fast_factor, 1D) ELSE 1D END END"
+    return F.expr(f"coalesce(cost_usd_raw, {total})" if mode == "auto" else total)
 
 
 def cumulative_entry_cost(input_tokens: Column, cached: Column, output: Column) -> Column:
@@ -105,7 +136,8 @@ def nano(cost: Column) -> Column:
 
 
 def stable_sum(cost: Column) -> Column:
-    """The sum of a cost in dollars, the same for any partitioning."""
+    """The sum of a cost in dollars, the same for any partitioning. Each cost is rounded to a billionth of a dollar first, so the sum
+    is exact in billionths and not the exactly rounded sum of the doubles: they differ by at most half a billionth an entry."""
     return F.sum(nano(cost)) / F.lit(1e9)
 
 

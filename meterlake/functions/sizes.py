@@ -7,5 +7,9 @@ from pyspark.sql import functions as F
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, which a limited count tells; else as it is, to be joined by a shuffle."""
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by a shuffle. The plan itself knows
+    for lists given as values and for limits; of other tables a limited count tells."""
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and bound.get() <= rows:
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

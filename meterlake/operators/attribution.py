@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def adopt_spend(entries: DataFrame, windows: DataFrame, unit_seconds: int) -> DataFrame:
     """(entry_id, account) for entries (entry_id, root, ts) that no account owns: the one account that all windows (root, start, end,
     account) over the entry's time name; none or several leave it alone, and a window without an account says nothing. Times
-    are epoch seconds; entries and windows meet in units of time."""
-    w = windows.where("account is not null").withColumn("_u", F.explode(F.sequence(F.floor(F.col("start") / unit_seconds), F.floor(F.col("end") / unit_seconds))))
+    are epoch seconds. Overlapping windows of one account are one before entries meet them in units of time, so an entry meets
+    a few stretches per account, however many windows there are."""
+    by = Window.partitionBy("root", "account").orderBy("start")
+    w = windows.where("account is not null and start < end").groupBy("root", "account", "start").agg(F.max("end").alias("end"))
+    open_until = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    w = w.withColumn("_new", F.coalesce((F.col("start") > open_until).cast("int"), F.lit(1))).withColumn("_n", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    w = w.groupBy("root", "account", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    w = w.withColumn("_u", F.explode(F.sequence(F.floor(F.col("start") / unit_seconds), F.floor(F.col("end") / unit_seconds))))
     e = entries.withColumn("_u", F.floor(F.col("ts") / unit_seconds))
     met = e.join(w, ["root", "_u"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
     g = met.groupBy("entry_id").agg(F.min("account").alias("account"), F.max("account").alias("_hi"))
@@ -24,7 +30,9 @@ def resolve_assertions(assertions: DataFrame, groups: DataFrame) -> DataFrame:
     conflict; else resolved."""
     a = assertions.select("op_id", "axes", "account", F.explode("resets").alias("reset"))
     g = groups.select("group_id", "axes", "in_scope", "native", F.explode("resets").alias("reset"))
-    hit = a.join(g, ["axes", "reset"]).groupBy("op_id").agg(F.min("group_id").alias("group_id"), F.max("group_id").alias("_hi"), F.bool_and("in_scope").alias("in_scope"), F.max("native").alias("native"))
+    # groups are summed up per reset first, so that an assertion meets one row for each reset of its own
+    parts = lambda hi: [F.min("group_id").alias("group_id"), F.max(hi).alias("_hi"), F.bool_and("in_scope").alias("in_scope"), F.max("native").alias("native")]
+    hit = a.join(g.groupBy("axes", "reset").agg(*parts("group_id")), ["axes", "reset"]).groupBy("op_id").agg(*parts("_hi"))
     j = assertions.select("op_id", "account").join(hit, "op_id", "left")
     one = F.col("group_id") == F.col("_hi")
     outcome = (F.when(F.col("group_id").isNull(), "dormant").when(~one, "split").when(~F.col("in_scope"), "model_scoped").when(F.col("native").isNotNull(), "native").otherwise("resolved"))
@@ -48,8 +56,6 @@ def fold_owners(rows: DataFrame, by: list[str], call: str, position: str) -> Dat
 def collision_safe_labels(identities: DataFrame) -> DataFrame:
     """(identity, label) -> with ``shown``: the first identity of a label keeps it, others get a number; one that would spell a literal
     label moves on by as many numbers as its label has literal look-alikes."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("label").orderBy("identity"))
     taken = identities.select(F.regexp_extract("label", r"^(.*) \((\d+)\)$", 1).alias("label")).where("label <> ''").groupBy("label").agg(F.count("*").alias("_skip"))
     j = identities.withColumn("_n", n).join(taken, "label", "left")

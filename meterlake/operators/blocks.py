@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 HOUR = 3_600_000_000
 
 
+def _runs(rows: DataFrame, by: list[str], at: str, length: int) -> DataFrame:
+    """Adds ``_run``: rows of a key that follow each other by less than ``length``. What lies further apart can't share a block or
+    overlap, so runs are folded one by one, however long a key's history is."""
+    w = Window.partitionBy(*by).orderBy(at)
+    new = F.coalesce((F.col(at) - F.lag(at).over(w) >= length).cast("int"), F.lit(1))
+    return rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def fixed_blocks(entries: DataFrame, by: list[str], hours: int = 5) -> DataFrame:
     """(*by, start, end, first_ts, last_ts, entries): a block starts at the full hour of its first entry and lasts ``hours``; the
     first entry at or after its end opens the next one. Blocks follow from each other, so a key's entries are folded in order.
 
-    What is folded is one row per key and hour, an hour's first and last entry: a new block can begin within an hour
-    only at a later hour's start plus the length, which is a full hour again, so an hour never straddles two blocks. A
-    key's array thus grows with the hours it was active in and not with its entries.
+    What is folded is one number per key and active hour: a new block can begin within an hour
+    only at a later hour's start plus the length, which is a full hour again, so an hour never straddles two blocks. After
+    ``hours`` idle hours a block begins in any case, so each run of activity is folded by itself, and only block starts come out of
+    the fold; a block then meets its own hours by an equality.
     """
-    hour = F.floor(F.unix_micros("ts") / HOUR) * HOUR
+    hour = F.floor(F.unix_micros("ts") / HOUR)
     hourly = entries.groupBy(*by, hour.alias("hour")).agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("z"), F.count("*").alias("n"))
-    folded = hourly.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("hour", "a", "z", "n"))).alias("hours"))
-    # only block starts are decided by the fold, an array of numbers; the hours are then matched to them
+    folded = _runs(hourly.select(*by, "hour"), by, "hour", hours).groupBy(*by, "_run").agg(F.array_sort(F.collect_list("hour")).alias("hours"))
     starts = F.aggregate(
         "hours", F.array().cast("array<bigint>"),
-        lambda acc, h: F.when((F.size(acc) == 0) | (h.hour >= F.try_element_at(acc, F.lit(-1)) + hours * HOUR), F.array_append(acc, h.hour)).otherwise(acc))
+        lambda acc, h: F.when((F.size(acc) == 0) | (h >= F.try_element_at(acc, F.lit(-1)) + hours), F.array_append(acc, h)).otherwise(acc))
     # outer, as an inner one would have Spark fold twice, once to see whether the array is empty; it never is
-    flat = folded.select(*by, starts.alias("starts"), "hours").select(*by, "hours", F.posexplode_outer("starts").alias("no", "s"))
-    inside = F.filter("hours", lambda h: (h.hour >= F.col("s")) & (h.hour < F.col("s") + hours * HOUR))
-    b = flat.select(*by, "s", inside.alias("i"))
+    blocks = folded.select(*by, starts.alias("starts")).select(*by, F.explode_outer("starts").alias("s"))
+    inside = blocks.select(*by, "s", F.explode(F.sequence(F.col("s"), F.col("s") + (hours - 1))).alias("hour"))
     at = F.timestamp_micros
-    return b.select(*by, at("s").alias("start"), at(F.col("s") + hours * HOUR).alias("end"), at(F.array_min(F.transform("i", lambda h: h.a))).alias("first_ts"), at(F.array_max(F.transform("i", lambda h: h.z))).alias("last_ts"), F.aggregate("i", F.lit(0).cast("bigint"), lambda s, h: s + h.n).alias("entries"))
+    b = inside.join(hourly, [*by, "hour"]).groupBy(*by, "s").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("entries"))
+    return b.select(*by, at(F.col("s") * HOUR).alias("start"), at((F.col("s") + hours) * HOUR).alias("end"), at("a").alias("first_ts"), at("z").alias("last_ts"), "entries")
 
 
 def gaps(blocks: DataFrame, by: list[str], least_seconds: int = 60) -> DataFrame:
@@ -52,22 +60,40 @@ def burn(blocks: DataFrame, now: Column, hours: int = 5) -> DataFrame:
         F.when(going, F.floor((F.unix_micros("end") - F.unix_micros(now)) / 60e6).cast("long")).alias("remaining_minutes"))
 
 
-def recorded_windows(samples: DataFrame, hours: int = 5) -> DataFrame:
-    """(window_end, support, window_start) of quota samples (resets_at): reset times to ten minutes, and how often each was seen."""
+CANONICAL_WEIGHT = 1000
+
+
+def recorded_windows(samples: DataFrame, by: list[str], canonical: DataFrame | None = None, credits: DataFrame | None = None, hours: int = 5) -> DataFrame:
+    """(*by, window_start, window_end, support) of quota samples (*by, resets_at): reset times to ten minutes, and how often each was
+    seen. A window that ``canonical`` (*by, window_end) names as well weighs ``CANONICAL_WEIGHT`` more, seen or not. A window in which a
+    credit (*by, credited_at) falls ends there, at the first of several."""
     end = F.timestamp_seconds(F.floor(F.unix_seconds("resets_at") / 600) * 600)
-    return samples.groupBy(end.alias("window_end")).agg(F.count("*").alias("support")).withColumn("window_start", F.col("window_end") - F.expr(f"interval {hours} hours"))
+    seen = samples.select(*by, end.alias("window_end"), F.lit(1).alias("weight"))
+    if canonical is not None:
+        seen = seen.unionByName(canonical.select(*by, "window_end").distinct().withColumn("weight", F.lit(CANONICAL_WEIGHT)))
+    w = seen.groupBy(*by, "window_end").agg(F.sum("weight").alias("support")).withColumn("window_start", F.col("window_end") - F.expr(f"interval {hours} hours"))
+    if credits is None:
+        return w.select(*by, "window_start", "window_end", "support")
+    unit = hours * 3600
+    u = lambda c: F.floor(F.unix_seconds(c) / unit)
+    spread = w.withColumn("_u", F.explode(F.sequence(u("window_start"), u("window_end"))))
+    c = credits.select(*by, "credited_at", u("credited_at").alias("_u"))
+    met = spread.join(c, [*by, "_u"]).where("credited_at > window_start and credited_at < window_end")
+    first = met.groupBy(*by, "window_end").agg(F.min("credited_at").alias("_cut"))
+    return w.join(first, [*by, "window_end"], "left").select(*by, "window_start", F.coalesce("_cut", "window_end").alias("window_end"), "support")
 
 
 def schedule(windows: DataFrame, by: list[str], length: int) -> DataFrame:
     """Of windows (x, weight) of equal ``length``, the set without overlaps that has the most weight; of equal ones, the later
-    window is taken. A fold over each key's windows in order keeps, per window, the best weight so far and the choice
-    that gives it; a key's windows are few (they don't shrink below their length)."""
+    window is taken. A fold over the windows of a run, in order, keeps the best weight so far and the choice that gives it; a step
+    looks back at the last ``length`` windows, among which is the latest one that it may follow, as their starts are whole numbers."""
     merged = windows.groupBy(*by, "x").agg(F.sum("weight").alias("weight"))
-    rows = merged.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "weight"))).alias("w"))
+    rows = _runs(merged, by, "x", length).groupBy(*by, "_run").agg(F.array_sort(F.collect_list(F.struct("x", "weight"))).alias("w"))
     empty = F.array().cast("array<struct<x:bigint,best:bigint,take:boolean>>")
 
     def before(acc: Column, x: Column) -> Column:
-        fits = F.filter(acc, lambda s: s.x <= x - length)
+        near = F.slice(acc, F.greatest(F.lit(1), F.size(acc) - length), F.lit(length + 1))
+        fits = F.filter(near, lambda s: s.x <= x - length)
         return F.coalesce(F.try_element_at(fits, F.lit(-1))["best"], F.lit(0))
 
     def step(acc: Column, w: Column) -> Column:

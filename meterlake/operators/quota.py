@@ -85,9 +85,9 @@ def budget_status(spend: DataFrame, target: Column, elapsed_share: Column, thres
     return spend.select("*", used.alias("consumption"), projected.alias("projected"), verdict.alias("verdict"), F.size(crossed).cast("long").alias("crossed"))
 
 
-def crossings(spend: DataFrame, thresholds: DataFrame, latched: DataFrame, keys: list[str]) -> DataFrame:
-    """Thresholds reached (percent + 1e-9 >= threshold) and not latched before; each fires once. ``thresholds`` is a small list."""
-    reached = spend.join(F.broadcast(thresholds), F.col("percent") + 1e-9 >= F.col("threshold"))
+def crossings(spend: DataFrame, thresholds: list[int], latched: DataFrame, keys: list[str]) -> DataFrame:
+    """Thresholds reached (percent + 1e-9 >= threshold) and not latched before; each fires once."""
+    reached = spend.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("percent") + 1e-9 >= t)))
     return reached.join(latched, [*keys, "threshold"], "left_anti")
 
 

@@ -31,11 +31,50 @@ def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def quiet(rows: DataFrame, least_delta: float, least_pct: float, top: int) -> DataFrame:
-    """Hides changed rows that moved little in both measures and changed rows past the ``top`` largest; new and dropped ones stay."""
+    """Hides changed rows that moved little in both measures and changed rows past the ``top`` largest, which get their rank ``rn``; new
+    and dropped ones stay, unranked. The largest are cut by a top-n, so nothing but ``top`` rows meets in one task."""
     small = (F.abs("delta") < least_delta) & (F.abs(F.coalesce("delta_pct", F.lit(0.0))) < least_pct)
-    kept = rows.where((F.col("status") != "changed") | ~small)
-    rank = F.row_number().over(Window.partitionBy("status").orderBy(F.abs("delta").desc(), kept.columns[0]))
-    return kept.withColumn("rn", rank).where((F.col("status") != "changed") | (F.col("rn") <= top))
+    order = [F.abs("delta").desc(), F.col(rows.columns[0])]
+    best = rows.where((F.col("status") == "changed") & ~small).orderBy(*order).limit(top).withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+    return best.unionByName(rows.where("status <> 'changed'").withColumn("rn", F.lit(None).cast("int")))
+
+
+def hidden(rows: DataFrame, least_delta: float, least_pct: float, top: int) -> DataFrame:
+    """How many rows ``quiet`` hides: (noise, past_top)."""
+    small = (F.abs("delta") < least_delta) & (F.abs(F.coalesce("delta_pct", F.lit(0.0))) < least_pct)
+    g = rows.where("status = 'changed'").agg(F.count(F.when(small, 1)).alias("noise"), F.count(F.when(~small, 1)).alias("_n"))
+    return g.select("noise", F.greatest(F.lit(0).cast("long"), F.col("_n") - top).alias("past_top"))
+
+
+#: Orders of a comparison's rows, ties by key: (name, columns).
+DIFF_ORDERS = {"delta": ["-abs(delta)"], "cost-a": ["-coalesce(a, 0)"], "cost-b": ["-coalesce(b, 0)"], "name": [], "status": ["case status when 'new' then 0 when 'dropped' then 1 else 2 end", "-abs(delta)"]}
+
+
+def first_in_order(rows: DataFrame, orders: dict[str, list[str]], ties: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in each of several orders, one top-n each: (sort, place, *)."""
+    out = None
+    for name, by in orders.items():
+        order = [*map(F.expr, by), *map(F.expr, ties)]
+        part = rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("sort", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def last_periods(rows: DataFrame, period: str, n: int) -> DataFrame:
+    """The rows of the ``n`` latest periods that there are."""
+    latest = rows.select(period).distinct().orderBy(F.desc(period)).limit(n)
+    return rows.join(F.broadcast(latest), period)
+
+
+def displayed_span(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """From the first start to the last end."""
+    return rows.agg(F.min(start).alias("start"), F.max(end).alias("end"))
+
+
+def dominant(rows: DataFrame, period: str, key: str, value: str, share: float = 0.60) -> DataFrame:
+    """The key that holds ``share`` of a period or more, if one does."""
+    g = rows.groupBy(period).agg(F.sum(value).alias("whole"), F.max_by(key, value).alias(key), F.max(value).alias("most"))
+    return g.where(F.col("most") >= share * F.col("whole")).select(period, key, F.try_divide("most", "whole").alias("share"))
 
 
 def attribute(costs: DataFrame, period: str, key: str, percents: DataFrame) -> DataFrame:
@@ -61,18 +100,27 @@ def spark_heights(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.withColumn("height", F.coalesce(F.least(F.lit(8.0), F.greatest(F.lit(1.0), h)), F.lit(1.0)).cast("int"))
 
 
-def fill_days(rows: DataFrame, day: str, values: list[str]) -> DataFrame:
-    """Every day from the first to the last, with 0 where ``rows`` has none."""
-    spine = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
-    return spine.join(rows, day, "left").select(day, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
+def fill_days(rows: DataFrame, day: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """Every day from the first to the last of each key, with 0 where ``rows`` has none."""
+    by = by or []
+    spine = rows.groupBy(*by).agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a is not null").select(*by, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
+    return spine.join(rows, [*by, day], "left").select(*by, day, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
 def intensity(rows: DataFrame, value: str) -> DataFrame:
-    """Adds ``level``: 0 if the value isn't positive, else its fifth among positive ones, 1 to 5, equal values at the lowest rank."""
+    """Adds ``level``: 0 if the value isn't positive, else its fifth among positive ones, 1 to 5, equal values at the lowest rank.
+
+    Ranks come from counts: of distinct values within 64 classes to a doubling, and of the classes, of which there are a few
+    thousand at most, whatever the number of rows."""
     pos = rows.where(F.col(value) > 0)
-    n = F.count("*").over(Window.partitionBy())
-    level = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(F.rank().over(Window.orderBy(value)) / n * 5)))
-    return pos.withColumn("level", level.cast("int")).unionByName(rows.where(~(F.col(value) > 0)).withColumn("level", F.lit(0)))
+    counts = pos.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_c", F.floor(F.log2(F.col(value)) * 64))
+    classes = counts.groupBy("_c").agg(F.sum("_n").alias("_m"))
+    below = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = classes.select("_c", below("_m", Window.orderBy("_c")).alias("_before"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+    ranked = counts.withColumn("_inside", below("_n", Window.partitionBy("_c").orderBy(value))).join(classes, "_c")
+    level = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil((F.col("_before") + F.col("_inside") + 1) / F.col("_all") * 5)))
+    levels = ranked.select(value, level.cast("int").alias("level"))
+    return rows.join(levels, value, "left").withColumn("level", F.coalesce("level", F.lit(0))).select(*rows.columns, "level")
 
 
 def cost_share(rows: DataFrame, value: str) -> DataFrame:
@@ -82,7 +130,21 @@ def cost_share(rows: DataFrame, value: str) -> DataFrame:
 
 def page_after(rows: DataFrame, key: str, cursor: Column | None, size: int) -> DataFrame:
     """The next ``size`` rows by key past a cursor: a pushed filter and a top-n, never an offset."""
-    return (rows if cursor is None else rows.where(F.col(key) > cursor)).orderBy(key).limit(size)
+    return page(rows, key, size, after=cursor)
+
+
+def page(rows: DataFrame, key: str, size: int, after: Column | None = None, before: Column | None = None, tail: bool = False) -> DataFrame:
+    """A page of at most ``size`` rows in order of key: those next past ``after``, those last ahead of ``before``, or with ``tail`` the
+    last of all; no two of them go together. A cursor whose row is gone gives an empty page."""
+    if (after is not None) + (before is not None) + tail > 1:
+        raise ValueError("after, before and tail exclude each other")
+    if after is None and before is None and not tail:
+        return rows.orderBy(key).limit(size)
+    cursor = after if after is not None else before
+    if cursor is not None:
+        there = rows.where(F.col(key) == cursor).select(F.lit(True).alias("_there")).limit(1)
+        rows = rows.where(F.col(key) > cursor if after is not None else F.col(key) < cursor).join(F.broadcast(there)).drop("_there")
+    return rows.orderBy(key if after is not None else F.desc(key)).limit(size).orderBy(key)
 
 
 def any_contains(columns: list[str], patterns: list[str]) -> Column:

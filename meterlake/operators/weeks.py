@@ -51,6 +51,8 @@ def floored_max(samples: DataFrame, floors: DataFrame, by: list[str]) -> DataFra
 def cycles(resets: DataFrame, by: list[str], jitter: int = 600) -> DataFrame:
     """(*by, start, end) of quota cycles (*by, start, reset): resets that follow within ``jitter`` seconds are one, its first start and
     last reset count; a cycle ends where the next starts, the last at its reset; empty ones go."""
+    # few resets are distinct, whatever the number of samples
+    resets = resets.groupBy(*by, "reset").agg(F.min("start").alias("start"))
     w = Window.partitionBy(*by).orderBy("reset", "start")
     jump = F.coalesce((F.col("reset") - F.lag("reset").over(w) > jitter).cast("int"), F.lit(0))
     c = resets.withColumn("_j", jump).withColumn("_c", F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -59,11 +61,25 @@ def cycles(resets: DataFrame, by: list[str], jitter: int = 600) -> DataFrame:
     return g.select(*by, "start", F.least("reset", F.coalesce(nxt, "reset")).alias("end")).where(F.col("start") < F.col("end"))
 
 
-def canonical_keys(samples: DataFrame, by: list[str], order: list[str], tolerance: int = 600) -> DataFrame:
+def canonical_keys(samples: DataFrame, by: list[str], order: list[str], tolerance: int = 600, unit: int = DAY) -> DataFrame:
     """Adds ``window_key``: the reset time to ten minutes, taken over from the sample before as long as two that follow each other
-    differ by less than ``tolerance``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.coalesce((F.abs(F.col("reset") - F.lag("reset").over(w)) >= tolerance).cast("int"), F.lit(1))
-    s = samples.withColumn("_n", new).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.first("reset").over(Window.partitionBy(*by, "_g").orderBy(*order))
-    return s.withColumn("window_key", (F.floor(first / 600) * 600).cast("long")).drop("_n", "_g")
+    differ by less than ``tolerance``. ``order`` begins with a time in seconds.
+
+    Samples are walked in stretches of ``unit`` seconds, and what a stretch takes over from those before it is told by one row for
+    each stretch, so that no task sees all samples of a key.
+    """
+    s = samples.withColumn("_u", F.floor(F.col(order[0]) / unit))
+    inside = Window.partitionBy(*by, "_u").orderBy(*order)
+    far = lambda a, b: F.abs(a - b) >= tolerance
+    jump = F.coalesce(far(F.col("reset"), F.lag("reset").over(inside)).cast("int"), F.lit(0))
+    s = s.withColumn("_j", jump).withColumn("_g", F.sum("_j").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_own", F.when(F.col("_g") > 0, F.first("reset").over(Window.partitionBy(*by, "_u", "_g").orderBy(*order))))
+    at = F.struct(*order)
+    stretches = s.groupBy(*by, "_u").agg(F.min_by("reset", at).alias("_first"), F.max_by("reset", at).alias("_last"), F.max_by("_own", at).alias("_tail"))
+    along = Window.partitionBy(*by).orderBy("_u")
+    begins = F.coalesce(far(F.col("_first"), F.lag("_last").over(along)), F.lit(True))
+    stretches = stretches.withColumn("_begins", begins).withColumn("_open", F.coalesce("_tail", F.when(F.col("_begins"), F.col("_first"))))
+    carried = F.last("_open", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    stretches = stretches.withColumn("_start", F.when(F.col("_begins"), F.col("_first")).otherwise(carried)).select(*by, "_u", "_start")
+    j = s.join(stretches, [*by, "_u"])
+    return j.withColumn("window_key", (F.floor(F.coalesce("_own", "_start") / 600) * 600).cast("long")).drop("_u", "_j", "_g", "_own", "_start")

@@ -104,16 +104,26 @@ def block_burn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _us(blocks.burn(t, now)).drop("end_us", "is_active")
 
 
-@query(f"""WITH {USAGE_SQL} SELECT account, epoch_us(to_timestamp(floor((epoch_us(ts) // 1000000 + 18000) / 600) * 600)) AS window_end_us, count(*) AS support FROM u GROUP BY ALL""")
+@query(f"""WITH {USAGE_SQL}, s AS (SELECT *, ((epoch_us(ts) // 1000000 + 18000) // 600 * 600)::BIGINT AS e FROM u),
+w AS (SELECT account, e, sum(n)::BIGINT AS support FROM (SELECT account, e, 1 AS n FROM s UNION ALL SELECT DISTINCT account, e, 1000 FROM s WHERE model = 'signup') GROUP BY ALL),
+c AS (SELECT account, epoch_us(ts) AS at FROM u WHERE model = 'error' AND k = 50)
+SELECT w.account, (e - 18000) * 1000000 AS window_start_us, coalesce(min(c.at), e * 1000000) AS window_end_us, support FROM w LEFT JOIN c ON c.account = w.account AND c.at > (e - 18000) * 1000000 AND c.at < e * 1000000 GROUP BY w.account, e, support""")
 def recorded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = usage(spark, sf_dir).withColumn("resets_at", F.col("ts") + F.expr("interval 5 hours"))
-    parts = s.groupBy("account", F.timestamp_seconds(F.floor(F.unix_seconds("resets_at") / 600) * 600).alias("window_end")).agg(F.count("*").alias("support"))
-    return _us(parts)
-
-
-@query()
+    canonical = s.where("model = 'signup'").select("account", F.timestamp_seconds(F.floor(F.unix_seconds("resets_at") / 600) * 600).alias("window_end"))
+    credits = s.where("model = 'error' and k = 50").select("account", F.col("ts").alias("credited_at"))
+    return _us(blocks.recorded_windows(s, ["account"], canonical, credits))
+
+
+@query(f"""WITH RECURSIVE {USAGE_SQL}, w AS (SELECT session_id, (epoch_us(ts) // 600000000)::BIGINT AS x, count(*) AS weight FROM u GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY x) AS n, count(*) OVER (PARTITION BY session_id ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND 30 PRECEDING) AS p FROM w),
+b AS (SELECT session_id, 0::BIGINT AS n, [0::BIGINT] AS best, [false] AS take FROM (SELECT DISTINCT session_id FROM o) UNION ALL
+  SELECT o.session_id, o.n, list_append(best, greatest(best[o.n], best[o.p + 1] + weight)), list_append(take, best[o.p + 1] + weight >= best[o.n]) FROM b JOIN o ON o.session_id = b.session_id AND o.n = b.n + 1),
+t AS (SELECT session_id, max(n) AS n, arg_max(take, n) AS take FROM b GROUP BY 1),
+k AS (SELECT session_id, n, take FROM t UNION ALL SELECT k.session_id, CASE WHEN take[k.n + 1] THEN o.p ELSE k.n - 1 END, take FROM k JOIN o ON o.session_id = k.session_id AND o.n = k.n WHERE k.n > 0)
+SELECT k.session_id, x FROM k JOIN o ON o.session_id = k.session_id AND o.n = k.n WHERE take[k.n + 1]""")
 def interval_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five-hour windows without overlaps that most samples support, per session; a dynamic program, so no SQL."""
+    """Five-hour windows without overlaps that most samples support, per session."""
     s = usage(spark, sf_dir).select("session_id", (F.floor(F.unix_seconds("ts") / 600)).alias("x"), F.lit(1).cast("long").alias("weight"))
     return blocks.schedule(s, ["session_id"], 30)
 
@@ -208,8 +218,7 @@ def threshold_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = _samples(spark, sf_dir).groupBy("session_id").agg(F.max("percent").alias("percent"))
     latched = s.where("session_id % 2 = 0").select("session_id", F.lit(50).alias("threshold"))
-    t = spark.createDataFrame([(50,), (80,), (90,), (100,)], "threshold int")
-    return quota.crossings(s, t, latched, ["session_id"]).withColumn("severity", severity(F.col("threshold")))
+    return quota.crossings(s, [50, 80, 90, 100], latched, ["session_id"]).withColumn("severity", severity(F.col("threshold")))
 
 
 @query(f"""WITH {USAGE_SQL}, o AS (SELECT entry_id, k, project, CASE WHEN entry_id % 4 = 0 THEN NULL ELSE account END AS account FROM u), v AS (SELECT k, project, min(account) AS lo, max(account) AS hi FROM o GROUP BY ALL)
@@ -219,11 +228,13 @@ def account_adoption_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.single_vote(o, ["k", "project"], "account", "adopted").select("entry_id", "account", "adopted")
 
 
-@query(f"""WITH {USAGE_SQL}, d AS (SELECT DISTINCT ts::DATE AS day FROM u WHERE k > 97 AND account = 0) SELECT s::DATE AS day FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS s) WHERE s::DATE NOT IN (SELECT day FROM d)""")
+@query(f"""WITH {USAGE_SQL}, d AS (SELECT DISTINCT session_id, ts::DATE AS day FROM u), s AS (SELECT session_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT session_id FROM u))
+SELECT session_id, day FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.session_id = s.session_id AND d.day = s.day)""")
 def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the month on which no heavy entry of account 0 was seen."""
-    spine = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("day"))
-    return spine.join(usage(spark, sf_dir).where("k > 97 and account = 0").select(local_date(F.col("ts")).alias("day")), "day", "left_anti")
+    """Days of the month on which a session has no entry."""
+    seen = usage(spark, sf_dir).select("session_id", local_date(F.col("ts")).alias("day")).distinct()
+    spine = seen.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("day"))
+    return spine.join(seen, ["session_id", "day"], "left_anti")
 
 
 @query(f"""WITH {USAGE_SQL} SELECT entry_id, EXISTS (SELECT 1 FROM u r WHERE r.session_id = u.session_id AND r.model = 'error' AND r.ts > u.ts AND r.ts <= u.ts + INTERVAL 6 HOUR) AS followed FROM u""")

@@ -87,7 +87,7 @@ def diff_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_two('session_id')}, f AS (SELECT * FROM q WHERE status <> 'changed' OR NOT (abs(delta) < 1 AND abs(coalesce(delta_pct, 0)) < 10)),
-r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY abs(delta) DESC, key) AS rn FROM f) SELECT * FROM r WHERE status <> 'changed' OR rn <= 10""")
+r AS (SELECT *, CASE WHEN status = 'changed' THEN row_number() OVER (PARTITION BY status ORDER BY abs(delta) DESC, key) END AS rn FROM f) SELECT * FROM r WHERE status <> 'changed' OR rn <= 10""")
 def diff_noise_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.quiet(_windows(spark, sf_dir, "session_id"), 1.0, 10.0, 10)
 
@@ -117,11 +117,12 @@ def trend_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.trend(reports.spark_heights(d, [], "cost"), [], "day", "cost").select("day", "cost", "height", "delta_prev")
 
 
-@query(f"""WITH {USAGE_SQL}, d AS (SELECT ts::DATE AS day, count(*) AS n FROM u WHERE k > 97 AND account = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d)
-SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (day)""")
+@query(f"""WITH {USAGE_SQL}, d AS (SELECT session_id, ts::DATE AS day, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT session_id, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY 1)
+SELECT session_id, day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (session_id, day)""")
 def daily_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = usage(spark, sf_dir).where("k > 97 and account = 0").groupBy(day().alias("day")).agg(F.count("*").alias("n"))
-    return reports.fill_days(d, "day", ["n"])
+    """Every session's days from its first to its last."""
+    d = usage(spark, sf_dir).groupBy("session_id", day().alias("day")).agg(F.count("*").alias("n"))
+    return reports.fill_days(d, "day", ["n"], ["session_id"])
 
 
 @query(f"""{priced_sql()}, s AS (SELECT session_id, sum({nano_sql('cost - 3')})::BIGINT AS nano FROM e GROUP BY 1), p AS (SELECT *, rank() OVER (ORDER BY nano) AS r, count(*) OVER () AS n FROM s WHERE nano > 0)
@@ -131,12 +132,13 @@ def intensity_quintile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.intensity(s, "nano")
 
 
-@query(f"""{priced_sql()}, a AS (SELECT ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'a' AS provider FROM e WHERE account = 0 GROUP BY 1), b AS (SELECT ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'b' AS provider FROM e WHERE account = 1 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1)
+@query(f"""{priced_sql()}, a AS (SELECT ts::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'a' AS provider FROM e WHERE account = 0 GROUP BY 1), b AS (SELECT (ts + INTERVAL 9 DAY)::DATE AS day, sum({nano_sql('cost')})::BIGINT AS nano, 'b' AS provider FROM e WHERE account > 0 GROUP BY 1)
 SELECT day, sum(nano)::BIGINT AS nano, count(*) AS providers FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
 def provider_daily_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = priced(spark, sf_dir).withColumn("day", day())
     of = lambda x, p: x.groupBy("day").agg(F.sum(nano(F.col("cost"))).alias("nano")).withColumn("provider", F.lit(p))
-    both = of(e.where("account = 0"), "a").unionByName(of(e.where("account = 1 and ts < timestamp'2024-01-20'"), "b"))
+    # all other accounts, on days that only partly agree
+    both = of(e.where("account = 0"), "a").unionByName(of(e.where("account > 0").withColumn("day", F.date_add("day", 9)), "b"))
     return both.groupBy("day").agg(F.sum("nano").alias("nano"), F.count("*").alias("providers"))
 
 
@@ -151,9 +153,9 @@ def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(spark, sf_dir).where(reports.any_contains(["model", "project"], ["urch", "VIEW"])).select("entry_id", "model", "project")
 
 
-@query(f"WITH {USAGE_SQL} SELECT entry_id, session_id FROM u WHERE entry_id > 5000 ORDER BY entry_id LIMIT 50")
+@query(f"WITH {USAGE_SQL} SELECT entry_id, session_id FROM u WHERE entry_id > 500 AND EXISTS (SELECT 1 FROM u WHERE entry_id = 500) ORDER BY entry_id LIMIT 50")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.page_after(usage(spark, sf_dir).select("entry_id", "session_id"), "entry_id", F.lit(5000), 50)
+    return reports.page_after(usage(spark, sf_dir).select("entry_id", "session_id"), "entry_id", F.lit(500), 50)
 
 
 @query(f"WITH {USAGE_SQL} SELECT session_id, entry_id, cost_usd_raw, row_number() OVER (PARTITION BY session_id ORDER BY cost_usd_raw DESC NULLS LAST, entry_id) AS rn FROM u")
@@ -172,7 +174,8 @@ def opaque_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(spark, sf_dir).groupBy(opaque_key(F.col("project"), F.col("account")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {USAGE_SQL}, g AS (SELECT model, sum(input_tokens)::BIGINT AS n FROM u GROUP BY 1)
+SELECT regexp_replace(regexp_replace(model, '^(?:claude-|anthropic[/.])', ''), '-[0-9]{{8}}$', '') AS label, CASE WHEN n >= 1000000 THEN format('{{:,.1f}}M', n / 1e6) WHEN n >= 1000 THEN format('{{:,.1f}}K', n / 1e3) ELSE n::VARCHAR END AS tokens FROM g""")
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = usage(spark, sf_dir).groupBy("model").agg(F.sum("input_tokens").alias("n"))
     return g.select(short_model(F.col("model")).alias("label"), humanise(F.col("n")).alias("tokens"))

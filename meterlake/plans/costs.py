@@ -95,13 +95,11 @@ def codex_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{priced_sql()}, t AS (SELECT session_id, sum({nano_sql('cost')})::BIGINT AS nano, count(*) AS entries FROM e GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY abs(nano) DESC, session_id) AS rn FROM t)
+r AS (SELECT *, row_number() OVER (ORDER BY abs(nano) DESC, session_id::VARCHAR) AS rn FROM t)
 SELECT CASE WHEN rn <= 5 THEN session_id::VARCHAR ELSE '(other)' END AS session, sum(nano)::BIGINT AS nano, sum(entries)::BIGINT AS entries FROM r GROUP BY 1""")
 def breakdown_top5_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = priced(spark, sf_dir).groupBy("session_id").agg(F.sum(F.floor(F.col("cost") * 1e9 + 0.5).cast("long")).alias("nano"), F.count("*").alias("entries"))
-    top = t.orderBy(F.abs("nano").desc(), "session_id").limit(5).select(F.col("session_id").alias("top"))
-    named = t.join(F.broadcast(top), t.session_id == top.top, "left").withColumn("session", F.coalesce(F.col("top").cast("string"), F.lit("(other)")))
-    return named.groupBy("session").agg(F.sum("nano").alias("nano"), F.sum("entries").alias("entries"))
+    return rollups.top_and_other(t.withColumn("session", F.col("session_id").cast("string")), "session", "nano", 5, ["nano", "entries"])
 
 
 _TOTAL = "input_tokens + output_tokens + cache_create_tokens + cache_read_tokens"

@@ -12,7 +12,7 @@ from ..operators import blocks, conversations, quota, reports
 from ..sources.tables import table
 from .registry import USAGE_SQL, nano_sql, priced, priced_sql, query, usage
 
-_WINDOWS = """w AS (SELECT session_id, s AS start, s + INTERVAL 5 HOUR AS "end" FROM (SELECT DISTINCT session_id, date_trunc('day', ts) + INTERVAL 10 HOUR AS s FROM u WHERE k > 80))"""
+_WINDOWS = """w AS (SELECT session_id, s AS start, s + INTERVAL 5 HOUR AS "end" FROM (SELECT DISTINCT session_id, date_trunc('day', ts) + INTERVAL 10 HOUR AS s FROM u))"""
 
 
 @query(f"""WITH RECURSIVE {USAGE_SQL}, {_WINDOWS}, j AS (SELECT u.session_id, u.ts, w.start, w."end" FROM u LEFT JOIN w ON u.session_id = w.session_id AND u.ts >= w.start AND u.ts < w."end"),
@@ -26,7 +26,7 @@ SELECT session_id, epoch_us(start) AS start_us, epoch_us("end") AS end_us, epoch
 def anchored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir)
     start = F.date_trunc("day", F.col("ts")) + F.expr("interval 10 hours")
-    w = u.where("k > 80").select("session_id", start.alias("start")).distinct().withColumn("end", F.col("start") + F.expr("interval 5 hours"))
+    w = u.select("session_id", start.alias("start")).distinct().withColumn("end", F.col("start") + F.expr("interval 5 hours"))
     us = F.unix_micros
     return blocks.anchored_blocks(u, w, ["session_id"]).select("session_id", us("start").alias("start_us"), us("end").alias("end_us"), us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "entries", "anchor")
 
@@ -52,15 +52,15 @@ def merged_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.merge_partials([of("entry_id % 3 = 0"), of("entry_id % 3 = 1"), of("entry_id % 3 = 2")], ["project", "day"], ["nano", "entries"])
 
 
-@query(f"WITH {USAGE_SQL}, m AS (SELECT session_id, model, max(k) AS top FROM u WHERE k > 90 GROUP BY ALL) SELECT session_id, count(top) AS n, CASE WHEN count(top) >= 3 THEN avg(top) END AS mean FROM m GROUP BY 1")
+@query(f"WITH {USAGE_SQL}, m AS (SELECT session_id, model, max(k) AS top FROM u GROUP BY ALL) SELECT session_id, count(top) AS n, CASE WHEN count(top) >= 3 THEN avg(top) END AS mean FROM m GROUP BY 1")
 def mean_of_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = usage(spark, sf_dir).where("k > 90").groupBy("session_id", "model").agg(F.max("k").alias("top"))
+    m = usage(spark, sf_dir).groupBy("session_id", "model").agg(F.max("k").alias("top"))
     return reports.mean_of_enough(m, ["session_id"], "top")
 
 
-@query(f"WITH {USAGE_SQL}, s(account) AS (VALUES (0::BIGINT), (1), (2), (3)) SELECT account, count(entry_id) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM s LEFT JOIN (SELECT * FROM u WHERE k = 1) USING (account) GROUP BY 1")
+@query(f"WITH {USAGE_SQL}, s(account) AS (VALUES (0::BIGINT), (1), (2), (3)) SELECT account, count(entry_id) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM s LEFT JOIN u USING (account) GROUP BY 1")
 def footer_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.footer_legs(usage(spark, sf_dir).where("k = 1"), "account", "k", spark.range(4).withColumnRenamed("id", "account"))
+    return reports.footer_legs(usage(spark, sf_dir), "account", "k", spark.range(4).withColumnRenamed("id", "account"))
 
 
 @query(f"""WITH {USAGE_SQL}, t AS (SELECT session_id, row_number() OVER (ORDER BY sum(k) DESC, session_id) AS rn FROM u GROUP BY 1),
@@ -76,11 +76,13 @@ def chart_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.zoom(usage(spark, sf_dir), ["project"], "value")
 
 
-@query(f"WITH {USAGE_SQL}, p AS (SELECT ts::DATE AS day, k, 'a' AS p FROM u WHERE account = 0 UNION ALL SELECT ts::DATE, k, 'b' FROM u WHERE account = 1 AND k > 95) SELECT day, sum(k)::BIGINT AS k, string_agg(DISTINCT p, ',' ORDER BY p) AS providers FROM p GROUP BY 1")
+@query(f"WITH {USAGE_SQL}, p AS (SELECT ts::DATE AS day, k, 'a' AS p FROM u WHERE account = 0 UNION ALL SELECT (ts + INTERVAL 9 DAY)::DATE, k, 'b' FROM u WHERE account > 0) SELECT day, sum(k)::BIGINT AS k, string_agg(DISTINCT p, ',' ORDER BY p) AS providers FROM p GROUP BY 1")
 def combined_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    of = lambda c: u.where(c).groupBy("day").agg(F.sum("k").alias("k"))
-    return reports.combine_providers([("a", of("account = 0")), ("b", of("account = 1 and k > 95")), ("c", None)], "day", ["k"])
+    of = lambda x: x.groupBy("day").agg(F.sum("k").alias("k"))
+    # two providers whose days only partly agree, and one that isn't there
+    later = u.where("account > 0").withColumn("day", F.date_add("day", 9))
+    return reports.combine_providers([("a", of(u.where("account = 0"))), ("b", of(later)), ("c", None)], "day", ["k"])
 
 
 @query("SELECT conv_id, turn, len(string_split(lower(text), 'on')) - 1 AS n, coalesce(nullif(instr(lower(text), 'on'), 0) - 1, -1) AS first_at FROM conversations")

@@ -16,13 +16,15 @@ from .registry import USAGE_SQL, nano_sql, priced, priced_sql, query, sum_sql, u
 _WEEK = "date_trunc('week', ts)::DATE"
 
 
-@query(f"""{priced_sql()}, c AS (SELECT {_WEEK} AS week, account, sum({nano_sql('cost')})::BIGINT AS nano FROM e WHERE account < 2 GROUP BY ALL), p AS (SELECT {_WEEK} AS week, account, max(least(100.0::DOUBLE, value)) AS percent FROM u WHERE account > 0 GROUP BY ALL),
+@query(f"""{priced_sql()}, c AS (SELECT {_WEEK} AS week, account, sum({nano_sql('cost')})::BIGINT AS nano FROM e GROUP BY ALL), p AS (SELECT date_trunc('week', ts + INTERVAL 7 DAY)::DATE AS week, account, max(least(100.0::DOUBLE, value)) AS percent FROM u GROUP BY ALL),
 k AS (SELECT week, account FROM c UNION SELECT week, account FROM p) SELECT week, account, nano, percent, CASE WHEN percent > 0 THEN nano / 1e9 / percent END AS usd_per_pct FROM k LEFT JOIN c USING (week, account) LEFT JOIN p USING (week, account)""")
 def weekly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks known from costs or from usage, each with what there is of both."""
     week = F.to_date(F.date_trunc("week", "ts")).alias("week")
-    c = priced(spark, sf_dir).where("account < 2").groupBy(week, "account").agg(F.sum(nano(F.col("cost"))).alias("nano"))
-    p = usage(spark, sf_dir).where("account > 0").groupBy(week, "account").agg(F.max(F.least(F.lit(100.0), "value")).alias("percent"))
+    c = priced(spark, sf_dir).groupBy(week, "account").agg(F.sum(nano(F.col("cost"))).alias("nano"))
+    # usage is reported a week late
+    late = F.date_add(F.to_date(F.date_trunc("week", "ts")), 7).alias("week")
+    p = usage(spark, sf_dir).groupBy(late, "account").agg(F.max(F.least(F.lit(100.0), "value")).alias("percent"))
     j = c.join(p, ["week", "account"], "full_outer")
     return j.withColumn("usd_per_pct", F.when(F.col("percent") > 0, F.col("nano") / 1e9 / F.col("percent")))
 
@@ -105,19 +107,12 @@ def item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("items"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(paid), 2).cast("double").alias("revenue"))
 
 
-def parse_statusline(text: str) -> dict:
-    """The status line's JSON, or an empty record."""
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
-
-
 def share_markdown(rows: DataFrame, title: str, limit: int = 200) -> str:
-    """A report's first rows as a Markdown document, for presentation."""
+    """A report's first ``limit`` rows as a Markdown document, for presentation; it says so if there are more."""
     from ..functions.text import markdown_table
 
-    return f"# {title}\n\n{markdown_table(rows.limit(limit).collect(), rows.columns)}\n"
+    head = rows.limit(limit + 1).collect()
+    more = f"\nThe first {limit} rows; there are more.\n" if len(head) > limit else ""
+    return f"# {title}\n\n{markdown_table(head[:limit], rows.columns)}\n{more}"
 
 

@@ -10,12 +10,14 @@ from ..operators import attribution, forecasts, weeks
 from ..sources.tables import table
 from .registry import USAGE_SQL, query, usage
 
-_ANCHORS = f"{USAGE_SQL}, a AS (SELECT account, (epoch_us(ts) // 1000000)::BIGINT AS anchor FROM u WHERE k = 97 AND entry_id % 7 = 0)"
+_ANCHORS = f"{USAGE_SQL}, a AS (SELECT account, min(epoch_us(ts) // 1000000)::BIGINT AS anchor FROM u GROUP BY account, (epoch_us(ts) // 1000000 + account * 100000) // 777600)"
 UNTIL = 1_708_000_000
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage(spark, sf_dir).where("k = 97 and entry_id % 7 = 0").select("account", F.unix_seconds("ts").alias("anchor"))
+    """The first entry of each account in every nine days."""
+    at = F.unix_seconds("ts")
+    return usage(spark, sf_dir).groupBy("account", F.floor((at + F.col("account") * 100_000) / 777_600).alias("n")).agg(F.min(at).alias("anchor")).drop("n")
 
 
 @query(f"""WITH RECURSIVE {_ANCHORS}, d AS (SELECT DISTINCT account, anchor FROM a), n AS (SELECT *, lead(anchor) OVER (PARTITION BY account ORDER BY anchor) AS nxt FROM d),
@@ -54,7 +56,7 @@ def floored_week_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weeks.floored_max(u, u.where("model = 'error' and entry_id % 11 = 0").select("session_id", F.col("ts").alias("floor")), ["session_id"])
 
 
-_RESETS = f"{USAGE_SQL}, r AS (SELECT account, (epoch_us(ts) // 1000000)::BIGINT AS start, ((epoch_us(ts) // 1000000) // 18000 * 18000 + 18000 + k)::BIGINT AS reset FROM u WHERE entry_id % 9 = 0)"
+_RESETS = f"{USAGE_SQL}, r AS (SELECT account, (epoch_us(ts) // 1000000)::BIGINT AS start, ((epoch_us(ts) // 1000000) // 18000 * 18000 + 18000 + k)::BIGINT AS reset FROM u)"
 
 
 @query(f"""WITH {_RESETS}, j AS (SELECT *, CASE WHEN reset - lag(reset) OVER (PARTITION BY account ORDER BY reset, start) > 600 THEN 1 ELSE 0 END AS j FROM r),
@@ -62,7 +64,7 @@ c AS (SELECT *, sum(j) OVER (PARTITION BY account ORDER BY reset, start ROWS UNB
 n AS (SELECT account, start, least(reset, coalesce(lead(start) OVER (PARTITION BY account ORDER BY start, reset), reset)) AS "end" FROM g) SELECT * FROM n WHERE start < "end" """)
 def quota_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_seconds("ts")
-    r = usage(spark, sf_dir).where("entry_id % 9 = 0").select("account", at.alias("start"), ((F.floor(at / 18000) * 18000 + 18000 + F.col("k")).cast("long")).alias("reset"))
+    r = usage(spark, sf_dir).select("account", at.alias("start"), ((F.floor(at / 18000) * 18000 + 18000 + F.col("k")).cast("long")).alias("reset"))
     return weeks.cycles(r, ["account"])
 
 
@@ -71,21 +73,21 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY account ORDER BY n ROWS UNBOUNDED PR
 SELECT account, start, reset, (first_value(reset) OVER (PARTITION BY account, g ORDER BY n) // 600 * 600)::BIGINT AS window_key FROM g""")
 def canonical_window_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_seconds("ts")
-    r = usage(spark, sf_dir).where("entry_id % 9 = 0").select("account", at.alias("start"), ((F.floor(at / 18000) * 18000 + 18000 + F.col("k")).cast("long")).alias("reset"))
+    r = usage(spark, sf_dir).select("account", at.alias("start"), ((F.floor(at / 18000) * 18000 + 18000 + F.col("k")).cast("long")).alias("reset"))
     return weeks.canonical_keys(r, ["account"], ["start", "reset"])
 
 
-@query(f"""WITH {USAGE_SQL}, e AS (SELECT entry_id, project AS root, epoch_us(ts) // 1000000 AS ts FROM u WHERE k % 2 = 0),
-w AS (SELECT project AS root, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + 7200 AS "end", CASE WHEN account < 2 THEN account END AS account FROM u WHERE k % 9 = 1)
+@query(f"""WITH {USAGE_SQL}, e AS (SELECT entry_id, project AS root, epoch_us(ts) // 1000000 AS ts FROM u),
+w AS (SELECT project AS root, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + k * 6 AS "end", CASE WHEN account < 2 AND k < 50 THEN account END AS account FROM u)
 SELECT entry_id, min(account) AS account FROM e JOIN w USING (root) WHERE e.ts >= start AND e.ts < "end" AND account IS NOT NULL GROUP BY 1 HAVING count(DISTINCT account) = 1""")
 def spend_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir).withColumn("at", F.unix_seconds("ts"))
-    e = u.where("k % 2 = 0").select("entry_id", F.col("project").alias("root"), F.col("at").alias("ts"))
-    w = u.where("k % 9 = 1").select(F.col("project").alias("root"), F.col("at").alias("start"), (F.col("at") + 7200).alias("end"), F.when(F.col("account") < 2, F.col("account")).alias("account"))
-    return attribution.adopt_spend(e, w, 7200)
+    e = u.select("entry_id", F.col("project").alias("root"), F.col("at").alias("ts"))
+    w = u.select(F.col("project").alias("root"), F.col("at").alias("start"), (F.col("at") + F.col("k") * 6).alias("end"), F.when((F.col("account") < 2) & (F.col("k") < 50), F.col("account")).alias("account"))
+    return attribution.adopt_spend(e, w, 3600)
 
 
-_ASSERT = f"{USAGE_SQL}, a AS (SELECT entry_id AS op_id, project AS axes, k, (entry_id % 2)::BIGINT AS account FROM u WHERE entry_id % 50 = 0), g AS (SELECT min(entry_id) AS group_id, project AS axes, session_id, list(DISTINCT k) AS ks, bool_and(model <> 'view' OR k > 5) AS in_scope, max(CASE WHEN model = 'signup' AND k = 3 THEN account END) AS native FROM u WHERE session_id < 40 GROUP BY project, session_id)"
+_ASSERT = f"{USAGE_SQL}, a AS (SELECT entry_id AS op_id, project AS axes, k, (entry_id % 2)::BIGINT AS account FROM u), g AS (SELECT min(entry_id) AS group_id, project AS axes, session_id, list(DISTINCT k) AS ks, bool_and(model <> 'view' OR k > 5) AS in_scope, max(CASE WHEN model = 'signup' AND k = 3 THEN account END) AS native FROM u GROUP BY project, session_id)"
 
 
 @query(f"""WITH {_ASSERT}, h AS (SELECT op_id, min(group_id) AS lo, max(group_id) AS hi, bool_and(in_scope) AS in_scope, max(native) AS native FROM a JOIN g ON a.axes = g.axes AND list_contains(g.ks, a.k) GROUP BY 1),
@@ -94,8 +96,8 @@ k AS (SELECT op_id, account, outcome, CASE WHEN outcome NOT IN ('dormant', 'spli
 SELECT op_id, account, CASE WHEN outcome = 'resolved' AND clash THEN 'conflict' ELSE outcome END AS outcome, group_id FROM k LEFT JOIN c USING (group_id)""")
 def assertion_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = usage(spark, sf_dir)
-    a = u.where("entry_id % 50 = 0").select(F.col("entry_id").alias("op_id"), F.col("project").alias("axes"), F.array("k").alias("resets"), (F.col("entry_id") % 2).alias("account"))
-    g = u.where("session_id < 40").groupBy(F.col("project").alias("axes"), "session_id").agg(
+    a = u.select(F.col("entry_id").alias("op_id"), F.col("project").alias("axes"), F.array("k").alias("resets"), (F.col("entry_id") % 2).alias("account"))
+    g = u.groupBy(F.col("project").alias("axes"), "session_id").agg(
         F.min("entry_id").alias("group_id"), F.collect_set("k").alias("resets"), F.bool_and((F.col("model") != "view") | (F.col("k") > 5)).alias("in_scope"), F.max(F.when((F.col("model") == "signup") & (F.col("k") == 3), F.col("account"))).alias("native"))
     return attribution.resolve_assertions(a, g.drop("session_id"))
 
