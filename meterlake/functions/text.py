@@ -154,6 +154,21 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
+def canonical_usage(usage: dict[str, Column]) -> Column:
+    """Usage as JSON with its keys in order; a value that is null leaves its key out."""
+    return F.to_json(F.struct(*[usage[k].alias(k) for k in sorted(usage)]))
+
+
+def canonical_json(record: Column) -> Column:
+    """A map of texts as JSON with its keys in order, for hashing."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(record))))
+
+
+def capped(text: Column, most: int = 16_000) -> Column:
+    """struct(text, cut): at most ``most`` characters, and how many were left off."""
+    return F.struct(F.substring(text, 1, most).alias("text"), F.greatest(F.lit(0), F.length(text) - most).alias("cut"))
+
+
 def markdown_table(rows: list, columns: list[str]) -> str:
     """A table of collected report rows, which are few."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")

@@ -33,6 +33,20 @@ def search(rows: DataFrame, text: str, query: str, by: list[str]) -> DataFrame:
     return hits.select(*by, occurrences(F.col(text), query).alias("hits"), F.instr(folded, query.lower()).alias("first_at"))
 
 
+#: What a search may be restricted to: the roles whose turns count; none means all.
+SEARCH_KINDS = {"all": None, "prompts": ["user"], "assistant": ["assistant"], "tools": ["tool"]}
+
+
+def search_conversations(turns: DataFrame, query: str, kind: str = "all", around: int = 40) -> DataFrame:
+    """One row per conversation with a hit of a literal, ignoring case: hits in all, the roles that have some, the first turn that does
+    and a snippet of it, ``around`` characters on either side."""
+    roles = SEARCH_KINDS[kind]
+    found = search(turns if roles is None else turns.where(F.col("role").isin(roles)), "text", query, ["conv_id", "turn", "role", "text"])
+    g = found.groupBy("conv_id").agg(F.sum("hits").alias("hits"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("kinds"), F.min("turn").alias("turn"), F.min_by(F.struct("text", "first_at"), "turn").alias("h"))
+    at = F.greatest(F.lit(1), F.col("h.first_at") - around)
+    return g.select("conv_id", "hits", "kinds", "turn", F.substring(F.col("h.text"), at, F.col("h.first_at") - at + len(query) + around).alias("snippet"))
+
+
 def facets(turns: DataFrame) -> DataFrame:
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
 

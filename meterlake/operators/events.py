@@ -37,6 +37,27 @@ def effective_events(records: DataFrame) -> DataFrame:
     return won.where(F.col("w.status") == "active").select("id", "rev", "seq", F.col("w.digest").alias("digest"), "conflict")
 
 
+def merge_effective(state: DataFrame, records: DataFrame) -> DataFrame:
+    """The state of ``effective_state`` with further records taken in: an id's row is set against the new records of its revision or
+    higher ones, so that old records are never read again."""
+    s = state.select("id", "rev", "seq", "status", F.array("digest_lo", "digest_hi").alias("d"), "digest")
+    r = records.select("id", "rev", "seq", "status", F.array("digest").alias("d"), "digest")
+    return _state(s.unionByName(r))
+
+
+def effective_state(records: DataFrame) -> DataFrame:
+    """(id, rev, seq, status, digest, digest_lo, digest_hi): what has to be kept of records (id, rev, seq, status, digest) so that others can
+    be merged in later; inactive ids stay, as a later record must not revive an older revision."""
+    return _state(records.select("id", "rev", "seq", "status", F.array("digest").alias("d"), "digest"))
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    top = rows.groupBy("id").agg(F.max("rev").alias("rev"))
+    at = rows.join(top, ["id", "rev"])
+    won = at.groupBy("id", "rev").agg(F.min_by(F.struct("status", "digest"), "seq").alias("w"), F.min("seq").alias("seq"), F.min(F.array_min("d")).alias("digest_lo"), F.max(F.array_max("d")).alias("digest_hi"))
+    return won.select("id", "rev", "seq", "w.status", "w.digest", "digest_lo", "digest_hi")
+
+
 def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` with those rows added whose key it lacks; run again, it adds nothing."""
     return target.unionByName(rows.join(target.select(*keys), keys, "left_anti").dropDuplicates(keys))
@@ -54,6 +75,8 @@ def dedup_violations(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("violations"))
 
 
-def prunable(rows: DataFrame, key: str, ts: str, cutoff: Column) -> DataFrame:
-    """Groups whose latest row is before the cutoff."""
+def prunable(rows: DataFrame, key: str, ts: str, cutoff: Column, path: str | None = None) -> DataFrame:
+    """Groups whose latest row is before the cutoff; with ``path``, rows without a key are grouped by that."""
+    if path:
+        rows = rows.withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("path:"), F.col(path))))
     return rows.groupBy(key).agg(F.max(ts).alias("last_ts")).where(F.col("last_ts") < cutoff)

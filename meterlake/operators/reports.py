@@ -47,14 +47,20 @@ def hidden(rows: DataFrame, least_delta: float, least_pct: float, top: int) -> D
 
 
 #: Orders of a comparison's rows, ties by key: (name, columns).
-DIFF_ORDERS = {"delta": ["-abs(delta)"], "cost-a": ["-coalesce(a, 0)"], "cost-b": ["-coalesce(b, 0)"], "name": [], "status": ["case status when 'new' then 0 when 'dropped' then 1 else 2 end", "-abs(delta)"]}
+DIFF_ORDERS = {"delta": ["-abs(delta)"], "cost-a": ["-coalesce(a, 0)"], "cost-b": ["-coalesce(b, 0)"], "name": [], "status": ["case status when 'dropped' then 0 when 'changed' then 1 else 2 end", "-abs(delta)"]}
+#: Orders of rows of a cache report (at, key, net, hit_pct, cost, anomaly), ties by time and key; anomalies come first, then by time.
+CACHE_ORDERS = {"date": [], "net": ["net"], "cache": ["hit_pct"], "recent": ["-at"], "cost": ["-cost"], "anomaly": ["if(anomaly, 0, 1)"]}
+#: Orders of sessions (cost, minutes, model, project, started).
+SESSION_ORDERS = {"cost desc": ["-coalesce(cost, 0)"], "duration desc": ["-coalesce(minutes, 0)"], "model asc": ["coalesce(model, '')"], "project asc": ["coalesce(project, '')"], "started desc": ["-coalesce(started, 0)"]}
+#: Orders of projects (cost, used, name, last_seen): unknown use is less than none; ties by name without case, ascending in either direction.
+PROJECT_ORDERS = {f"{k} {d}": [f"{'-' if d == 'desc' else ''}{x}"] for k, x in (("cost", "cost"), ("used", "coalesce(used, -1)"), ("last-seen", "last_seen")) for d in ("asc", "desc")} | {"name asc": ["lower(name)"], "name desc": ["desc lower(name)"]}
 
 
 def first_in_order(rows: DataFrame, orders: dict[str, list[str]], ties: list[str], n: int) -> DataFrame:
     """The first ``n`` rows in each of several orders, one top-n each: (sort, place, *)."""
     out = None
     for name, by in orders.items():
-        order = [*map(F.expr, by), *map(F.expr, ties)]
+        order = [F.expr(x[5:]).desc() if x.startswith("desc ") else F.expr(x) for x in [*by, *ties]]
         part = rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("sort", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

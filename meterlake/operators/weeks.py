@@ -23,6 +23,16 @@ def generate(anchors: DataFrame, by: list[str], until: int, reach: float = 10.5)
     return starts.withColumn("end", F.coalesce(F.least(nxt, F.col("start") + 7 * DAY), F.col("start") + 7 * DAY))
 
 
+def with_fallbacks(keys: DataFrame, usage: DataFrame, costs: DataFrame, by: list[str], first: int, start_day: int = 0) -> DataFrame:
+    """Anchors (*by, anchor) for every row of ``keys``: those of ``usage``, else those of ``costs``, else the calendar week that holds the
+    second ``first``, from ``start_day`` (0 is Monday)."""
+    only = lambda df, others: df.select(*by, "anchor").join(others.select(*by).distinct(), by, "left_anti")
+    second = only(costs, usage)
+    calendar = (first // DAY - (first // DAY + 3 - start_day) % 7) * DAY
+    rest = keys.select(*by).distinct().join(usage.select(*by).unionByName(costs.select(*by)).distinct(), by, "left_anti")
+    return usage.select(*by, "anchor").unionByName(second).unionByName(rest.withColumn("anchor", F.lit(calendar).cast("long")))
+
+
 def apply_resets(weeks: DataFrame, resets: DataFrame, by: list[str]) -> DataFrame:
     """``resets`` (*by, old_end, new_end, effective): the week that ended at old_end ends at effective, and the one that ends at
     new_end starts there; a reset within one week (old_end = new_end) splits it in two."""

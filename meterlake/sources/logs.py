@@ -14,10 +14,29 @@ ROLLOUT_LINE = (
 JOURNAL_LINE = "v int, t string, id string, rev int, at string, src string, provider string, account string, payload string"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, pos, value): lines with their position in the file. A file may be read in several splits, in any order, so a position
+    is where the split begins and, in it, how many lines came before. Lines of a split are counted in the order in which they
+    are read, which is that of the file."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"), "value").withColumn("_n", F.monotonically_increasing_id())
+    return raw.select("source_path", F.struct(F.col("_at").alias("at"), F.col("_n").alias("n")).alias("pos"), "value")
+
+
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """Adds ``offset``, the byte at which each line of ``numbered_lines`` begins, for files whose lines end in one line feed. Bytes are
+    summed up by split first, so a file of many splits is no single task."""
+    size = F.octet_length("value") + 1
+    inside = Window.partitionBy("source_path", "pos.at").orderBy("pos.n").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("source_path", F.col("pos.at").alias("_at")).agg(F.sum(size).alias("_b"))
+    before = F.coalesce(F.sum("_b").over(Window.partitionBy("source_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("source_path", "_at", before.alias("_before"))
+    return lines.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).withColumn("_at", F.col("pos.at")).join(splits, ["source_path", "_at"]).select("source_path", "pos", "value", (F.col("_before") + F.col("_in")).alias("offset"))
+
+
 def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """(source_path, pos, j): parsed lines with their order within the file."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.monotonically_increasing_id().alias("pos"), F.from_json("value", ROLLOUT_LINE).alias("j"))
-    return raw.where("j is not null")
+    lines = numbered_lines(spark, path).select("source_path", "pos", F.from_json("value", ROLLOUT_LINE).alias("j"))
+    return lines.where("j is not null")
 
 
 def accounting(rollouts: DataFrame) -> DataFrame:
