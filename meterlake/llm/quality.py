@@ -42,7 +42,7 @@ class Tokens(dict):
         case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core else "0"
         digits = "d" if any(map(str.isdigit, core)) else ""
         word = xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")) % self.half
-        shape = self.half + xxhash.xxh3_64_intdigest(f"{case}{digits}{marks[:8]}".encode("utf-8", "surrogatepass")) % (self.half - 64)
+        shape = self.half + xxhash.xxh3_64_intdigest(f"{case}{digits}{marks}".encode("utf-8", "surrogatepass")) % (self.half - 64)
         v = self[raw] = word << 32 | shape
         return v
 
@@ -110,16 +110,20 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], p: Quality) -> M
 
 
 def fit(docs: DataFrame, ratings: DataFrame, p: Quality = Quality()) -> Model:
-    """``ratings`` (doc_id, grade): whole numbers from 0; null ids and grades are left out.
+    """``ratings`` (doc_id, grade): whole numbers from 0; null ids and grades are left out. Of an id rated several times the lowest
+    grade counts, and of several texts with one id one is read.
 
-    The ids of the sample, a bounded number, are broadcast, so no text is shuffled. The features of the sample's
-    texts reach the driver, where the weights are fitted.
+    The ids of the sample, a bounded number, are broadcast, so only the sample's texts are shuffled. Their features
+    reach the driver, where the weights are fitted.
     """
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("doc_id is not null and grade >= 0")
+    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     share = min(1.0, p.sample / max(n, 1))
     taken = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taken), "doc_id").select("doc_id", "grade", "text")
+    # of rows that share an id, one text teaches, so the sample stays within its bound
+    texts = texts.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("ids", pa.binary()), ("vals", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +137,8 @@ def fit(docs: DataFrame, ratings: DataFrame, p: Quality = Quality()) -> Model:
 
 
 def grade(docs: DataFrame, model: Model, p: Quality = Quality(), keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, expected_grade, tail, kept) for every row of ``docs``: the mean of the grade, the probability of grade
-    ``p.keep`` or more, and whether that is ``p.least`` or more. Null and wordless texts are judged on the
+    """(*keep, expected_grade, tail, top, kept) for every row of ``docs``: the mean of the grade, the probability of grade
+    ``p.keep`` or more, that of the highest grade, and whether ``tail`` is ``p.least`` or more. Null and wordless texts are judged on the
     thresholds alone, as a text without evidence. Rows stay where they are; nothing is shuffled."""
     text_batches(docs.sparkSession)
     source = docs.select(*keep, "text")
@@ -146,10 +150,10 @@ def grade(docs: DataFrame, model: Model, p: Quality = Quality(), keep: tuple[str
         for b in batches:
             tails = [shared.value.tails(*features(t.as_py(), tokens)) for t in b.column(len(carried))]
             tail = [float(t[min(p.keep, len(t)) - 1]) for t in tails]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= p.least for t in tail], pa.bool_())], names=[*carried, "expected_grade", "tail", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([float(t[-1]) for t in tails], pa.float64()), pa.array([t >= p.least for t in tail], pa.bool_())], names=[*carried, "expected_grade", "tail", "top", "kept"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{schema}, expected_grade double, tail double, kept boolean")
+    return source.mapInArrow(run, f"{schema}, expected_grade double, tail double, top double, kept boolean")
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
