@@ -16,7 +16,7 @@ from meterlake.llm.mixing import mix
 from meterlake.llm.near_dedup import NearDedup, near_duplicates
 from meterlake.llm.quality import Quality, fit, grade, ratings_of
 from meterlake.llm.queries import default_tokenizer, table
-from meterlake.llm.store import Workspace
+from meterlake.llm.store import Workspace, passing
 from meterlake.llm.token_files import TokenFiles, token_index
 
 
@@ -70,8 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written and read again; what the stage itself stored goes then, and so does its input."""
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, stored = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = ws.save(stage(spark, docs, sf_dir), name)
+        with passing():
+            docs = ws.save(stage(spark, docs, sf_dir), name)
+        ws.drop(*stored)
+        stored = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
