@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -17,22 +17,25 @@ from .activity import BLOCKS_SQL, _EFFECTIVE, _RECORDS, _blocks, _records
 from .registry import USAGE_SQL, nano_sql, priced, priced_sql, query, usage
 
 _KEY = "(epoch_us(ts) // 1000000 // 604800 * 604800)::BIGINT"
-_WEEK = (F.floor(F.unix_seconds("ts") / 604_800) * 604_800).cast("long")
+
+
+def _week() -> Column:
+    return (F.floor(F.unix_seconds("ts") / 604_800) * 604_800).cast("long")
 
 
 @query(f"WITH {USAGE_SQL}, k AS (SELECT {_KEY} AS week, max(ts) AS at FROM u WHERE model <> 'view' GROUP BY 1 UNION ALL SELECT {_KEY} + 604800, max(ts) FROM u WHERE model = 'view' GROUP BY 1) SELECT week, epoch_us(max(at)) AS last_us FROM k GROUP BY 1".replace(" AS at", ' AS "at"').replace("max(at)", 'max("at")'))
 def week_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks that either of two tables knows, with the latest time seen in both."""
     u = usage(spark, sf_dir)
-    a = u.where("model <> 'view'").select(_WEEK.alias("week"), "ts")
-    b = u.where("model = 'view'").select((_WEEK + 604_800).alias("week"), "ts")
+    a = u.where("model <> 'view'").select(_week().alias("week"), "ts")
+    b = u.where("model = 'view'").select((_week() + 604_800).alias("week"), "ts")
     return a.unionByName(b).groupBy("week").agg(F.unix_micros(F.max("ts")).alias("last_us"))
 
 
 @query(f"WITH {USAGE_SQL}, k AS (SELECT account, {_KEY} AS week, {_KEY} + 604800 AS e FROM u WHERE k < 40 UNION ALL SELECT account, {_KEY}, {_KEY} + 604800 - k FROM u WHERE model = 'click' UNION ALL SELECT account, {_KEY}, {_KEY} + 604800 + k % 3 FROM u WHERE model = 'error') SELECT account, week, max(e)::BIGINT AS week_end FROM k GROUP BY ALL")
 def week_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A week's end from three tables, the latest that one of them gives."""
-    u = usage(spark, sf_dir).withColumn("week", _WEEK)
+    u = usage(spark, sf_dir).withColumn("week", _week())
     of = lambda c, e: u.where(c).select("account", "week", e.alias("e"))
     end = F.col("week") + 604_800
     three = of("k < 40", end).unionByName(of("model = 'click'", end - F.col("k"))).unionByName(of("model = 'error'", end + F.col("k") % 3))
@@ -42,7 +45,7 @@ def week_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {USAGE_SQL} SELECT account, {_KEY} AS boundary FROM u UNION SELECT account, {_KEY} + 604800 FROM u WHERE model = 'click' UNION SELECT account, {_KEY} + k FROM u WHERE model = 'error'")
 def retained_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every boundary that a stored row rests on, once."""
-    u = usage(spark, sf_dir).withColumn("week", _WEEK)
+    u = usage(spark, sf_dir).withColumn("week", _week())
     of = lambda df, b: df.select("account", b.alias("boundary"))
     return of(u, F.col("week")).unionByName(of(u.where("model = 'click'"), F.col("week") + 604_800)).unionByName(of(u.where("model = 'error'"), F.col("week") + F.col("k"))).distinct()
 
@@ -62,8 +65,8 @@ d AS (SELECT account, start // 86400 AS day, max(nano) AS nano FROM c GROUP BY A
 SELECT w.account, w.start, percent, coalesce(c.nano, d.nano) AS nano, CASE WHEN c.nano IS NOT NULL THEN 'instant' WHEN d.nano IS NOT NULL THEN 'date' END AS matched FROM w LEFT JOIN c ON c.account = w.account AND c.start = w.start LEFT JOIN d ON d.account = w.account AND d.day = w.start // 86400""")
 def report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of weeks with their costs: by the very instant of the week's start, else by its date."""
-    c = priced(spark, sf_dir).withColumn("start", _WEEK + (F.col("account") % 2) * 3600).groupBy("account", "start").agg(F.sum(nano(F.col("cost"))).alias("by_instant"))
-    w = usage(spark, sf_dir).groupBy("account", _WEEK.alias("start")).agg(F.max(F.least(F.lit(100.0), "value")).alias("percent"))
+    c = priced(spark, sf_dir).withColumn("start", _week() + (F.col("account") % 2) * 3600).groupBy("account", "start").agg(F.sum(nano(F.col("cost"))).alias("by_instant"))
+    w = usage(spark, sf_dir).groupBy("account", _week().alias("start")).agg(F.max(F.least(F.lit(100.0), "value")).alias("percent"))
     d = c.groupBy("account", F.floor(F.col("start") / 86_400).alias("day")).agg(F.max("by_instant").alias("by_date"))
     j = w.join(c, ["account", "start"], "left").withColumn("day", F.floor(F.col("start") / 86_400)).join(d, ["account", "day"], "left")
     matched = F.when(F.col("by_instant").isNotNull(), "instant").when(F.col("by_date").isNotNull(), "date")
