@@ -59,6 +59,21 @@ def week_window(now: dt.datetime, tz: str, start_day: int = 0) -> tuple[dt.datet
     return at(day), at(day + dt.timedelta(days=7))
 
 
+def parse_filter_range(low: str | None, high: str | None, tz: str) -> tuple[dt.datetime | None, dt.datetime | None]:
+    """Bounds of a filter as UTC instants, the upper one exclusive: a date begins in the zone, and as the upper bound lasts until the next
+    day; a time with an offset of its own keeps it."""
+    z = ZoneInfo(tz)
+
+    def at(text: str, upper: bool) -> dt.datetime:
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", text):
+            day = dt.date.fromisoformat(text) + dt.timedelta(days=int(upper))
+            return dt.datetime(day.year, day.month, day.day, tzinfo=z).astimezone(dt.UTC)
+        t = dt.datetime.fromisoformat(text)
+        return (t if t.tzinfo else t.replace(tzinfo=z)).astimezone(dt.UTC)
+
+    return low and at(low, False), high and at(high, True)
+
+
 def parse_window(token: str, now: dt.datetime, tz: str = "UTC", start_day: int = 0) -> tuple[dt.datetime, dt.datetime]:
     """Bounds of this-week, last-week, Nw-ago, this-month, last-month, Nm-ago, last-Nd, prev-Nd or A..B (dates, B included)."""
     if m := re.fullmatch(r"this-week|last-week|(\d+)w-ago", token):

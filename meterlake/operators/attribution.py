@@ -23,6 +23,15 @@ def adopt_spend(entries: DataFrame, windows: DataFrame, unit_seconds: int) -> Da
     return g.where(F.col("account") == F.col("_hi")).select("entry_id", "account")
 
 
+def block_spend(entries: DataFrame, blocks: DataFrame, as_of: int, unit_seconds: int) -> DataFrame:
+    """Entries (root, ts, ...) with the quota block (root, start, reset) that they fall in: from its start until its reset or ``as_of``,
+    whichever is first. Times are epoch seconds; both meet in units of time of their root."""
+    last = F.least(F.col("reset"), F.lit(as_of))
+    b = blocks.where(F.col("start") < last).withColumn("_until", last).withColumn("_u", F.explode(F.sequence(F.floor(F.col("start") / unit_seconds), F.floor(F.col("_until") / unit_seconds))))
+    e = entries.withColumn("_u", F.floor(F.col("ts") / unit_seconds))
+    return e.join(b, ["root", "_u"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("_until"))).drop("_u", "_until")
+
+
 def resolve_assertions(assertions: DataFrame, groups: DataFrame) -> DataFrame:
     """``assertions`` (op_id, axes, resets, account), ``groups`` (group_id, axes, resets, in_scope, native), resets being arrays ->
     (op_id, account, outcome, group_id). An assertion matches the groups of its axes with which it shares a reset: none is dormant,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,22 @@ def burn(blocks: DataFrame, now: Column, hours: int = 5) -> DataFrame:
         F.when(going, F.floor((F.unix_micros("end") - F.unix_micros(now)) / 60e6).cast("long")).alias("remaining_minutes"))
 
 
+def recent(blocks: DataFrame, now: Column, days: int = 3) -> DataFrame:
+    """Blocks that began within ``days`` or are active."""
+    return blocks.where((F.col("start") >= now - F.expr(f"interval {days} days")) | ((F.col("start") <= now) & (now < F.col("end"))))
+
+
+def token_limit(raw: str | None, blocks: DataFrame, now: Column) -> DataFrame:
+    """Adds ``token_limit`` and ``limit_pct``: the number that ``raw`` begins with; none, empty or max means the most tokens of a block that
+    has ended. A limit of 0 or less has no percent."""
+    if raw is None or raw in ("", "max"):
+        b = blocks.withColumn("token_limit", blocks.where(F.col("end") <= now).select(F.max("total_tokens")).scalar())
+    else:
+        m = re.match(r"\s*([+-]?\d+)", raw)
+        b = blocks.withColumn("token_limit", F.lit(int(m[1]) if m else None).cast("long"))
+    return b.withColumn("limit_pct", F.when(F.col("token_limit") > 0, F.col("total_tokens") / F.col("token_limit") * 100))
+
+
 CANONICAL_WEIGHT = 1000
 
 

@@ -78,6 +78,37 @@ def file_touches(turns: DataFrame, pattern: str = r"[\w./-]+\.(?:py|ts|md|json|s
     return named.groupBy("conv_id", "path").agg(F.count("*").alias("touches"), F.max("turn").alias("last_turn"))
 
 
+#: Tools that write files, and the argument that a tool's preview shows.
+WRITERS = ("Edit", "MultiEdit", "Write", "NotebookEdit")
+PREVIEWED = {"Bash": "command", "Read": "file_path", "Edit": "file_path", "Write": "file_path", "Grep": "pattern", "Glob": "pattern", "Task": "description"}
+TOOL_BLOCKS = "array<struct<type string, name string, input map<string, string>>>"
+
+
+def tool_touches(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """(conv_id, turn, path, tool) of tool blocks (``TOOL_BLOCKS``) that write a file."""
+    b = rows.select("conv_id", "turn", F.explode(blocks).alias("b")).where((F.col("b.type") == "tool_use") & F.col("b.name").isin(*WRITERS))
+    return b.select("conv_id", "turn", F.try_element_at("b.input", F.lit("file_path")).alias("path"), F.col("b.name").alias("tool")).where("path is not null")
+
+
+def tool_preview(name: Column, arguments: Column) -> Column:
+    """One line that says what a tool call does: its main argument, for a task without one its kind, else the first argument that isn't
+    empty, else the tool's name."""
+    main = F.create_map(*[F.lit(x) for kv in PREVIEWED.items() for x in kv])
+    value = F.coalesce(F.try_element_at(arguments, F.try_element_at(main, name)), F.when(name == "Task", F.try_element_at(arguments, F.lit("subagent_type"))))
+    first = F.try_element_at(F.filter(F.map_values(arguments), lambda v: v.isNotNull() & (v != "")), F.lit(1))
+    shown = F.coalesce(value, first)
+    return F.when(arguments.isNull(), "").when(F.coalesce(shown, F.lit("")) == "", F.coalesce(name, F.lit(""))).otherwise(F.element_at(F.split(shown, "\r?\n"), 1))
+
+
+def turn_outline(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, kind, chars, before, prompt): the skeleton of a conversation, with the characters before each turn and the number of
+    the prompt that it belongs to."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = classify(turns).select("conv_id", "turn", "kind", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    before = F.coalesce(F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.withColumn("before", before).withColumn("prompt", F.count(F.when(F.col("kind") == "prompt", 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def window_filter(column: str, low: Column | None, high: Column | None) -> Column:
     """Half-open bounds; a null bound is open."""
     out = F.lit(True)

@@ -16,8 +16,13 @@ def best_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return best.unionByName(rows.where(~whole))
 
 
-def dedup_usage(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """One entry per key: the most tokens, then the one with a speed, then the first."""
+def dedup_usage(entries: DataFrame, keys: list[str], sticky: str | None = None) -> DataFrame:
+    """One entry per key: the most tokens, then the one with a speed, then the first. ``sticky`` names a column that stays that of the
+    key's first entry."""
+    if sticky:
+        w = Window.partitionBy(*keys).orderBy("entry_id")
+        known = F.greatest(*[F.col(k).isNull().cast("int") for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull().cast("int")
+        entries = entries.withColumn(sticky, F.when(known == 1, F.col(sticky)).otherwise(F.first(sticky).over(w)))
     total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_create_tokens") + F.col("cache_read_tokens")
     return best_per_key(entries, keys, [total.desc(), F.col("speed").isNotNull().desc(), F.col("entry_id").asc()])
 

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def rate_source(percent: Column, this_week: Column, median: Column) -> Column:
+    """struct(rate, source): dollars per percent of this week once ten percent are used, else the median of four weeks, else this week's
+    sparse one."""
+    of = lambda rate, source: F.struct(rate.alias("rate"), F.lit(source).alias("source"))
+    return F.when((percent >= 10) & this_week.isNotNull(), of(this_week, "this_week")).when(median.isNotNull(), of(median, "median")).otherwise(of(this_week, "sparse"))
+
+
 def weekly_forecast(state: DataFrame, targets: list[int]) -> DataFrame:
     """``state``: key columns with percent, percent_24h (a day ago or null), hours_24h, elapsed, remaining (hours) and usd_per_pct. Adds
     both rates, the band of the percent at the week's end, hours to the cap, and dollars a day per target. No rate, no figure."""

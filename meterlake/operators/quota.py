@@ -91,6 +91,14 @@ def crossings(spend: DataFrame, thresholds: list[int], latched: DataFrame, keys:
     return reached.join(latched, [*keys, "threshold"], "left_anti")
 
 
+def claims(windows: DataFrame, thresholds: list[int], keys: list[str]) -> DataFrame:
+    """(*keys, threshold, kind) of quota windows (*keys, percent, projected): thresholds that the percent has reached are actual, those that
+    only the projection reaches are projected; an actual claim leaves no projected one at its threshold."""
+    t = windows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    kind = F.when(F.col("percent") >= F.col("threshold"), "actual").when(F.col("projected") >= F.col("threshold"), "projected")
+    return t.select(*keys, "threshold", kind.alias("kind")).where("kind is not null")
+
+
 def single_vote(rows: DataFrame, group: list[str], vote: str, out: str) -> DataFrame:
     """A row without ``vote`` adopts the one that its group agrees on; none, if there is no or more than one."""
     v = rows.groupBy(*group).agg(F.min(vote).alias("_lo"), F.max(vote).alias("_hi"))

@@ -21,6 +21,35 @@ def anomalies(rows: DataFrame, drop_points: float) -> DataFrame:
     return rows.withColumn("flags", F.array_join(flags, ",")).withColumn("unevaluated", F.col("baseline").isNull())
 
 
+def verdict(rows: DataFrame) -> DataFrame:
+    """Adds ``verdict`` to rows with flags and unevaluated: anomaly if there is a flag, else unevaluated if a test could not be made, else
+    ok; without any rows a report says no_data, which a left join from the keys that were asked for gives."""
+    flagged = F.coalesce("flags", F.lit("")) != ""
+    return rows.withColumn("verdict", F.when(F.col("unevaluated").isNull(), "no_data").when(flagged, "anomaly").when(F.col("unevaluated"), "unevaluated").otherwise("ok"))
+
+
+def of_account(account: object, column: str = "account") -> Column:
+    """Rows of one account; no account means all of them, merged."""
+    return F.lit(True) if account is None else F.col(column) == account
+
+
+def row_contains(columns: list[str], text: str) -> Column:
+    """Whether a row's visible columns, written one after the other, hold a text, ignoring case."""
+    return F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])), F.lit(text.lower()))
+
+
+#: Columns that a comparison's sections show.
+SECTION_COLUMNS = {"overall": ["cost_usd", "entries"], "models": ["model", "cost_usd", "entries", "hit_pct"], "cache": ["hit_pct", "read_tokens"]}
+
+
+def per_day(rows: DataFrame, a_days: float, b_days: float, costs: dict[str, float], tolerance: float = 0.01) -> DataFrame:
+    """Costs (column -> days of its window) divided by days if two windows differ in length by more than ``tolerance`` days; counts of
+    tokens and percentages stay."""
+    if abs(a_days - b_days) <= tolerance:
+        return rows
+    return rows.withColumns({c: F.col(c) / d for c, d in costs.items() if d > 0})
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Two windows side by side by key: new, dropped or changed; the change, and in percent where the base isn't 0."""
     x, y = a.select(key, F.col(value).alias("a")), b.select(key, F.col(value).alias("b"))
@@ -148,8 +177,8 @@ def page(rows: DataFrame, key: str, size: int, after: Column | None = None, befo
         return rows.orderBy(key).limit(size)
     cursor = after if after is not None else before
     if cursor is not None:
-        there = rows.where(F.col(key) == cursor).select(F.lit(True).alias("_there")).limit(1)
-        rows = rows.where(F.col(key) > cursor if after is not None else F.col(key) < cursor).join(F.broadcast(there)).drop("_there")
+        there = rows.where(F.col(key) == cursor).exists()
+        rows = rows.where(there).where(F.col(key) > cursor if after is not None else F.col(key) < cursor)
     return rows.orderBy(key if after is not None else F.desc(key)).limit(size).orderBy(key)
 
 

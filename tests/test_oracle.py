@@ -36,6 +36,8 @@ def values(rows, columns):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     expected = duck.sql(catalogue.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(expected.columns)
     assert values(df.collect(), df.columns) == values(expected.fetchall(), expected.columns)
