@@ -48,14 +48,13 @@ def _spans(texts: Iterable[str], p: LangId, chars: int) -> Iterator[tuple[list[i
 
 
 def grams(texts: Iterable[str], p: LangId, chars: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The sparse matrix of texts by buckets, in parts: (text numbers, where each one's entries begin, buckets). Every n-gram of the
-    lower-cased texts is one entry; one text can be in several parts, and in one part several times."""
+    """The sparse matrix of texts by buckets, in parts, one for each order: (text numbers, where each one's entries begin, buckets). Every
+    n-gram of the lower-cased texts is one entry; one text can be in several parts, and in one part several times."""
     for rows, spans in _spans(texts, p, chars):
         sizes = np.array([len(x) for x in spans])
         codes = np.concatenate(spans).astype(np.uint64)
         span = np.repeat(np.arange(len(spans)), sizes)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        found, of = [], []
         for n in p.orders:
             count = len(codes) - n + 1
             if count <= 0:
@@ -65,12 +64,10 @@ def grams(texts: Iterable[str], p: LangId, chars: int = 1 << 18) -> Iterator[tup
                 h = (h ^ codes[j : j + count]) * _MULTIPLIERS[j]
                 h ^= h >> np.uint64(15)
             inside = (span[:count] == span[n - 1 :]) & (place[:count] < SPAN)
-            found.append((h[inside] % np.uint64(p.buckets)).astype(np.int64))
-            of.append(span[:count][inside])
-        of = np.concatenate(of)
-        order = np.argsort(of, kind="stable")
-        of, starts = np.unique(of[order], return_index=True)
-        yield np.array(rows)[of], starts, np.concatenate(found)[order]
+            of = span[:count][inside]
+            if len(of):
+                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                yield np.array(rows)[of[starts]], starts, (h[inside] % np.uint64(p.buckets)).astype(np.int64)
 
 
 def _counts(p: LangId):
