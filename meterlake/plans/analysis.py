@@ -252,9 +252,13 @@ def identity_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(scrub_identities(F.col("text"), {"tion": ("X", False)})).alias("scrubbed"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations),
+l AS (SELECT conv_id, turn, regexp_extract_all(coalesce(old, ''), '[^\n]*\n|[^\n]+') AS a, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS b FROM t),
+r AS (SELECT conv_id, turn, a, b, 0 AS i, [0::BIGINT for x in range(0, len(b) + 1)] AS best FROM l UNION ALL
+  SELECT conv_id, turn, a, b, i + 1, list_concat([0::BIGINT], [list_max([CASE WHEN a[i + 1] = b[q] THEN best[q] + 1 ELSE best[q + 1] END for q in range(1, j + 1)]) for j in range(1, len(b) + 1)]) FROM r WHERE i < len(a))
+SELECT conv_id, turn, (len(b) - best[len(b) + 1])::INTEGER AS added, (len(a) - best[len(b) + 1])::INTEGER AS removed FROM r WHERE i = len(a)""".replace("\\n", "\n"))
 def line_diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines added and removed from each turn to the next; longest common subsequences have no SQL."""
+    """Lines added and removed from each turn to the next, by longest common subsequences."""
     c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.select("conv_id", "turn", line_diff(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.added", "d.removed")
 
