@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import time
@@ -301,6 +302,25 @@ def test_grades_of_held_out_rows(spark):
     assert mean(0) < 0.3 < 0.7 < mean(1) < mean(2)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_labelled_documents_that_were_not_learned(spark):
+    """Fitted on two thirds of the labels, about 2,650, and held against the rest."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = quality.fit(d, quality.ratings_of(labels.where(part != 1)))
+    got = quality.grade(d, model).join(labels.where(part == 1), "doc_id").where("quality is not null").collect()
+    good, poor = [r for r in got if r["quality"] > 0], [r for r in got if r["quality"] == 0]
+    assert len(good) > 50 and len(poor) > 5 and all(0 <= r["top"] <= r["tail"] <= 1 for r in got)
+    assert np.mean([r["kept"] for r in good]) >= 0.98 and np.mean([not r["kept"] for r in poor]) >= 0.9
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(i % 40, "good plain words here" if i % 2 else "!!! $$$ ???") for i in range(400)]
+    ratings = spark.createDataFrame([(i, (i % 2) * 2) for i in range(40)] + [(1, 0), (None, 1), (2, None)], "doc_id long, grade int")
+    model = quality.fit(docs(spark, rows), ratings)
+    assert quality.grade(docs(spark, rows), model).count() == 400
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (2, "x" * 300_000), (3, " ".join(["long"] * 200_000))]
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
