@@ -123,11 +123,13 @@ def scan_licenses(docs: DataFrame, p: LicenseScan = LicenseScan(), id_col: str =
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    grams = F.transform("words", lambda w, i: F.concat_ws(" ", w, *[F.get("words", i + j) for j in (1, 2, 3)]))
-    exploded = d.select("doc_id", "text_hash", words_of(F.col("text"))[0].alias("words")).select("doc_id", "text_hash", F.posexplode(grams).alias("pos", "four"))
-    exploded = exploded.withColumn("two", F.substring_index("four", " ", 2)).withColumn("hash", F.xxhash64("two"))
+    gram = lambda k: F.concat_ws(" ", *[F.get("words", F.col("pos") + j) for j in range(k)])
+    texts = d.select("doc_id", "text_hash", words_of(F.col("text"))[0].alias("words"))
+    # positions are exploded and words are taken from the one array of the text: no array of grams is built, however long the text
+    places = F.when(F.size("words") > 1, F.sequence(F.lit(0), F.size("words") - 2))
+    exploded = texts.select("doc_id", "text_hash", "words", F.explode(places).alias("pos")).withColumn("two", gram(2)).withColumn("hash", F.xxhash64("two"))
     # equal hashes are followed by equal words, so that no collision votes
-    votes = exploded.join(F.broadcast(_template_grams(spark, p)), "hash").where("two = t_two and (t_four is null or t_four = four)")
+    votes = exploded.join(F.broadcast(_template_grams(spark, p)), "hash").where((F.col("two") == F.col("t_two")) & (F.col("t_four").isNull() | (F.col("t_four") == gram(4)))).drop("words")
     names = ["doc_id", "text_hash", "template", "length", "k"]
     diagonals = votes.groupBy(*names, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("at"))
     diagonals = diagonals.withColumn("first_t", F.array_min("at")).withColumn("last_t", F.array_max("at"))
