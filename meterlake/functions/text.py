@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -169,6 +170,33 @@ def capped(text: Column, most: int = 16_000) -> Column:
     return F.struct(F.substring(text, 1, most).alias("text"), F.greatest(F.lit(0), F.length(text) - most).alias("cut"))
 
 
+def string_leaves(document: Column, most: int = 16_000, depth: int = 12) -> Column:
+    """array<string>: the texts in a JSON document that aren't empty, in its order and without keys, each up to ``most`` characters, none from
+    below ``depth``. JSON nests without bound, which no built-in function walks, so a batch is read in Python."""
+
+    def walk(v: object, level: int, out: list[str]) -> None:
+        if isinstance(v, str):
+            if v:
+                out.append(v[:most])
+        elif level < depth and isinstance(v, (dict, list)):
+            for x in v.values() if isinstance(v, dict) else v:
+                walk(x, level + 1, out)
+
+    def of(text: str | None) -> list[str]:
+        out: list[str] = []
+        try:
+            walk(json.loads(text), 0, out)
+        except (TypeError, ValueError, RecursionError):
+            return []
+        return out
+
+    @F.pandas_udf("array<string>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return leaves(document)
+
+
 def markdown_table(rows: list, columns: list[str]) -> str:
     """A table of collected report rows, which are few."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")

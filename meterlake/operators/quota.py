@@ -47,6 +47,17 @@ def resets(samples: DataFrame, by: list[str], order: list[str], drop: float = 25
     return s.where((fell >= drop) | ((F.col("percent") <= floor) & (fell >= floor_drop)))
 
 
+def week_resets_seen(samples: DataFrame, by: list[str], order: list[str], live: bool = False) -> DataFrame:
+    """Samples (*by, *order, ts, percent, week_end) at which a week was reset: the percent falls as ``resets`` says while the week of the
+    sample before is still open and the end named is that week's or a later one. A fall to nothing that is less than the large one counts
+    only ``live``, where a state confirms it; a scan of history takes it for a blip."""
+    w = _ordered(by, order)
+    s = samples.withColumn("_end", F.lag("week_end").over(w))
+    floor_drop = 3.0 if live else 25.0
+    fell = resets(s, by, order, floor_drop=floor_drop)
+    return fell.where((F.col("_end") > F.col("ts")) & (F.col("week_end") >= F.col("_end"))).drop("_end")
+
+
 def clamp_high_water(samples: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds ``clamped``: the percent, or the highest before it, to a tenth."""
     w = _ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import cache_dollars, hit_percent, nano, sample_prices, stable_sum
+from ..functions.text import string_leaves
 from ..functions.timekit import local_date, parse_filter_range
 from ..operators import attribution, blocks, conversations, events, forecasts, intervals, quota, reports
 from ..sources.tables import table
@@ -212,3 +213,28 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, kind, chars, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, count(*) FILTER (WHERE kind = 'prompt') OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM t""")
 def turn_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.turn_outline(table(spark, sf_dir, "conversations"))
+
+
+_WEEK_END = "(epoch_us(ts) // 1000000 // 43200 * 43200 + 43200 + (k % 3) * 21600)::BIGINT"
+
+
+@query(f"""WITH {USAGE_SQL}, s AS (SELECT session_id, entry_id, ts, epoch_us(ts) // 1000000 AS t, least(100.0::DOUBLE, value) AS percent, {_WEEK_END} AS e FROM u), l AS (SELECT *, lag(percent) OVER w AS pp, lag(e) OVER w AS pe FROM s WINDOW w AS (PARTITION BY session_id ORDER BY ts, entry_id))
+SELECT entry_id, session_id, percent, pp AS prev_percent, pp - percent >= 25 AS in_history FROM l WHERE pe > t AND e >= pe AND (pp - percent >= 25 OR (percent <= 1 AND pp - percent >= 3))""")
+def week_reset_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resets of weeks that were still open, seen live, and whether a scan of history sees them too."""
+    at = F.unix_seconds("ts")
+    end = (F.floor(at / 43_200) * 43_200 + 43_200 + (F.col("k") % 3) * 21_600).cast("long")
+    s = usage(spark, sf_dir).select("session_id", "entry_id", F.unix_micros("ts").alias("us"), at.alias("ts"), F.least(F.lit(100.0), "value").alias("percent"), end.alias("week_end"))
+    order = ["us", "entry_id"]
+    past = quota.week_resets_seen(s, ["session_id"], order).select("entry_id", F.lit(True).alias("in_history"))
+    live = quota.week_resets_seen(s, ["session_id"], order, live=True)
+    return live.join(past, "entry_id", "left").select("entry_id", "session_id", "percent", "prev_percent", F.coalesce("in_history", F.lit(False)).alias("in_history"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE concat_ws('|', CASE WHEN text <> '' THEN substr(text, 1, 16000) END, role, 'deep' || turn) END AS leaves FROM conversations""")
+def nested_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in nested arguments, written as JSON and read back; one document in five is broken."""
+    inner = F.struct(F.array(F.col("role"), F.lit("")).alias("x"), F.struct(F.concat(F.lit("deep"), "turn").alias("y")).alias("z"), F.col("turn").alias("n"))
+    doc = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("a"), inner.alias("b")))
+    broken = F.when(F.col("turn") % 5 == 4, F.concat(doc, F.lit("}"))).otherwise(doc)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(string_leaves(broken), "|").alias("leaves"))
