@@ -104,3 +104,16 @@ def test_nothing_but_the_entry_point_guards_imports():
 def test_op6_keeps_good_rows(spark):
     got = queries.QUERIES["op6_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     assert got.where(F.col("kept") != (F.col("quality") > 0)).count() == 0
+
+
+def test_what_a_step_stored_goes_with_it(spark, tmp_path):
+    import os
+
+    from meterlake.llm.store import Workspace, passing, shared_dir
+
+    outer = Workspace(spark, "outer")
+    with passing():
+        inner = Workspace(spark, "inner")
+        kept = outer.save(inner.save(spark.range(5), "a"), "b")
+        assert os.path.isdir(inner.root)
+    assert not os.path.exists(inner.root) and kept.count() == 5 and outer.root.startswith(shared_dir(spark))
