@@ -220,6 +220,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     # numbered once: whole numbers are joined and aggregated by hash
     classes = ws.save(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
 
+    rows = ws.save(sigs.drop("bands"), "rows")
+    ws.drop(sigs)
     # a smaller set reaches the threshold with its equal only, which is in its class already
     banded = classes.where(F.col("n_shingles") * 100 >= p.percent * (F.col("n_shingles") + 1)).select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -229,26 +231,28 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     rank = F.col("spread") + F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     hubs = ws.save(multi.join(spread, "key").groupBy("band").agg(F.max_by("key", rank).alias("hub")), "hubs")
     stars = ws.save(multi.select("band", "key").join(hubs, "band").where("key <> hub").select("hub", "key").distinct(), "stars")
-    ws.drop(multi, hubs)
+    named = ws.save(classes.select("key", "digest", "rep"), "named")
+    ws.drop(multi, hubs, classes)
 
     compared = stars.select("key").union(stars.select(F.col("hub").alias("key"))).distinct()
-    named = ws.save(classes.join(compared, "key", "left_semi").select("key", "digest", "rep"), "compared")
-    ids = named.select(F.col("rep").alias("doc_id")).distinct()
+    met = ws.save(named.join(compared, "key", "left_semi"), "compared")
+    ids = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     told = texts.mapInArrow(_payloads(p), "digest binary, n long, hashes binary, regs binary")
-    payload = ws.save(told.join(named.select("key", "digest"), "digest").drop("digest").dropDuplicates(["key"]), "sets")
+    payload = ws.save(told.join(met.select("key", "digest"), "digest").drop("digest").dropDuplicates(["key"]), "sets")
     hub_side = payload.select(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"), F.col("regs").alias("hub_regs"))
     pairs = stars.join(payload, "key").join(hub_side, "hub").select("hub", "key", "n", "hashes", "regs", "hub_n", "hub_hashes", "hub_regs")
     tried = ws.save(pairs.mapInArrow(_verify(p), "hub long, key long, n long, sim double, exact boolean, link boolean"), "tried")
     links = ws.save(tried.where("link").select(F.col("hub").alias("a"), F.col("key").alias("b")), "links")
     more = _links_past_hubs(tried, payload, components(links, ws), p, ws)
+    ws.drop(stars, met, payload, tried)
     roots = components(links.unionByName(more), ws)
 
-    named = classes.select("key", "digest", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("digest", "rep", F.coalesce("root", "key").alias("root"))
+    named = named.join(roots.withColumnRenamed("node", "key"), "key", "left").select("digest", "rep", F.coalesce("root", "key").alias("root"))
     named = ws.save(named, "named")
     least = ws.save(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     ofkey = ws.save(named.join(least, "root").select(F.col("digest").alias("key"), "component_id", "root"), "components")
-    out = sigs.select("doc_id", "text_hash", "n_shingles", "key").join(ofkey, "key", "left")
+    out = rows.join(ofkey, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash", "root"] if detail else []))
 
