@@ -17,6 +17,7 @@ from .quality import fit, grade, ratings_of
 from .token_files import TokenFiles, token_index
 from .topk import top_inner_products
 from .url_filters import filter_urls
+from .vantage import nearest
 from .whitening import whiten
 
 
@@ -92,13 +93,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_language_id, op3_topk_search, op4_html_text, op5_license_scan, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_mixing, op13_whitening)
+    for f in (op1_near_dedup, op2_language_id, op3_topk_search, op4_html_text, op5_license_scan, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_mixing, op12_nearest, op13_whitening)
 }
 
 _TEMPLATES = ", ".join(f"('{t.name}', '{t.label}', {str(t.whole).lower()}, {1.0 if t.whole else t.share}::DOUBLE, {t.k}, {t.words!r})" for t in LicenseScan().templates)

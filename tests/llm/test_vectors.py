@@ -4,7 +4,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from meterlake.llm import vantage as V
 from meterlake.llm import whitening as W
 
 VECTORS = "vec_id long, embedding array<float>, dim int, n long, x string, component string"
@@ -79,3 +81,64 @@ def test_whitening_of_extremes(spark):
     assert len(got) % 9 == 0 and all(r["deviation"] is None for r in got) and all(math.isfinite(r["whitened"]) for r in got)
     assert W.whiten(table(spark, [(1, [1.0, 2.0])] * 3)).count() == 0
     assert W.whiten(table(spark, [])).count() == 0 and W.whiten(table(spark, [(1, None), (2, [])])).count() == 0
+
+
+# vantage-point trees
+
+def brute_nearest(rows, k, every=10):
+    good = [(at, i, np.array(v, np.float32).astype(float)) for at, (i, v) in enumerate(rows) if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    out = []
+    for at, q, a in good:
+        if q % every == 0:
+            near = sorted((math.sqrt(((a - b) ** 2).sum()), i) for other, i, b in good if other != at and len(a) == len(b))
+            out += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def clustered(rng, n, dim=8, clusters=40):
+    centres = [[rng.gauss(0, 4) for _ in range(dim)] for _ in range(clusters)]
+    return [(i, [c + rng.gauss(0, 1) for c in centres[i * 7 % clusters]]) for i in range(n)]
+
+
+@pytest.mark.parametrize("p", [V.VantageTrees(factor=1.0, shard=60, leaf=8, sample=50, depth=3), V.VantageTrees(factor=1.0, k=400, leaf=4, lengths=1), V.VantageTrees(factor=1.0, k=3, shard=1, leaf=1, depth=1, most=2)])
+def test_factor_one_is_exact(spark, p):
+    rng = random.Random(3)
+    rows = clustered(rng, 400) + [(1000 + i, [0.5] * 8) for i in range(70)]  # copies, beyond a shard and a leaf
+    rows += [(1, [0.25] * 8), (10, [rng.gauss(0, 1) for _ in range(8)]), (10, [0.5] * 8), (1010, [0.5] * 7 + [0.5000001])]  # repeated ids
+    rows += [(2000, None), (2010, [1.0, None] + [0.0] * 6), (2020, [float("nan")] * 8), (2030, [float("inf")] * 8), (2040, []), (2050, [0.0] * 8), (None, [1.0] * 8), (2060, [1.0, 2.0]), (2070, [3.0, 1.0]), (2080, [1.0])]
+    rows += [(2100, [1e30] * 8), (2101, [1.1e30] * 8)]
+    got = sorted(tuple(r) for r in V.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, p).select("query_id", "rank", "vec_id", "score").collect())
+    want = brute_nearest(rows, p.k)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] == pytest.approx(w[3], rel=1e-15) for g, w in zip(got, want))
+
+
+def test_recall_of_relaxed_pruning(spark):
+    rows = clustered(random.Random(4), 3000)
+    want = {(q, i) for q, _, i, _ in brute_nearest(rows, 10)}
+    for factor, least in ((1.5, 0.97), (3.0, 0.8)):
+        got = {(r["query_id"], r["vec_id"]) for r in V.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, V.VantageTrees(factor=factor, shard=500, leaf=16)).collect()}
+        assert len(got) == len(want) and len(got & want) >= least * len(want)
+
+
+def test_trees_rule_out_branches():
+    """On clustered vectors most products are never evaluated, fewer the larger the factor; factor one loses nothing."""
+    x = np.array([v for _, v in clustered(random.Random(5), 8000)])
+    rids = np.arange(len(x))
+    read = []
+    for factor in (1.0, 1.5, 3.0):
+        p = V.VantageTrees(factor=factor, leaf=16)
+        tree, order = V.Tree.build(x, 9)
+        best = V.Nearest(rids[::80], x[::80], np.full(100, np.inf), p)
+        best.search(np.arange(100), tree, rids[order], rids[order], x[order])
+        read.append(best.evaluated / (100 * len(x)))
+        if factor == 1:
+            d = np.sqrt(((x[::80, None] - x) ** 2).sum(2))
+            d[np.arange(100), rids[::80]] = np.inf
+            assert best.ids.reshape(100, 10).tolist() == np.argsort(d, axis=1, kind="stable")[:, :10].tolist()
+    assert read[0] < 0.5 and read[0] > read[1] > read[2]
+
+
+def test_nearest_of_nothing(spark):
+    assert V.nearest(table(spark, []), F.col("vec_id") % 10 == 0).count() == 0
+    assert V.nearest(table(spark, [(10, [1.0, 2.0])]), F.col("vec_id") % 10 == 0).count() == 0
