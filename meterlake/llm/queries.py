@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import Alignment, align
 from .decontamination import find_leaks
 from .html_text import extract_text
 from .langid import held_out_predictions
@@ -93,6 +94,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(table(spark, sf_dir, "documents"), Alignment(default_tokenizer(), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -103,7 +110,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_language_id, op3_topk_search, op4_html_text, op5_license_scan, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_mixing, op12_nearest, op13_whitening)
+    for f in (op1_near_dedup, op2_language_id, op3_topk_search, op4_html_text, op5_license_scan, op6_quality, op7_url_filter, op8_decontamination, op9_token_files, op10_mixing, op11_alignment, op12_nearest, op13_whitening)
 }
 
 _TEMPLATES = ", ".join(f"('{t.name}', '{t.label}', {str(t.whole).lower()}, {1.0 if t.whole else t.share}::DOUBLE, {t.k}, {t.words!r})" for t in LicenseScan().templates)
