@@ -361,7 +361,7 @@ def test_leaks_equal_a_scan_of_all_windows(spark):
                     best = want.get((i, item), (0, 0))
                     want[i, item] = max(best, (common / union, -at))
     bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in items] + [(99, None, 0), (98, "", 0)], "item_id long, text string, start int")
-    for small in (D.Decontamination(), D.Decontamination(small_index=0)):
+    for small in (D.Decontamination(), D.Decontamination(small_index=0), D.Decontamination(exact=True), D.Decontamination(exact=True, small_index=0)):
         got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"]) for r in D.find_leaks(docs(spark, rows), bench, small).collect()}
         assert got == want and len(want) > 30
 
@@ -422,12 +422,56 @@ def test_documents_shorter_than_an_item(spark):
                 if 100 * common >= p.percent * union:
                     want[i, item] = max(want.get((i, item), (0, 0, 0)), (common / union, -at, n))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    for small in (p, D.Decontamination(small_index=0)):
+    for small in (p, D.Decontamination(small_index=0), D.Decontamination(exact=True)):
         got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"], r["length"]) for r in D.find_leaks(docs(spark, [(i, " ".join(w)) for i, w in rows]), bench, small).collect()}
         assert got == want
     assert sum(n < len(items[item][1]) for (_, item), (_, _, n) in want.items()) > 40
 
 
+@pytest.mark.parametrize("radius,blocks", [(19, 6), (7, 8), (12, 4), (20, 5)])
+def test_hamming_blocks_find_all_within_the_radius(radius, blocks):
+    """Every pair within the radius, and none but by a block, among all pairs of fingerprints at all distances."""
+    cut = D.hamming_blocks(radius, blocks)
+    assert sum(bits for _, bits, _ in cut) == 64 and sum(r + 1 for *_, r in cut) == radius + 1
+    rng = random.Random(radius)
+    items = [rng.getrandbits(64) for _ in range(6)]
+    prints = [x ^ sum(1 << j for j in rng.sample(range(64), n)) for x in items for n in range(0, 40) for _ in range(4)]
+    index = {(no, (x >> lo & (1 << bits) - 1) ^ int(m)): None for x in items for no, (lo, bits, r) in enumerate(cut) for m in D.within(bits, r)}
+    by_item = [{(no, (x >> lo & (1 << bits) - 1) ^ int(m)) for no, (lo, bits, r) in enumerate(cut) for m in D.within(bits, r)} for x in items]
+    assert len(index) <= len(items) * sum(len(D.within(bits, r)) for _, bits, r in cut)
+    near = 0
+    for f in prints:
+        keys = {(no, f >> lo & (1 << bits) - 1) for no, (lo, bits, _) in enumerate(cut)}
+        for x, mine in zip(items, by_item):
+            close = (f ^ x).bit_count() <= radius
+            near += close
+            assert not close or keys & mine
+    assert near > 6 * 4 * radius
+
+
+def test_index_rows_are_the_blocks(spark):
+    p = D.Decontamination(radius=9, blocks=4)
+    items = spark.createDataFrame([(30, 1, -5), (40, 2, 1 << 61)], "length int, uid long, fp long")
+    rows = items.mapInArrow(D._index(p), "length int, no int, block long, uid long, item_fp long").collect()
+    cut = D.hamming_blocks(9, 4)
+    want = sorted((n, no, ((fp & 2**64 - 1) >> lo & (1 << bits) - 1) ^ int(m), uid, fp) for n, uid, fp in ((30, 1, -5), (40, 2, 1 << 61)) for no, (lo, bits, r) in enumerate(cut) for m in D.within(bits, r))
+    assert sorted(map(tuple, rows)) == want
+
+
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.995), (0.82, 0.995), (0.85, 0.999), (0.9, 0.999)])
+def test_recall_of_fingerprints(similarity, least):
+    """Of random passages and edited copies at the similarity, the share whose fingerprints are within the radius."""
+    rng, h, p = random.Random(similarity), D.WordHashes(), D.Decontamination()
+    of = lambda w: D.rolling([x.encode() for x in w], 5, h)
+    near = 0
+    for _ in range(1500):
+        item = [f"w{rng.getrandbits(40)}" for _ in range(rng.randrange(40, 201))]
+        copy, _ = edited(rng, item, similarity)
+        a, b = (D.simhash(of(w), len(w) - 4)[0] for w in (item, copy))
+        near += int(a ^ b).bit_count() <= p.radius
+    assert near >= least * 1500
+
+
 def test_simhash_of_runs():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 2**63, 50, dtype=np.uint64)
