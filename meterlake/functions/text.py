@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a secret, in order; the flags are (keep group 1, ignore case).
+# What counts as a secret, in order; the flags are (ignore case, keep group 1).
 SECRETS = [
     ("authorization-header", r"(\bAuthorization:[ \t]*)\S[^\r\n]*", True, True),
     ("bearer-token", r"(\bBearer[ \t]+)[A-Za-z0-9._~+/=-]{16,}", True, True),
@@ -25,18 +25,21 @@ SECRETS = [
 
 def scrub_secrets(text: Column) -> Column:
     """Secrets replaced by [REDACTED:name], in order; a second pass changes nothing."""
-    for name, pattern, keep, fold in SECRETS:
+    for name, pattern, fold, keep in SECRETS:
         text = F.regexp_replace(text, ("(?i)" if fold else "") + pattern, ("$1" if keep else "") + f"[REDACTED:{name}]")
     return text
 
 
+# Fixed value: characters that continue a word, so that a whole-word token next to one stays.
+EDGE = "A-Za-z0-9_.-"
+
+
 def scrub_identities(text: Column, tokens: dict[str, tuple[str, bool]]) -> Column:
     """``tokens``: what to replace -> (by what, only as a whole word). One pass, the longest match first, so that no replacement is
     replaced again."""
     if not tokens:
         return text
-    edge = "A-Za-z0-9_"
-    alternatives = [rf"(?<![{edge}]){re.escape(t)}(?![{edge}])" if whole else re.escape(t) for t, (_, whole) in sorted(tokens.items(), key=lambda x: (-len(x[0]), x[0]))]
+    alternatives = [rf"(?<![{EDGE}]){re.escape(t)}(?![{EDGE}])" if whole else re.escape(t) for t, (_, whole) in sorted(tokens.items(), key=lambda x: (-len(x[0]), x[0]))]
     pattern = re.compile("|".join(alternatives))
 
     @F.pandas_udf("string")
@@ -68,20 +71,29 @@ def occurrences(text: Column, query: str) -> Column:
 
 
 def line_diff(old: Column, new: Column, budget: int = 4_000_000) -> Column:
-    """struct(added, removed) lines by longest common subsequence; null if the table would have more than ``budget`` cells."""
+    """struct(added, removed) lines by longest common subsequence; null if the table would have more than ``budget`` cells. A line ends after a line
+    feed and at no other character."""
 
     def lines(s: str | None) -> list[str]:
-        return (s or "").splitlines(keepends=True)
+        return re.findall(r"[^\n]*\n|[^\n]+", s or "")
+
+    def common(a: list[str], b: list[str]) -> int:
+        """Length of the longest common subsequence; a row of its table is one whole number, a bit a place, which is zero where the row steps up."""
+        at: dict[str, int] = {}
+        for i, x in enumerate(a):
+            at[x] = at.get(x, 0) | 1 << i
+        ones = (1 << len(a)) - 1
+        row = ones
+        for y in b:
+            met = row & at.get(y, 0)
+            row = (row + met | row - met) & ones
+        return len(a) - row.bit_count()
 
     def stat(a: list[str], b: list[str]) -> tuple[int | None, int | None]:
         if len(a) * len(b) > budget:
             return None, None
-        row = [0] * (len(b) + 1)
-        for x in a:
-            before = 0
-            for j, y in enumerate(b, 1):
-                row[j], before = before + 1 if x == y else max(row[j], row[j - 1]), row[j]
-        return len(b) - row[-1], len(a) - row[-1]
+        n = common(a, b)
+        return len(b) - n, len(a) - n
 
     @F.pandas_udf("added int, removed int")
     def diff(olds: pd.Series, news: pd.Series) -> pd.DataFrame:

@@ -74,18 +74,24 @@ def parse_filter_range(low: str | None, high: str | None, tz: str) -> tuple[dt.d
     return low and at(low, False), high and at(high, True)
 
 
-def parse_window(token: str, now: dt.datetime, tz: str = "UTC", start_day: int = 0) -> tuple[dt.datetime, dt.datetime]:
-    """Bounds of this-week, last-week, Nw-ago, this-month, last-month, Nm-ago, last-Nd, prev-Nd or A..B (dates, B included)."""
+def parse_window(token: str, now: dt.datetime, tz: str = "UTC", week: tuple[dt.datetime, dt.datetime] | None = None) -> tuple[dt.datetime, dt.datetime]:
+    """Bounds of this-week, last-week, Nw-ago, this-month, last-month, Nm-ago, last-Nd, prev-Nd or A..B (dates, B included).
+
+    Weeks are those of the subscription: ``week`` is the start of the present one and its next reset. The present one ends now, or at the reset if
+    that has passed; earlier ones are seven days each, counted back from its start. Without ``week`` their tokens are an error. Months
+    are whole calendar months of the zone, the present one too."""
     if m := re.fullmatch(r"this-week|last-week|(\d+)w-ago", token):
-        back = {"this-week": 0, "last-week": 1}.get(token, int(m[1] or 0))
-        start, end = week_window(now - dt.timedelta(weeks=back), tz, start_day)
-        return start, now if token == "this-week" else end
+        if week is None:
+            raise ValueError(f"no start of a subscription week is known, which {token!r} needs")
+        if token == "this-week":
+            return week[0], min(now, week[1])
+        start = week[0] - dt.timedelta(weeks=1 if token == "last-week" else int(m[1]))
+        return start, start + dt.timedelta(weeks=1)
     if m := re.fullmatch(r"this-month|last-month|(\d+)m-ago", token):
         back = {"this-month": 0, "last-month": 1}.get(token, int(m[1] or 0))
         local = now.astimezone(ZoneInfo(tz))
         n = local.year * 12 + local.month - 1 - back
-        start, end = month_window(dt.datetime(n // 12, n % 12 + 1, 15, tzinfo=ZoneInfo(tz)), tz)
-        return start, now if token == "this-month" else end
+        return month_window(dt.datetime(n // 12, n % 12 + 1, 15, tzinfo=ZoneInfo(tz)), tz)
     if m := re.fullmatch(r"(last|prev)-(\d+)d", token):
         days = dt.timedelta(days=int(m[2]))
         return (now - days, now) if m[1] == "last" else (now - 2 * days, now - days)

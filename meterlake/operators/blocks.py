@@ -139,7 +139,8 @@ def anchored_blocks(entries: DataFrame, windows: DataFrame, by: list[str], hours
     free = fixed_blocks(j.where("_s is null"), by, hours).withColumn("anchor", F.lit("heuristic"))
     marks = windows.select(*by, F.col("start").alias("_at"), F.lit(None).cast("struct<start:timestamp,end:timestamp,first_ts:timestamp,last_ts:timestamp,entries:bigint,anchor:string>").alias("_b"), F.col("start").alias("_w"))
     blocks = free.select(*by, F.col("start").alias("_at"), F.struct("start", "end", "first_ts", "last_ts", "entries", "anchor").alias("_b"), F.lit(None).cast("timestamp").alias("_w"))
-    after = Window.partitionBy(*by).orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
+    # from the latest on, so that the frame only grows
+    after = Window.partitionBy(*by).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = F.min("_w").over(after)
     numbered = marks.unionByName(blocks).withColumn("_at", F.unix_micros("_at"))
     clamped = numbered.withColumn("_n", nxt).where("_b is not null")

@@ -21,8 +21,8 @@ def weeks_between(bounds: DataFrame, days: int = 7) -> DataFrame:
     return bounds.select(F.posexplode(F.sequence("start", "stop", step)).alias("week", "start")).withColumn("end", F.col("start") + step)
 
 
-def assign(points: DataFrame, intervals: DataFrame, ts: str, unit_seconds: int, keep: str = "inner") -> DataFrame:
-    """Joins each point to the interval [start, end) that holds it; ``intervals`` must not overlap (``clamp_overlaps``).
+def assign(points: DataFrame, intervals: DataFrame, ts: str, unit_seconds: int, keep: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """Joins each point to the interval [start, end) that holds it, of those with its ``by``; ``intervals`` of one ``by`` must not overlap (``clamp_overlaps``).
 
     Intervals are spread over the units of time that they touch and points are joined on their unit, an equality
     that hashes and shuffles like any other, with the exact bounds as a residual. Pick a unit about as long as a
@@ -32,7 +32,12 @@ def assign(points: DataFrame, intervals: DataFrame, ts: str, unit_seconds: int,
     spread = intervals.withColumn("_unit", F.explode(F.sequence(unit(F.col("start")), unit(F.col("end")))))
     p = points.withColumn("_unit", unit(F.col(ts)))
     inside = (p._unit == spread._unit) & (p[ts] >= spread["start"]) & (p[ts] < spread["end"])
-    return p.join(spread, inside, keep).drop("_unit")
+    for c in by or []:
+        inside = (p[c] == spread[c]) & inside
+    out = p.join(spread, inside, keep).drop("_unit")
+    for c in by or []:
+        out = out.drop(spread[c])
+    return out
 
 
 def overlapping(a: DataFrame, b: DataFrame, unit_seconds: int) -> DataFrame:

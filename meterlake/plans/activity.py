@@ -242,8 +242,11 @@ def exists_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an error follows within six hours: one ordered window instead of a join."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("session_id").orderBy(F.unix_micros("ts")).rangeBetween(1, 6 * 3_600_000_000)
-    return usage(spark, sf_dir).select("entry_id", (F.count(F.when(F.col("model") == "error", 1)).over(w) > 0).alias("followed"))
+    # the next error's time, from the latest entry on, so that the frame only grows
+    at = F.unix_micros("ts")
+    w = Window.partitionBy("session_id").orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, -1)
+    nxt = F.min(F.when(F.col("model") == "error", at)).over(w)
+    return usage(spark, sf_dir).select("entry_id", F.coalesce(nxt - at <= 6 * 3_600_000_000, F.lit(False)).alias("followed"))
 
 
 @query(f"""WITH RECURSIVE {USAGE_SQL}, {BLOCKS_SQL}, {WEEKS_SQL} SELECT session_id, epoch_us(k.start) AS a_start_us, week FROM k JOIN weeks w ON k.start < w."end" AND w.start < k."end" """)

@@ -236,7 +236,7 @@ def file_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scrub_sql(x: str) -> str:
-    for name, pattern, keep, fold in SECRETS:
+    for name, pattern, fold, keep in SECRETS:
         x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{chr(92) + '1' if keep else ''}[REDACTED:{name}]', 'g{'i' if fold else ''}')"
     return x
 
@@ -252,15 +252,40 @@ def identity_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(scrub_identities(F.col("text"), {"tion": ("X", False)})).alias("scrubbed"))
 
 
-@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations),
+_WORD = "'(^|[^A-Za-z0-9_.-])the($|[^A-Za-z0-9_.-])', '\\1T\\2', 'g'"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, replace(replace(text, 'of the ', 'of-the '), ' to the', ' to the.the') AS x FROM conversations)
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(x, 'tion', 'X'), {_WORD}), {_WORD})) AS scrubbed FROM t""")
+def identity_scrub_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token that counts as a whole word only, not beside letters, digits, dots or dashes, and one that counts anywhere."""
+    x = F.replace(F.replace("text", F.lit("of the "), F.lit("of-the ")), F.lit(" to the"), F.lit(" to the.the"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(scrub_identities(x, {"tion": ("X", False), "the": ("T", True)})).alias("scrubbed"))
+
+
+_DIFF = r"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM source),
 l AS (SELECT conv_id, turn, regexp_extract_all(coalesce(old, ''), '[^\n]*\n|[^\n]+') AS a, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS b FROM t),
 r AS (SELECT conv_id, turn, a, b, 0 AS i, [0::BIGINT for x in range(0, len(b) + 1)] AS best FROM l UNION ALL
   SELECT conv_id, turn, a, b, i + 1, list_concat([0::BIGINT], [list_max([CASE WHEN a[i + 1] = b[q] THEN best[q] + 1 ELSE best[q + 1] END for q in range(1, j + 1)]) for j in range(1, len(b) + 1)]) FROM r WHERE i < len(a))
-SELECT conv_id, turn, (len(b) - best[len(b) + 1])::INTEGER AS added, (len(a) - best[len(b) + 1])::INTEGER AS removed FROM r WHERE i = len(a)""".replace("\\n", "\n"))
+SELECT conv_id, turn, (len(b) - best[len(b) + 1])::INTEGER AS added, (len(a) - best[len(b) + 1])::INTEGER AS removed FROM r WHERE i = len(a)""".replace("\\n", "\n")
+
+
+def _line_diff(c: DataFrame) -> DataFrame:
+    c = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", line_diff(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.added", "d.removed")
+
+
+@query(_DIFF.replace("source", "conversations"))
 def line_diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines added and removed from each turn to the next, by longest common subsequences."""
-    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.select("conv_id", "turn", line_diff(F.col("before"), F.col("text")).alias("d")).select("conv_id", "turn", "d.added", "d.removed")
+    return _line_diff(table(spark, sf_dir, "conversations"))
+
+
+@query(_DIFF.replace("source", "(SELECT conv_id, turn, replace(replace(replace(text, '. ', '.' || chr(12)), ' e', chr(8232) || 'e'), ', ', chr(13)) AS text FROM conversations)"))
+def line_diff_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for texts with form feeds, line separators and lone carriage returns, which end no line."""
+    odd = F.replace(F.replace(F.replace("text", F.lit(". "), F.lit(".\f")), F.lit(" e"), F.lit("\u2028e")), F.lit(", "), F.lit("\r"))
+    return _line_diff(table(spark, sf_dir, "conversations").withColumn("text", odd))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS customers, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")

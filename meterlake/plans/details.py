@@ -9,6 +9,7 @@ from ..functions.money import cache_dollars, hit_percent, nano, sample_prices, s
 from ..functions.text import string_leaves
 from ..functions.timekit import local_date, parse_filter_range
 from ..operators import attribution, blocks, conversations, events, forecasts, intervals, quota, reports
+from ..operators.ranks import sliding_median
 from ..sources.tables import table
 from .activity import BLOCKS_SQL, WEEK, WEEKS_SQL, _blocks, sample_weeks
 from .analysis import _CACHE
@@ -28,6 +29,12 @@ def recent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.recent(_blocks(spark, sf_dir), F.expr("timestamp'2024-01-20 12:30:00'")).select("session_id", F.unix_micros("start").alias("start_us"), "entries")
 
 
+def _in_blocks(spark: SparkSession, sf_dir: str, entries: DataFrame) -> DataFrame:
+    """Entries with ``start`` and ``end`` of their session's block; an entry meets the blocks of its session that touch its own five hours."""
+    b = _blocks(spark, sf_dir).select("session_id", "start", "end")
+    return intervals.assign(entries, b, "ts", 5 * 3600, by=["session_id"])
+
+
 _TOTALS_SQL = f"{BLOCKS_SQL}, t AS (SELECT k.session_id, k.start, k.\"end\", sum(input_tokens + output_tokens)::BIGINT AS total_tokens FROM k JOIN u ON u.session_id = k.session_id AND u.ts >= k.start AND u.ts < k.\"end\" GROUP BY ALL)"
 
 
@@ -35,9 +42,8 @@ _TOTALS_SQL = f"{BLOCKS_SQL}, t AS (SELECT k.session_id, k.start, k.\"end\", sum
 SELECT session_id, epoch_us(start) AS start_us, raw, lim::BIGINT AS token_limit, CASE WHEN lim > 0 THEN total_tokens / lim * 100 END AS limit_pct FROM t, l""")
 def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks against a limit that is the most of all that have ended, a number, or no number."""
-    b = _blocks(spark, sf_dir).select("session_id", F.col("start").alias("s"), F.col("end").alias("e"))
     u = usage(spark, sf_dir).select("session_id", "ts", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
-    t = u.join(b, "session_id").where("ts >= s and ts < e").groupBy("session_id", F.col("s").alias("start"), F.col("e").alias("end")).agg(F.sum("tokens").alias("total_tokens"))
+    t = _in_blocks(spark, sf_dir, u).groupBy("session_id", "start", "end").agg(F.sum("tokens").alias("total_tokens"))
     now, out = F.expr("timestamp'2024-01-20 12:30:00'"), None
     for raw in ("max", "123456x", "none"):
         part = blocks.token_limit(raw, t, now).select("session_id", F.unix_micros("start").alias("start_us"), F.lit(raw).alias("raw"), "token_limit", "limit_pct")
@@ -49,10 +55,8 @@ def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM k JOIN u ON u.session_id = k.session_id AND u.ts >= k.start AND u.ts < k."end" GROUP BY ALL""")
 def block_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and last percent seen in each block."""
-    b = _blocks(spark, sf_dir).select("session_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    j = usage(spark, sf_dir).join(b, "session_id").where("ts >= s and ts < e")
     at = F.struct("ts", "entry_id")
-    return j.groupBy("session_id", F.unix_micros("s").alias("start_us")).agg(F.min_by("value", at).alias("first_percent"), F.max_by("value", at).alias("last_percent"))
+    return _in_blocks(spark, sf_dir, usage(spark, sf_dir)).groupBy("session_id", F.unix_micros("start").alias("start_us")).agg(F.min_by("value", at).alias("first_percent"), F.max_by("value", at).alias("last_percent"))
 
 
 @query(f"""{priced_sql()}, r AS (SELECT session_id, project, sum({nano_sql('cost')})::BIGINT AS nano, count(*) FILTER (WHERE speed = 'fast') AS rebuilds, max(ts) AS last_ts, min(model) AS family FROM e GROUP BY ALL)
@@ -128,7 +132,7 @@ def session_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = F.sum("cache_read_tokens")
     g = e.groupBy("session_id", "project").agg(F.unix_seconds(F.max("ts")).alias("at"), (F.sum(nano(F.col("d.saved"))) - F.sum(nano(F.col("d.wasted")))).alias("net"), F.try_divide(F.sum(F.when(F.col("speed") == "fast", F.col("cache_read_tokens")).otherwise(0)), reads).alias("hit"))
     g = g.withColumn("hit", F.col("hit") * 100)
-    a = reports.anomalies(reports.trailing_median(g, ["project"], "at", "hit", 14 * 86_400, 10), 5.0)
+    a = reports.anomalies(sliding_median(g, ["project"], "at", "hit", 14 * 86_400, 10), 5.0)
     all_ = usage(spark, sf_dir).select("session_id").distinct()
     return reports.verdict(all_.join(a, "session_id", "left")).select("session_id", "samples", F.round("baseline", 9).alias("baseline"), "flags", "verdict")
 

@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.money import nano
 from ..functions.timekit import moment, month_window, parse_window, week_window
 from ..operators import attribution, conversations, events, quota, reports, weeks
+from ..operators.ranks import placed
 from ..sources.logs import ROLLOUT_LINE, message_rows, quota_observations, snap_minutes
 from ..sources.tables import table
 from .activity import BLOCKS_SQL, _EFFECTIVE, _RECORDS, _blocks, _records
@@ -224,12 +225,8 @@ def tool_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOW = dt.datetime(2024, 1, 17, 15, 30, tzinfo=dt.UTC)
 
 
-@query(f"""{priced_sql()}, w(name, a, b) AS (VALUES ('month', TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-02-01 05:00:00'), ('week', TIMESTAMP '2024-01-15 05:00:00', TIMESTAMP '2024-01-22 05:00:00'), ('last-week', TIMESTAMP '2024-01-08 05:00:00', TIMESTAMP '2024-01-15 05:00:00'), ('last-3d', TIMESTAMP '2024-01-14 15:30:00', TIMESTAMP '2024-01-17 15:30:00'), ('2024-01-02..2024-01-04', TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-05 05:00:00'))
-SELECT name, count(*) AS entries, sum({nano_sql('cost')})::BIGINT AS nano FROM e JOIN w ON ts >= a AND ts < b GROUP BY 1""")
-def named_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of windows named in words, in a zone of its own; each entry is tested against all of them in one pass."""
-    zone = "America/New_York"
-    bounds = {"month": month_window(_NOW, zone), "week": week_window(_NOW, zone)} | {t: parse_window(t, _NOW, zone) for t in ("last-week", "last-3d", "2024-01-02..2024-01-04")}
+def _by_window(spark: SparkSession, sf_dir: str, bounds: dict[str, tuple[dt.datetime, dt.datetime]]) -> DataFrame:
+    """Each entry is tested against all windows in one pass."""
     at = F.unix_micros("ts")
     us = lambda t: int(t.timestamp() * 1_000_000)
     inside = F.array_compact(F.array(*[F.when((at >= us(a)) & (at < us(b)), n) for n, (a, b) in bounds.items()]))
@@ -237,6 +234,31 @@ def named_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("name").agg(F.count("*").alias("entries"), F.sum(nano(F.col("cost"))).alias("nano"))
 
 
+@query(f"""{priced_sql()}, w(name, a, b) AS (VALUES ('month', TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-02-01 05:00:00'), ('week', TIMESTAMP '2024-01-15 05:00:00', TIMESTAMP '2024-01-22 05:00:00'), ('last-week', TIMESTAMP '2024-01-08 05:00:00', TIMESTAMP '2024-01-15 05:00:00'), ('last-3d', TIMESTAMP '2024-01-14 15:30:00', TIMESTAMP '2024-01-17 15:30:00'), ('2024-01-02..2024-01-04', TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-05 05:00:00'))
+SELECT name, count(*) AS entries, sum({nano_sql('cost')})::BIGINT AS nano FROM e JOIN w ON ts >= a AND ts < b GROUP BY 1""")
+def named_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of windows named in words, in a zone of its own; each entry is tested against all of them in one pass."""
+    zone = "America/New_York"
+    bounds = {"month": month_window(_NOW, zone), "week": week_window(_NOW, zone)} | {t: parse_window(t, _NOW, zone, week_window(_NOW, zone)) for t in ("last-week", "last-3d", "2024-01-02..2024-01-04")}
+    return _by_window(spark, sf_dir, bounds)
+
+
+_LATE = dt.datetime(2024, 1, 27, 15, 30, tzinfo=dt.UTC)
+_WEEK = (dt.datetime(2024, 1, 23, 7, tzinfo=dt.UTC), dt.datetime(2024, 1, 30, 7, tzinfo=dt.UTC))
+
+
+@query(f"""{priced_sql()}, w(name, a, b) AS (VALUES ('this-week', TIMESTAMP '2024-01-23 07:00:00', TIMESTAMP '2024-01-27 15:30:00'), ('last-week', TIMESTAMP '2024-01-16 07:00:00', TIMESTAMP '2024-01-23 07:00:00'), ('3w-ago', TIMESTAMP '2024-01-02 07:00:00', TIMESTAMP '2024-01-09 07:00:00'),
+('this-month', TIMESTAMP '2024-01-01 05:00:00', TIMESTAMP '2024-02-01 05:00:00'), ('last-month', TIMESTAMP '2023-12-01 05:00:00', TIMESTAMP '2024-01-01 05:00:00'), ('2m-ago', TIMESTAMP '2023-11-01 04:00:00', TIMESTAMP '2023-12-01 05:00:00'),
+('last-7d', TIMESTAMP '2024-01-20 15:30:00', TIMESTAMP '2024-01-27 15:30:00'), ('prev-7d', TIMESTAMP '2024-01-13 15:30:00', TIMESTAMP '2024-01-20 15:30:00'), ('2024-01-02..2024-01-04', TIMESTAMP '2024-01-02 05:00:00', TIMESTAMP '2024-01-05 05:00:00'),
+('past reset', TIMESTAMP '2024-01-23 07:00:00', TIMESTAMP '2024-01-30 07:00:00'))
+SELECT name, count(*) AS entries, sum({nano_sql('cost')})::BIGINT AS nano FROM e JOIN w ON ts >= a AND ts < b GROUP BY 1""")
+def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of every form of window token; weeks are those of a subscription, of which the present one ends now or, past it, at its reset."""
+    zone = "America/New_York"
+    bounds = {t: parse_window(t, _LATE, zone, _WEEK) for t in ("this-week", "last-week", "3w-ago", "this-month", "last-month", "2m-ago", "last-7d", "prev-7d", "2024-01-02..2024-01-04")}
+    return _by_window(spark, sf_dir, bounds | {"past reset": parse_window("this-week", dt.datetime(2024, 2, 2, tzinfo=dt.UTC), zone, _WEEK)})
+
+
 @query("""WITH i AS (SELECT c_custkey AS identity, c_mktsegment AS label FROM customer), n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY identity) AS n FROM i), s AS (SELECT identity, CASE WHEN n = 1 THEN label ELSE label || ' (' || n || ')' END AS shown FROM n)
 SELECT o_orderkey AS order_id, shown FROM orders LEFT JOIN s ON identity = o_custkey""")
 def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,20 +268,18 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(shown, "identity", "left").select("order_id", "shown")
 
 
-@query(f"WITH {USAGE_SQL}, r AS (SELECT source, root, slot, entry_id, row_number() OVER (ORDER BY source, root, slot, minutes, account IS NOT NULL, account, entry_id) AS place FROM (SELECT 's' || account % 2 AS source, 'r' || project AS root, model AS slot, CASE WHEN k % 2 = 0 THEN 300 ELSE 10080 END AS minutes, account, entry_id FROM u)) SELECT place::INTEGER AS place, entry_id FROM r WHERE place <= 100")
+@query(f"WITH {USAGE_SQL}, r AS (SELECT source, root, slot, entry_id, row_number() OVER (ORDER BY source, root, slot, minutes, account IS NOT NULL, account, entry_id) AS place FROM (SELECT 's' || account % 2 AS source, 'r' || project AS root, model AS slot, CASE WHEN k % 2 = 0 THEN 300 ELSE 10080 END AS minutes, account, entry_id FROM u)) SELECT place, entry_id FROM r")
 def identity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quota identities in their full logical order, the account last; the first hundred."""
+    """Quota identities in their full logical order, the account last."""
     u = usage(spark, sf_dir)
     i = F.struct(F.concat(F.lit("s"), F.col("account") % 2).alias("source"), F.concat(F.lit("r"), "project").alias("root"), F.col("model").alias("slot"), F.when(F.col("k") % 2 == 0, 300).otherwise(10080).alias("minutes"), F.col("account").alias("account"))
-    first = u.select("entry_id", i.alias("identity")).orderBy("identity", "entry_id").limit(100)
-    return first.select(F.row_number().over(Window.orderBy("identity", "entry_id")).alias("place"), "entry_id")
+    return placed(u.select("entry_id", i.alias("identity")), ["identity", "entry_id"]).select("place", "entry_id")
 
 
-@query(f"WITH {USAGE_SQL}, a AS (SELECT 0 AS source, entry_id AS native, ts FROM u WHERE model = 'error' UNION ALL SELECT 1, entry_id, date_trunc('hour', ts) FROM u WHERE model = 'signup'), r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, source, native) AS place FROM a) SELECT place::INTEGER AS place, source, native FROM r WHERE place <= 50")
+@query(f"WITH {USAGE_SQL}, a AS (SELECT 0 AS source, entry_id AS native, ts FROM u WHERE model = 'error' UNION ALL SELECT 1, entry_id, date_trunc('hour', ts) FROM u WHERE model = 'signup'), r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, source, native) AS place FROM a) SELECT place, source, native FROM r")
 def combined_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of two sources, latest first; ties in the order of sources, then in a source's own."""
     u = usage(spark, sf_dir)
     of = lambda m, s, t: u.where(F.col("model") == m).select(F.lit(s).alias("source"), F.col("entry_id").alias("native"), t.alias("ts"))
     both = of("error", 0, F.col("ts")).unionByName(of("signup", 1, F.date_trunc("hour", "ts")))
-    order = [F.desc("ts"), F.col("source"), F.col("native")]
-    return both.orderBy(*order).limit(50).select(F.row_number().over(Window.orderBy(*order)).alias("place"), "source", "native")
+    return placed(both, [F.desc("ts"), "source", "native"]).select("place", "source", "native")

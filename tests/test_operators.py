@@ -139,28 +139,51 @@ def test_top_and_other(spark):
 
 
 def test_scrub_is_idempotent(spark):
-    s = "key sk-ant-abcdefgh12 /home/me/app app-x app token=abcdef123"
+    s = "key sk-ant-abcdefgh12 /home/me/app app-x app.py (app) app token=abcdef123"
     df = spark.createDataFrame([(s,), (None,)], "t string")
     tokens = {"/home/me/app": ("project-1", False), "app": ("project-1", True)}
     once = text.scrub_secrets(text.scrub_identities(F.col("t"), tokens))
     twice = text.scrub_secrets(text.scrub_identities(once, tokens))
     got = df.select(once.alias("a"), twice.alias("b")).collect()
-    assert got[0]["a"] == got[0]["b"] == "key [REDACTED:anthropic-key] project-1 project-1-x project-1 token=[REDACTED:secret-assignment]"
+    assert got[0]["a"] == got[0]["b"] == "key [REDACTED:anthropic-key] project-1 app-x app.py (project-1) project-1 token=[REDACTED:secret-assignment]"
     assert got[1]["a"] is None
 
 
 def test_line_diff(spark):
-    df = spark.createDataFrame([("a\nb\nc\n", "a\nc\nd\n"), (None, "x")], "o string, n string")
-    assert [tuple(r[0]) for r in df.select(text.line_diff(F.col("o"), F.col("n"))).collect()] == [(1, 1), (1, 0)]
+    df = spark.createDataFrame([("a\nb\nc\n", "a\nc\nd\n"), (None, "x"), ("a\fb\u2028c\rd\x0be\n", "a\fb\n"), ("x\r\ny", "x\ny"), ("", None)], "o string, n string")
+    assert [tuple(r[0]) for r in df.select(text.line_diff(F.col("o"), F.col("n"))).collect()] == [(1, 1), (1, 0), (1, 1), (1, 1), (0, 0)]
+
+
+def test_line_diff_equals_the_table(spark):
+    rng = random.Random(6)
+    rows = [tuple("\n".join(rng.choices("abcd", k=rng.randrange(0, 30))) for _ in range(2)) for _ in range(60)]
+
+    def brute(o, n):
+        a, b = (x.split("\n") if x else [] for x in (o, n))
+        a, b = ([x + "\n" for x in y[:-1]] + [x for x in y[-1:] if x] for y in (a, b))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return len(b) - t[-1][-1], len(a) - t[-1][-1]
+
+    df = spark.createDataFrame(rows, "o string, n string")
+    assert [tuple(r[0]) for r in df.select(text.line_diff(F.col("o"), F.col("n"))).collect()] == [brute(*r) for r in rows]
+    assert {tuple(r[0]) for r in df.where("o <> '' and n <> ''").select(text.line_diff(F.col("o"), F.col("n"), budget=0)).collect()} == {(None, None)}
 
 
 @pytest.mark.parametrize(("token", "want"), [
     ("last-7d", (T(2024, 3, 6, 12), T(2024, 3, 13, 12))), ("prev-7d", (T(2024, 2, 28, 12), T(2024, 3, 6, 12))),
     ("this-week", (T(2024, 3, 11), T(2024, 3, 13, 12))), ("1w-ago", (T(2024, 3, 4), T(2024, 3, 11))),
+    ("last-week", (T(2024, 3, 4), T(2024, 3, 11))), ("this-month", (T(2024, 3, 1), T(2024, 4, 1))), ("14m-ago", (T(2023, 1, 1), T(2023, 2, 1))),
     ("last-month", (T(2024, 2, 1), T(2024, 3, 1))), ("2024-01-01..2024-01-02", (T(2024, 1, 1), T(2024, 1, 3)))])
 def test_window_tokens(token, want):
     now = T(2024, 3, 13, 12, tzinfo=dt.UTC)
-    assert tuple(x.replace(tzinfo=None) for x in timekit.parse_window(token, now)) == want
+    week = T(2024, 3, 11, tzinfo=dt.UTC), T(2024, 3, 18, tzinfo=dt.UTC)
+    assert tuple(x.replace(tzinfo=None) for x in timekit.parse_window(token, now, week=week)) == want
+    if "week" in token or "w-" in token:
+        with pytest.raises(ValueError):
+            timekit.parse_window(token, now)
 
 
 def test_month_window_follows_the_clock():
