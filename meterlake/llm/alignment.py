@@ -24,13 +24,13 @@ MARK = "▁"
 @dataclass(frozen=True)
 class Alignment:
     """``byte_level``: path of a tokenizers JSON file of a byte-level BPE (A); ``pieces``: path of a sentencepiece model with byte fallback (B).
-    ``block_units``: distinct units after which a block ends with the document that it is in; ``known``, ``known_chars``: units that a Python worker
-    keeps, at about 600 bytes each, and their characters."""
+    ``block_links``: links after which a block ends with the few documents that it is in; ``known``, ``known_chars``: units that a Python worker
+    keeps, at about 500 bytes each, and their bytes."""
 
     byte_level: str
     pieces: str
-    block_units: int = 40_000
-    known: int = 250_000
+    block_links: int = 500_000
+    known: int = 150_000
     known_chars: int = 1 << 26
 
 
@@ -72,6 +72,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Units encoded as one text.
+RUN = 1000
+
+
 class Units(dict):
     """unit -> its number; numbers new ones in order."""
 
@@ -107,9 +111,15 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=p.pieces)
         letters = byte_letters()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        # what a digest has of a token of A inside a group and at its end, and of one of B
+        self.written = [f"{i}{end}" for ids, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(ids))]
+        self.written_size = np.array([len(x) for x in self.written], np.int64)
         with open(p.byte_level, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -123,8 +133,8 @@ class Aligner:
 
     def _clear(self) -> None:
         self.units, self.chars = Units(), 0
-        #: per unit: tokens of both, groups, digest text; and its links in one array
-        self.counts = np.zeros((0, 3), np.int64)
+        #: per unit: tokens of both, groups, links; digest text; and its links in one array
+        self.counts = np.zeros((0, 4), np.int64)
         self.good = np.zeros(0, bool)
         self.digests: list[str] = []
         self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
@@ -137,69 +147,90 @@ class Aligner:
         parts = self.CUT.split(whole)
         return [parts[0], *(" " + x for x in parts[1:])]
 
+    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of A, ids of B, bytes of each unit, whether it is spelt), once for units that can be encoded as one text and turn out to be, else once a unit."""
+        text = "".join(units)
+        raw = text.encode("utf-8", "surrogatepass")
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        # it adds the space, but not to nothing
+        b = np.array(self.b.encode(text[1:], num_threads=1) if text != " " else [self.space], np.int64)
+        spelt = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        size = np.array([len(u) for u in units] if len(raw) == len(text) else [len(u.encode("utf-8", "surrogatepass")) for u in units], np.int64)
+        if len(units) == 1:
+            return [(a, b, size, np.ones(1, bool))] if spelt else [(a[:0], b[:0], size * 0, np.zeros(1, bool))]
+        ends = np.cumsum(size)
+        if spelt and np.isin(ends, np.cumsum(self.a_size[a])).all() and np.isin(ends, np.cumsum(self.b_size[b])).all():
+            return [(a, b, size, np.ones(len(units), bool))]
+        return [x for u in units for x in self._encode([u])]
+
     def learn(self) -> None:
         """Aligns the new units, all at once: their bytes lie end to end, and so do the marks of both tokenizers."""
         new, self.units.new = self.units.new, []
         if not new:
             return
-        self.chars += sum(map(len, new))
-        raw = [u.encode("utf-8", "surrogatepass") for u in new]
-        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        b = self.b.encode([u[1:] for u in new], num_threads=1)  # it adds the space, but not to nothing
-        b = [y if u != " " else [self.space] for u, y in zip(new, b)]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = np.array([b"".join([a_bytes[i] for i in x]) == r == b"".join([b_bytes[i] for i in y]) for r, x, y in zip(raw, a, b)])
-        a, b = [x if g else [] for x, g in zip(a, good)], [y if g else [] for y, g in zip(b, good)]
-        size = np.where(good, [len(r) for r in raw], 0)
+        parts, run = [], []
+        for u in new:
+            if not self.cuts or u[-1].isspace():  # white space before the next unit's could be one token with it
+                if run:
+                    parts += self._encode(run)
+                parts += self._encode([u])
+                run = []
+            else:
+                run.append(u)
+                if len(run) == RUN:
+                    parts += self._encode(run)
+                    run = []
+        if run:
+            parts += self._encode(run)
+        ids_a, ids_b, size, good = (np.concatenate(x) for x in zip(*parts))
+        self.chars += int(size.sum())
         ends = np.cumsum(size)
         total = int(ends[-1])
-        ids_a, ids_b = np.array([i for x in a for i in x], np.int64), np.array([i for y in b for i in y], np.int64)
-        at_a = np.cumsum([len(a_bytes[i]) for i in ids_a.tolist()], dtype=np.int64) - 1
-        at_b = np.cumsum([len(b_bytes[i]) for i in ids_b.tolist()], dtype=np.int64) - 1
+        at_a, at_b = np.cumsum(self.a_size[ids_a]) - 1, np.cumsum(self.b_size[ids_b]) - 1
         in_a, in_b = Bits(total, at_a), Bits(total, at_b)
         shared, any_end = in_a & in_b, in_a | in_b
         # a stretch between two ends lies in one token of each: that is a link
         links = any_end.select()
         keys = ids_a[in_a.rank(links)] << 32 | ids_b[in_b.rank(links)] if len(links) else np.zeros(0, np.int64)
-        # tokens up to each shared cut
+        # tokens up to each shared cut, and the group of each token
         cuts = shared.select()
-        upto_a, upto_b, n_cuts = in_a.rank(cuts + 1).tolist(), in_b.rank(cuts + 1).tolist(), shared.rank(ends)
-        texts_a, texts_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        done_a = done_b = 0
-        groups = []
-        for x, y in zip(upto_a, upto_b):
-            groups.append(f"{texts_a[done_a]}|{texts_b[done_b]}" if x - done_a == 1 == y - done_b else f"{','.join(texts_a[done_a:x])}|{','.join(texts_b[done_b:y])}")
-            done_a, done_b = x, y
-        before = 0
-        for n in n_cuts.tolist():
-            self.digests.append(";".join(groups[before:n]))
-            before = n
-        upto = np.stack([in_a.rank(ends), in_b.rank(ends), n_cuts], axis=1)
+        upto_a, upto_b = np.append(in_a.rank(cuts + 1), 0), np.append(in_b.rank(cuts + 1), 0)
+        group_a, group_b = shared.rank(at_a), shared.rank(at_b)
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        # groups one after the other, in each the tokens of A and then those of B
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        order[np.arange(len(ids_a)) + upto_b[group_a - 1]] = ids_a + n_a * last_a
+        order[np.arange(len(ids_b)) + upto_a[group_b]] = 2 * n_a + ids_b + n_b * last_b
+        digest = "".join(map(self.written.__getitem__, order.tolist()))
+        upto = np.stack([in_a.rank(ends), in_b.rank(ends), shared.rank(ends), any_end.rank(ends)], axis=1)
+        chars = np.concatenate([[0], np.cumsum(self.written_size[order])])[upto[:, 0] + upto[:, 1]].tolist()
+        self.digests += [digest[s:e] for s, e in zip([0, *chars], chars)]
         self.counts = np.concatenate([self.counts, np.diff(upto, axis=0, prepend=0)])
         self.good = np.concatenate([self.good, good])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + any_end.rank(ends)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + upto[:, 3]])
         self.links = np.concatenate([self.links, keys])
 
-    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
-        """(per text: tokens of A, of B, groups), digests, and the numbers of its units; a text without tokens has none."""
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(per text: tokens of A, of B, groups, links), digests, and the links of all texts as A id << 32 | B id; a text without tokens has none."""
         if self.full():
             self._clear()
-        numbers = [np.fromiter(map(self.units.__getitem__, self.cut(t)), np.int64) if t and MARK not in t else np.zeros(0, np.int64) for t in texts]
+        numbers = []
+        for t in texts:
+            units = self.cut(t) if t and MARK not in t else []
+            numbers.append(np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)))
         self.learn()
-        counts, digests = np.zeros((len(texts), 3), np.int64), [""] * len(texts)
+        counts, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
         for i, n in enumerate(numbers):
             if len(n) and self.good[n].all():
                 counts[i] = self.counts[n].sum(axis=0)
-                digests[i] = hashlib.sha256(";".join(map(self.digests.__getitem__, n.tolist())).encode()).hexdigest()
+                digests[i] = hashlib.sha256("".join(map(self.digests.__getitem__, n.tolist()))[:-1].encode()).hexdigest()
             else:
                 numbers[i] = n[:0]
-        return counts, digests, numbers
-
-    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of links of each unit, all their links as A id << 32 | B id)."""
-        size = self.starts[units + 1] - self.starts[units]
+        n = np.concatenate(numbers)
+        size = self.counts[n, 3]
         ends = np.cumsum(size)
-        return size, self.links[np.repeat(self.starts[units] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return counts, digests, self.links[np.repeat(self.starts[n] - ends + size, size) + np.arange(size.sum())]
 
 
 @lru_cache(maxsize=1)
@@ -208,33 +239,31 @@ def aligner(p: Alignment) -> Aligner:
     return Aligner(p)
 
 
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_BLOCK = pa.schema([("doc_ids", _LONGS), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("digests", pa.list_(pa.string())),
-                    ("n_units", _INTS), ("units", _INTS), ("unit_links", _INTS), ("links", _INTS), ("keys", _LONGS), ("uses", _LONGS)])
-_BLOCK_DDL = "doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, n_units array<int>, units array<int>, unit_links array<int>, links array<int>, keys array<long>, uses array<long>"
+_LONGS = pa.list_(pa.int64())
+_BLOCK = pa.schema([("doc_ids", _LONGS), ("n_a", _LONGS), ("n_b", _LONGS), ("n_groups", _LONGS), ("n_links", _LONGS), ("digests", pa.list_(pa.string())), ("links", pa.binary()), ("keys", _LONGS), ("uses", _LONGS)])
+_BLOCK_DDL = "doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, links binary, keys array<long>, uses array<long>"
+
+
+def _narrow(keys: int) -> str:
+    """The type in which links are written, as places among so many keys."""
+    return "<u2" if keys <= 1 << 16 else "<u4"
 
 
 def _blocks(p: Alignment):
-    """Documents -> blocks: per document its counts, digest and units (numbered in the block); per unit its links, as places in ``keys``; and
-    how many links of the block each key has."""
+    """Documents -> blocks: per document its counts and digest; all their links, one document after the other, as places in ``keys``; and how many
+    links of the block each key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[tuple] = []
-        distinct: set[int] = set()
-        held = 0
+        worker = aligner(p)
+        held: list[tuple] = []
+        n = 0
 
         def block() -> pa.RecordBatch:
-            ids, counts, digests, numbers = zip(*docs)
-            flat = np.concatenate(numbers)
-            units, local = np.unique(flat, return_inverse=True)
-            size, links = worker.links_of(units)
-            keys, places = np.unique(links, return_inverse=True)
-            uses = np.bincount(places, weights=np.repeat(np.bincount(local, minlength=len(units)), size), minlength=len(keys))
-            counts = np.array(counts).T
-            cells = [list(ids), *counts, list(digests), np.array([len(n) for n in numbers], np.int32), local.astype(np.int32), size.astype(np.int32), places.astype(np.int32), keys, uses.astype(np.int64)]
+            ids, counts, digests, links = zip(*held)
+            keys, places, uses = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
+            cells = [[i for x in ids for i in x], *np.concatenate(counts).T, [d for x in digests for d in x], places.astype(_narrow(len(keys))).tobytes(), keys, uses]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _BLOCK)], schema=_BLOCK)
 
-        worker = aligner(p)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             at = 0
@@ -242,20 +271,15 @@ def _blocks(p: Alignment):
                 # a few documents at a time, by their length
                 to, chars = at, 0
                 while to < len(ids) and chars < 1 << 18:
-                    chars += len(texts[to].as_buffer() or b"") if texts[to].is_valid else 0
+                    chars += len(texts[to].as_buffer()) if texts[to].is_valid else 0
                     to += 1
-                if worker.full() and docs:  # numbers of units start anew
-                    yield block()
-                    docs, distinct, held = [], set(), 0
-                counts, digests, numbers = worker.align([t.as_py() for t in texts[at:to]])
-                docs += zip(ids[at:to], counts, digests, numbers)
-                held += sum(map(len, numbers))
-                distinct.update(np.unique(np.concatenate(numbers)).tolist())
-                at = to
-                if len(distinct) >= p.block_units or held >= 64 * p.block_units:
+                counts, digests, links = worker.align([t.as_py() for t in texts[at:to]])
+                held.append((ids[at:to], counts, digests, links))
+                n, at = n + len(links), to
+                if n >= p.block_links:
                     yield block()
-                    docs, distinct, held = [], set(), 0
-        if docs:
+                    held, n = [], 0
+        if held:
             yield block()
 
     return run
@@ -268,21 +292,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the corpus counts of their keys -> a row a document."""
     for b in batches:
         for i in range(b.num_rows):
-            of = {n: b.column(n)[i].values for n in b.schema.names if n != "block"}
-            n_units, units, size, links = (of[n].to_numpy() for n in ("n_units", "units", "unit_links", "links"))
-            told = of["told"]
-            if told is None or not len(told):
-                per_unit = np.zeros((len(size), 3), np.int64)
-            else:
+            of = {n: b.column(n)[i].values for n in ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "told")}
+            told, n_links = of["told"], of["n_links"].to_numpy()
+            upto = np.zeros((1, 2), np.int64)
+            if told is not None and len(told):
                 order = np.argsort(told.field("at").to_numpy())
-                total, best = told.field("total").to_numpy()[order][links], told.field("best").to_numpy(zero_copy_only=False)[order][links]
-                ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-                upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(np.stack([best.astype(np.int64), total], axis=1), axis=0)])
-                per_unit = np.column_stack([size.astype(np.int64), upto[ends[1:]] - upto[ends[:-1]]])
-            upto = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(per_unit[units], axis=0)])
-            ends = np.concatenate([[0], np.cumsum(n_units, dtype=np.int64)])
-            per_doc = upto[ends[1:]] - upto[ends[:-1]]
-            yield pa.RecordBatch.from_arrays([of["doc_ids"], of["n_a"], of["n_b"], of["n_groups"], *(pa.array(c) for c in per_doc.T), of["digests"]], schema=_OUT)
+                links = np.frombuffer(b.column("links")[i].as_buffer(), _narrow(len(told)))
+                worth = np.column_stack([told.field("best").to_numpy(zero_copy_only=False), told.field("total").to_numpy()]).astype(np.int64)[order]
+                upto = np.concatenate([upto, np.cumsum(worth[links], axis=0)])
+            ends = np.cumsum(n_links)
+            per_doc = upto[ends] - upto[ends - n_links]
+            yield pa.RecordBatch.from_arrays([of["doc_ids"], of["n_a"], of["n_b"], of["n_groups"], of["n_links"], *(pa.array(c) for c in per_doc.T), of["digests"]], schema=_OUT)
 
 
 def align(docs: DataFrame, p: Alignment, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def test_alignment_equals_a_walk_over_whole_texts(spark):
     df = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in rows], SCHEMA)
     want = sorted(brute(rows), key=str)
     assert sum(r[1] > 0 for r in want) > 160
-    for p in (P, A.Alignment(P.byte_level, P.pieces, block_units=20, known=50)):
+    for p in (P, A.Alignment(P.byte_level, P.pieces, block_links=90, known=50)):
         got = A.align(df, p).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
         assert sorted(map(tuple, got), key=str) == want
 
