@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import cache_create_cost, cumulative_entry_cost, sample_prices, stable_sum, tiered, with_prices
 from ..functions.timekit import local_date, local_month, week_start
 from ..operators import rollups
+from ..operators.exact import exact_sum
 from ..operators.events import best_per_key, cumulative_advances, dedup_usage, dedup_violations
 from .registry import COST_SQL, CREATE_SPLIT_SQL, PRICES_SQL, ROLLUP_SQL, USAGE_SQL, nano_sql, priced, priced_sql, query, sum_sql, tier_sql, usage
 
@@ -179,3 +180,10 @@ def account_range_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = with_prices(usage(spark, sf_dir).where("ts >= timestamp'2024-01-10' and ts < timestamp'2024-01-20'"), sample_prices(spark))
     return e.groupBy("account").agg(stable_sum(entry_cost("auto", False)).alias("cost_usd"), F.count("*").alias("entries"))
+
+
+@query(f"""WITH {USAGE_SQL}, d AS (SELECT model, coalesce(cost_usd_raw, 0.0::DOUBLE) AS cost FROM u WHERE model <> 'error')
+SELECT model, sum((cost * pow(2.0::DOUBLE, 80))::HUGEINT)::VARCHAR::DOUBLE / pow(2.0::DOUBLE, 80) AS cost_usd, count(*) AS n FROM d GROUP BY 1""")
+def exact_cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded costs added up without rounding and rounded once. In SQL they are whole numbers of 2 ** -80 dollars, which holds costs of a millionth and more exactly."""
+    return exact_sum(priced(spark, sf_dir, "display"), ["model"], F.col("cost"), "cost_usd")
