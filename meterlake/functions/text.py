@@ -209,6 +209,103 @@ def string_leaves(document: Column, most: int = 16_000, depth: int = 12) -> Colu
     return leaves(document)
 
 
+# Bounds of a tool's input, in characters, entries and levels, and what stands for what was left out.
+LEAF, KEY, TOTAL, NODES, DEPTH, ELIDED = 8000, 512, 32_000, 2000, 12, "…"
+
+
+class _Number(str):
+    """A number as it was written."""
+
+
+def _bounded(text: str | None) -> tuple[str | None, bool]:
+    try:
+        root = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=lambda _: None)
+    except RecursionError:
+        return None, True
+    except (TypeError, ValueError):
+        return None, False
+    if not isinstance(root, dict):
+        return None, False
+    out: list[str] = []
+    left, nodes, cut = TOTAL, 0, False
+
+    def spend(x: str) -> None:
+        nonlocal left
+        out.append(x)
+        left -= len(x)
+
+    def string(x: str, most: int, keep: int = 0) -> None:
+        """As much of it as ``most`` characters and the budget allow, ``keep`` characters of which are for what follows."""
+        nonlocal cut
+        shown = x[: min(most, max(0, left - 2 - keep))]
+        wire = json.dumps(shown)
+        while len(wire) > left - keep:  # escapes are longer
+            over = len(wire) - (left - keep)
+            shown = shown[: max(0, min(len(shown) - 1, len(shown) - over // 12))]
+            wire = json.dumps(shown)
+        cut |= len(shown) < len(x)
+        spend(wire)
+
+    def value(v: object, depth: int) -> None:
+        """Writes a value; at least two characters are left for it."""
+        nonlocal left, nodes, cut
+        if depth > DEPTH:
+            cut = True
+            string(ELIDED if left >= 8 else "", LEAF)
+        elif isinstance(v, (dict, list)):
+            pair = "{}" if isinstance(v, dict) else "[]"
+            out.append(pair[0])
+            left -= 2
+            first, seen = True, set()
+            for k in v:
+                if isinstance(v, dict):
+                    if k[:KEY] in seen:
+                        cut = True
+                        continue
+                    seen.add(k[:KEY])
+                # a comma, a key's quotes and colon, and the least that a value can be
+                if left < (not first) + (3 if isinstance(v, dict) else 0) + 2:
+                    cut = True
+                    break
+                if not first:
+                    spend(",")
+                first = False
+                if isinstance(v, dict):
+                    string(k, KEY, keep=3)
+                    spend(":")
+                if nodes >= NODES:
+                    cut = True
+                    string(ELIDED if left >= 8 else "", LEAF)
+                    break
+                nodes += 1
+                value(v[k] if isinstance(v, dict) else k, depth + 1)
+            out.append(pair[1])
+        elif isinstance(v, str) and not isinstance(v, _Number):
+            string(v, LEAF)
+        else:
+            written = str(v) if isinstance(v, _Number) else json.dumps(v)
+            if len(written) <= left:
+                spend(written)
+            else:
+                cut = True
+                spend('""')
+
+    value(root, 0)
+    return "".join(out), cut
+
+
+def bounded_json(document: Column) -> Column:
+    """struct(text, truncated): a JSON object cut to at most 32,000 characters of JSON with escapes, leaves to 8,000 and keys to 512 characters, 2,000 entries and 12 levels. One
+    budget is spent on keys, values and what surrounds them in the document's order; entries beyond it are left out. Numbers stay as written;
+    of keys cut alike the first stays. Null for what is no object; an object too deep to be read is null and truncated."""
+
+    @F.pandas_udf("text string, truncated boolean")
+    def bound(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_bounded(t) for t in texts], columns=["text", "truncated"])
+
+    return bound(document)
+
+
 def markdown_table(rows: list, columns: list[str]) -> str:
     """A table of collected report rows, which are few."""
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
+from .ranks import checkpointed
 
 SCOPES = {"all": None, "prompts": ["user"], "chat": ["user", "assistant"]}
 
@@ -168,3 +169,35 @@ def browse(turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     g = t.groupBy("conv_id").agg(F.max_by("branch", F.when(F.col("branch").isNotNull(), F.col("ts"))).alias("branch"), F.max_by(project, F.when(project.isNotNull(), F.col("ts"))).alias("project"), ordered.alias("m"), F.max("ts").alias("last_ts"))
     names = F.array_distinct(F.transform("m", lambda x: x.model))
     return g.select("conv_id", "branch", F.coalesce("project", F.lit("")).alias("project"), F.when(F.size(names) > 0, names).alias("models"), "last_ts")
+
+
+def buckets(turns: DataFrame) -> DataFrame:
+    """Adds ``bucket`` to turns (conv_id, turn, parent, agent): a turn's own agent, or else that of the nearest turn above it that has one; null for the main
+    thread. A turn whose parent isn't there is a root; turns that follow each other in a circle have no bucket, and ``circular`` says so.
+
+    Pointers are doubled: every round a turn takes over what the turn that it points to has found, or points where that one points, so a
+    chain of any length is done in as many rounds as its length has binary digits. Each round's table is stored."""
+    key = ["conv_id", "turn"]
+    there = turns.select("conv_id", F.col("turn").alias("parent"), F.col("turn").alias("_t")).distinct()
+    known = turns.select(*key, "parent", "agent").join(there, ["conv_id", "parent"], "left").select(*key, "agent", F.when(F.col("agent").isNull(), F.col("_t")).alias("up"))
+    state = checkpointed(known.groupBy(*key).agg(F.min("agent").alias("found"), F.min("up").alias("up")).withColumn("up", F.when(F.col("found").isNull(), F.col("up"))))
+    jump, nodes = 1, state.count()
+    while jump <= nodes and not state.where("up is not null").isEmpty():
+        s, t = state.alias("s"), state.alias("t")
+        met = s.join(t, (F.col("s.conv_id") == F.col("t.conv_id")) & (F.col("s.up") == F.col("t.turn")), "left")
+        state = checkpointed(met.select("s.conv_id", "s.turn", F.coalesce("s.found", "t.found").alias("found"), F.col("t.up").alias("up")))
+        jump *= 2
+    return turns.join(state.select(*key, F.col("found").alias("bucket"), F.col("up").isNotNull().alias("circular")), key)
+
+
+def bucket_outline(turns: DataFrame) -> DataFrame:
+    """(conv_id, bucket, turns, cost, files, tasks) of turns (conv_id, turn, parent, agent, message, cost, files, tasks): each message's cost counts once, at its first turn;
+    ``files`` counts the different paths of a bucket's lists, ``tasks`` is its latest snapshot."""
+    b = buckets(turns)
+    first = Window.partitionBy("conv_id", "message").orderBy("turn")
+    once = b.withColumn("_c", F.when(F.col("message").isNull() | (F.row_number().over(first) == 1), F.col("cost")))
+    paths = b.select("conv_id", "bucket", F.explode("files").alias("_f")).groupBy("conv_id", "bucket").agg(F.countDistinct("_f").alias("files"))
+    g = once.groupBy("conv_id", "bucket").agg(F.count("*").alias("turns"), F.sum("_c").alias("cost"), F.max_by("tasks", F.when(F.col("tasks").isNotNull(), F.col("turn"))).alias("tasks"))
+    g, p = g.alias("g"), paths.alias("p")
+    same = (F.col("g.conv_id") == F.col("p.conv_id")) & F.col("g.bucket").eqNullSafe(F.col("p.bucket"))
+    return g.join(p, same, "left").select("g.conv_id", "g.bucket", "turns", "cost", F.coalesce("files", F.lit(0)).alias("files"), "tasks")
