@@ -43,6 +43,31 @@ def refresh(stored: DataFrame, entries: DataFrame, batch: DataFrame, keys: list[
     return stored.join(dirty, keys, "left_anti").unionByName(compute(entries.join(dirty, keys, "left_semi")))
 
 
+def dirty_groups(feed: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups that a change feed (before, after: structs of a row, null where there is none) dirties: those of the old images and those of the new, as a row that moves changes two."""
+    old, new = (feed.where(F.col(side).isNotNull()).select(*[F.col(f"{side}.{k}").alias(k) for k in keys]) for side in ("before", "after"))
+    return old.union(new).distinct()
+
+
+def apply_feed(rows: DataFrame, feed: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with a feed's changes made: rows whose id has an old image go, new images come. One change an id."""
+    gone = feed.where("before is not null").select(F.col(f"before.{id_col}").alias(id_col))
+    return rows.join(gone, id_col, "left_anti").select(*rows.columns).unionByName(feed.where("after is not null").select("after.*").select(*rows.columns))
+
+
+def refresh_groups(stored: DataFrame, rows: DataFrame, feed: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stored`` brought up to date after a feed: groups that it dirties are computed anew from ``rows``, which have the changes, all others stay. A group without rows goes. Null keys are groups."""
+    dirty = dirty_groups(feed, keys)
+
+    def semi(df: DataFrame, how: str) -> DataFrame:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"d.{k}"))
+        return df.alias("r").join(dirty.alias("d"), same, how)
+
+    return semi(stored, "left_anti").unionByName(compute(semi(rows, "left_semi")))
+
+
 def high_water(samples: DataFrame, by: str) -> DataFrame:
     """(key, ts, seq, clamped) of a stream of samples (key, ts, seq, percent): the percent to a tenth, never below an earlier one of its
     key. State per key: the highest so far."""
