@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import history
+from ..operators.consensus import decisions
 from ..streaming.incremental import apply_feed, refresh_groups
 from .registry import USAGE_SQL, query, usage
 
@@ -88,3 +89,22 @@ def refreshed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.struct("entry_id", F.when(k == 0, F.col("session_id") + 1).when(k == 3, F.lit(None)).otherwise(F.col("session_id")).alias("session_id"), F.when(k == 2, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
     feed = rows.where(k <= 3).select(image.alias("before"), F.when(k != 1, moved).alias("after"))
     return refresh_groups(compute(rows), apply_feed(rows, feed, "entry_id"), feed, ["session_id"], compute)
+
+
+@query()
+def pending_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on readings of nine accounts: each event is a reading of its session and a tick; purchases tell what is published, errors set and lift tombstones. A fold over traces, which
+    SQL has no whole expression for; a plain state machine is its test."""
+    u = usage(spark, sf_dir).select((F.col("session_id") % 9).alias("axis"), "entry_id", F.unix_seconds("ts").alias("at"), "model", "k", F.concat(F.lit("s"), F.col("session_id") % 4).alias("token"))
+    none, i = (lambda t: F.lit(None).cast(t)), F.col("entry_id")
+    window = F.floor(F.col("at") / 604_800)
+    percent = (F.col("k") % 6 * 10).cast("double")
+
+    def rows(df: DataFrame, kind: str, last: int, **values: object) -> DataFrame:
+        names = {"token": "string", "received_at": "long", "percent": "double", "window_key": "long", "raw": "long", "generation": "long", "state": "string", "through": "long"}
+        return df.select("axis", (i * 4 + last).alias("seq"), "at", F.lit(kind).alias("kind"), *[values.get(n, none(t)).cast(t).alias(n) for n, t in names.items()])
+
+    readings = rows(u, "reading", 0, token=F.col("token"), received_at=F.col("at"), percent=percent, window_key=window, raw=window * 10 + F.col("k") % 3)
+    published = rows(u.where("model = 'purchase'"), "published", 1, percent=percent, window_key=window, raw=window * 10, generation=i % 3)
+    stones = rows(u.where("model = 'error'"), "tombstone", 2, state=F.when(F.col("k") % 3 == 0, "inflight").when(F.col("k") % 3 == 1, "committed").otherwise("none"), through=F.col("at") - 20)
+    return decisions(readings.unionByName(published).unionByName(stones).unionByName(rows(u, "tick", 3)))
