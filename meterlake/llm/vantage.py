@@ -18,7 +18,7 @@ WIDEST = 1e140
 
 @dataclass(frozen=True)
 class VantageTrees:
-    """``factor``: a branch is left out if its lower bound times ``factor`` exceeds the k-th distance so far; 1 is exact search, more is
+    """``factor``: a branch is left out if its lower bound, stretched by ``factor``, exceeds the k-th distance so far; 1 is exact search, more is
     faster and may miss neighbours. ``shard``: about how many vectors a shard has; ``leaf``: vectors of a leaf at most.
     ``sample``, ``depth``, ``lengths``: regions come from a tree of ``2 ** depth`` leaves over a sample of at most
     ``sample`` vectors of each of the ``lengths`` commonest lengths; vectors of other lengths are one region a length. ``most``: shards that a task holds at once at most."""
@@ -90,9 +90,14 @@ class Tree:
         leaves = [members[i] for i in range(inner, all_nodes)]
         return Tree(points, lo, hi, np.cumsum([len(m) for m in leaves])), np.concatenate(leaves)
 
-    def children_bounds(self, nodes: np.ndarray, d: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(child, lower bound) for both children of nodes whose points are at distances ``d``, by the triangle inequality."""
-        return [(c, np.maximum(np.maximum(self.lo[c] - d, d - self.hi[c]) - 1e-13 * d, 0)) for c in (2 * nodes + 1, 2 * nodes + 2)]
+    def children_bounds(self, nodes: np.ndarray, d: np.ndarray, factor: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(child, bound) for both children of nodes whose points are at distances ``d``: the lower bound of the triangle inequality, stretched by ``factor``, but by no more
+        than 2 d, as what lies at the bound's edge is no further than that from it; a query near a node's point has tight bounds already."""
+        out = []
+        for c in (2 * nodes + 1, 2 * nodes + 2):
+            least = np.maximum(np.maximum(self.lo[c] - d, d - self.hi[c]) - 1e-13 * d, 0)
+            out.append((c, np.minimum(least * factor, least + 2 * d)))
+        return out
 
 
 class Nearest:
@@ -110,7 +115,7 @@ class Nearest:
         seeds = np.zeros(len(self.q), np.int64)
         for _ in range(tree.depth):
             d = distances(self.q, tree.points[seeds])
-            (near, a), (far, b) = tree.children_bounds(seeds, d)
+            (near, a), (far, b) = tree.children_bounds(seeds, d, p.factor)
             seeds = np.where(a <= b, near, far)
         for leaf in np.unique(seeds[everyone]):
             self._read(tree, leaf - inner, everyone[seeds[everyone] == leaf], rids, ids, x)
@@ -120,9 +125,9 @@ class Nearest:
             for i in np.unique(node):
                 part = node == i
                 d[part] = distances(self.q[who[part]], tree.points[i])
-            down = [(who, child, np.maximum(bound, b)) for child, b in tree.children_bounds(node, d)]
+            down = [(who, child, np.maximum(bound, b)) for child, b in tree.children_bounds(node, d, p.factor)]
             who, node, bound = (np.concatenate(c) for c in zip(*down))
-            keep = bound * p.factor <= self.kth[who] * (1 + 1e-12)
+            keep = bound <= self.kth[who] * (1 + 1e-12)
             who, node, bound = who[keep], node[keep], bound[keep]
         rest = node != seeds[who]
         who, node, bound = who[rest], node[rest], bound[rest]
@@ -131,7 +136,7 @@ class Nearest:
         np.minimum.at(least, inverse, bound)
         for j in np.argsort(least, kind="stable"):
             mine = inverse == j
-            mine = who[mine][bound[mine] * p.factor <= self.kth[who[mine]] * (1 + 1e-12)]
+            mine = who[mine][bound[mine] <= self.kth[who[mine]] * (1 + 1e-12)]
             if len(mine):
                 self._read(tree, leaves[j] - inner, mine, rids, ids, x)
 
@@ -216,9 +221,9 @@ def _route(regions: dict[int, Tree], p: VantageTrees):
                     for level in range(tree.depth):
                         nodes = np.arange((1 << level) - 1, (2 << level) - 1)
                         d = np.stack([distances(x, tree.points[i]) for i in nodes], axis=1)
-                        (_, inner), (_, outer) = tree.children_bounds(nodes, d)
+                        (_, inner), (_, outer) = tree.children_bounds(nodes, d, p.factor)
                         bound = np.maximum(np.repeat(bound, 2, axis=1), np.stack([inner, outer], axis=2).reshape(len(x), -1))
-                    for i, mine in zip(at, bound * p.factor <= kth[at][:, None] * (1 + 1e-9)):
+                    for i, mine in zip(at, bound <= kth[at][:, None] * (1 + 1e-9)):
                         open_[i] = np.flatnonzero(mine).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(open_, pa.list_(pa.int32()))], names=[*b.schema.names, "regions"])
 

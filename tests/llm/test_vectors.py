@@ -139,6 +139,21 @@ def test_trees_rule_out_branches():
     assert read[0] < 0.5 and read[0] > read[1] > read[2]
 
 
+def test_queries_that_are_vantage_points_lose_nothing():
+    """Their bounds are exact, so that stretching them must not rule out what they search."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 24))
+    tree, order = V.Tree.build(x, 3)
+    at = np.array([int(np.flatnonzero((x == point).all(axis=1))[0]) for point in tree.points])
+    best = V.Nearest(at, x[at], np.full(len(at), np.inf), V.VantageTrees(factor=2.0))
+    best.search(np.arange(len(at)), tree, np.arange(600)[order], np.arange(600)[order], x[order])
+    d = np.sqrt(((x[at, None] - x) ** 2).sum(2))
+    d[np.arange(len(at)), at] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    got = best.ids.reshape(len(at), 10)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(got.tolist(), want.tolist())]) >= 9.5
+
+
 def test_nearest_of_nothing(spark):
     assert V.nearest(table(spark, []), F.col("vec_id") % 10 == 0).count() == 0
     assert V.nearest(table(spark, [(10, [1.0, 2.0])]), F.col("vec_id") % 10 == 0).count() == 0
