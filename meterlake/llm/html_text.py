@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,10 +49,22 @@ _CONCEALED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 _NUMBER = re.compile(r"[ \t\n\r\f]*(\d{1,9})")
 # Fixed values of the HTML standard: a cell spans so many columns and rows at most.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: Lines are indented by so many columns at most, cells wider than WIDE don't widen their column, columns that begin after LINE are
-#: not aligned, tables nested deeper than DEEP are read as running text and rows spanned are followed in the first FOLLOWED
-#: columns, so that no page takes or gives more than a multiple of its own length.
-INDENT, WIDE, LINE, DEEP, FOLLOWED = 40, 100, 400, 16, 100
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Lines are indented by ``indent`` columns at most, cells wider than ``wide`` don't widen their column, columns that begin after ``line`` are
+    not aligned, tables nested deeper than ``deep`` are read as running text and rows spanned are followed in the first ``followed``
+    columns, so that no page takes or gives more than a multiple of its own length. No text is lost by these bounds, and ``UNBOUNDED`` has none."""
+
+    indent: float = 40
+    wide: float = 100
+    line: float = 400
+    deep: float = 16
+    followed: float = 100
+
+
+UNBOUNDED = Layout(*[float("inf")] * 5)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
@@ -162,7 +175,8 @@ def parse(source: str) -> Node:
 class Writer:
     """Lines of one flow of text: a page's, or a table cell's."""
 
-    def __init__(self) -> None:
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
@@ -190,7 +204,7 @@ class Writer:
         if self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        lead = " " * min(self.indent, INDENT)
+        lead = " " * int(min(self.indent, self.layout.indent))
         if self.marker:
             lead = lead[: max(0, len(lead) - len(self.marker))] + self.marker
             self.marker = ""
@@ -208,7 +222,8 @@ class Writer:
 class Table:
     """Cells by row and column; a cell that spans rows or columns leaves the places after it empty."""
 
-    def __init__(self) -> None:
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
         self.rows: list[dict[int, str]] = []
         self.column = 0
         self.taken: dict[int, int] = {}  # column -> the last row that a cell from above reaches
@@ -225,7 +240,7 @@ class Table:
             self.column += 1
         wide, down = span(attrs, "colspan", MOST_COLUMNS), span(attrs, "rowspan", MOST_ROWS)
         if down > 1:
-            self.taken.update(dict.fromkeys(range(self.column, min(self.column + wide, FOLLOWED)), at + down - 1))
+            self.taken.update(dict.fromkeys(range(self.column, int(min(self.column + wide, self.layout.followed))), at + down - 1))
         if text := " ".join(text.split()):
             self.rows[-1][self.column] = text
         self.column += wide
@@ -235,7 +250,7 @@ class Table:
         width: dict[int, int] = {}
         for r in self.rows:
             for i, c in r.items():
-                width[i] = max(width.get(i, 0), len(c) if len(c) <= WIDE else 0)
+                width[i] = max(width.get(i, 0), len(c) if len(c) <= self.layout.wide else 0)
         starts, at = {}, 0
         for i in sorted(width):
             starts[i] = at
@@ -243,15 +258,15 @@ class Table:
         for r in self.rows:
             line, n = [], 0
             for i, c in r.items():  # cells come in order of columns
-                pad = max(2 if n else 0, starts[i] - n if starts[i] <= LINE else 0)
+                pad = max(2 if n else 0, starts[i] - n if starts[i] <= self.layout.line else 0)
                 line += [" " * pad, c]
                 n += pad + len(c)
             if line:
                 yield "".join(line)
 
 
-def render(root: Node) -> str:
-    flows = [Writer()]
+def render(root: Node, layout: Layout = Layout()) -> str:
+    flows = [Writer(layout)]
     tables: list[Table] = []
     lists: list[list] = []
     pre = deep = 0
@@ -284,14 +299,14 @@ def render(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                if len(tables) < DEEP:
-                    tables.append(Table())
+                if len(tables) < layout.deep:
+                    tables.append(Table(layout))
                 else:
                     deep += 1
             elif tag == "tr" and tables and not deep:
                 tables[-1].row()
             elif tag in ("td", "th") and tables and not deep:
-                flows.append(Writer())
+                flows.append(Writer(layout))
             elif tag in ("td", "th"):
                 out.text(" ", False)
             work.append((node, True))
@@ -321,11 +336,11 @@ def render(root: Node) -> str:
     return flows[0].result()
 
 
-def visible_text(source: str | None) -> str:
-    return render(parse(source)) if source else ""
+def visible_text(source: str | None, layout: Layout = Layout()) -> str:
+    return render(parse(source), layout) if source else ""
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", layout: Layout = Layout()) -> DataFrame:
     """(page_id, text, n_lines, n_words) of every row of ``pages``, in place and without a shuffle.
 
     Missing and unclosed tags are supplied, what the page hides (head, scripts, templates, ``hidden``,
@@ -333,7 +348,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     paragraphs, headings, lists and tables, list items have markers by depth and table cells are aligned
     in columns, across spanned columns and rows. Text of drawings (svg) is visible, each piece on a line. Null or empty HTML gives an empty
     text; repeated rows give repeated results. Nesting is walked without recursion, in time that grows with the page's
-    length only. Indents and the alignment of tables are bounded (see ``INDENT``); no text is lost by these bounds.
+    length only. Indents and the alignment of tables are bounded by ``layout``; no text is lost by these bounds.
     """
     text_batches(pages.sparkSession)
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_words", pa.int64())])
@@ -342,7 +357,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [visible_text(t.as_py()) for t in part.column(1)]
+                texts = [visible_text(t.as_py(), layout) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64()), pa.array([len(t.split()) for t in texts], pa.int64())], schema=schema)
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, text string, n_lines long, n_words long")

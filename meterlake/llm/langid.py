@@ -20,13 +20,15 @@ SPAN = 1 << 16
 @dataclass(frozen=True)
 class LangId:
     """``per_lang``: about how many labelled documents of a language the model is fitted on. ``most_langs``: how many languages,
-    those with most documents, it can tell apart. ``cells``: n-grams times languages scored at a time."""
+    those with most documents, it tells apart; None is all of them. ``most_bytes``: of the log-probability matrix, which every task gets;
+    languages that need more are an error and never left out. ``cells``: n-grams times languages scored at a time."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 15
     alpha: float = 0.05
     per_lang: int = 4000
-    most_langs: int = 256
+    most_langs: int | None = None
+    most_bytes: int = 512 << 20
     unknown: str = "und"
     cells: int = 1 << 21
 
@@ -98,12 +100,17 @@ class Model:
 def fit(docs: DataFrame, p: LangId = LangId()) -> Model:
     """``docs`` (doc_id, text, lang). Rows with a null or empty text or null lang teach nothing.
 
-    Of a language with more than ``per_lang`` rows, those with the smallest hashes of their id are used; a dirty column of more
-    than ``most_langs`` values is learned in its commonest ones. What reaches the driver is one count per language
+    Of a language with more than ``per_lang`` rows, those with the smallest hashes of their id are used, so one whose rows all share an id
+    is learned from all of them or, if there are more than that, perhaps from none: then only its share of the rows speaks for it, and every n-gram alike. A column of more
+    values than ``most_bytes`` has room for, 256 KB each, raises an error unless ``most_langs`` says how many of the commonest to learn. What reaches the driver is one count per language
     and bucket.
     """
     rows = docs.select("doc_id", "text", "lang").where("text is not null and text <> '' and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.most_langs).collect()}
+    room = p.most_bytes // (8 * p.buckets)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(room + 1 if p.most_langs is None else p.most_langs).collect()
+    if len(found) > room:
+        raise ValueError(f"more languages than {p.most_bytes} bytes hold; set most_langs or most_bytes")
+    sizes = {r["lang"]: r["n"] for r in found}
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros((p.buckets, 0)), np.zeros(0))

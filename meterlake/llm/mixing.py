@@ -78,7 +78,9 @@ def copies(docs: DataFrame, p: Mixing, ws: Workspace) -> DataFrame:
     first = ws.save(first, "ranks")
     inside = cut.withColumn("inside", F.row_number().over(Window.partitionBy("source", "size", "group").orderBy("h", "doc_id", "row_id")) - 1)
     ranked = inside.alias("i").join(first.alias("f"), same("i", "f") & (F.col("i.size") == F.col("f.size")) & (F.col("i.group") == F.col("f.group"))).select("i.row_id", (F.col("first") + F.col("inside")).alias("rank"))
-    known = docs.alias("d").join(F.broadcast(by_source).alias("t") if by_source.count() <= 10_000 else by_source.alias("t"), same("d", "t")).select("d.*", "source_size", "target")
+    told = by_source.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("bytes")).first()
+    small = told["n"] <= 10_000 and told["bytes"] <= 1 << 20
+    known = docs.alias("d").join((F.broadcast(by_source) if small else by_source).alias("t"), same("d", "t")).select("d.*", "source_size", "target")
     expected = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     offset = _unit32(F.concat(F.lit(f"{p.seed}:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 32))
     passed = F.floor(offset + (F.col("rank") + 1) * expected) - F.floor(offset + F.col("rank") * expected)

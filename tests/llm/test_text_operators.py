@@ -331,6 +331,90 @@ def test_quality_edges(spark):
     assert quality.grade(docs(spark, []), none).count() == 0
 
 
+def ordinal_loss(x, rows, buckets, ridge):
+    """Mean negative log-likelihood and ridge, row by row, from the definition."""
+    w, th = x[:buckets], np.concatenate([[-np.inf], x[buckets] + np.concatenate([[0], np.cumsum(np.exp(x[buckets + 1 :]))]), [np.inf]])
+    total = 0.0
+    for g, i, v in rows:
+        z = float(w[i] @ v)
+        up, down = (1 / (1 + np.exp(-(t - z))) if np.isfinite(t) else float(t > 0) for t in (th[g + 1], th[g]))
+        total -= np.log(max(up - down, 1e-300))
+    return total / len(rows) + ridge / 2 * float(w @ w)
+
+
+def minimise(loss, x, steps=400):
+    """Gradient descent by central differences with a line search; no part of it is the fit's."""
+    value = loss(x)
+    for _ in range(steps):
+        g = np.array([(loss(x + h) - loss(x - h)) / 2e-5 for h in np.eye(len(x)) * 1e-5])
+        step = 8.0
+        while step > 1e-7 and (new := loss(x - step * g)) > value - 0.3 * step * float(g @ g):
+            step /= 2
+        if step <= 1e-7:
+            break
+        x, value = x - step * g, new
+    return x, value
+
+
+def test_fit_reaches_the_minimum_of_its_likelihood():
+    rng = np.random.default_rng(4)
+    buckets, ridge = 7, 1e-2
+    truth = rng.standard_normal(buckets) * 2
+    rows = []
+    for _ in range(250):
+        i = np.sort(rng.choice(buckets, 3, replace=False)).astype(np.int32)
+        v = rng.random(3).astype(np.float32)
+        z = float(truth[i] @ v) + rng.logistic()
+        rows.append((int(z > -0.5) + int(z > 1.2), i, v))
+    p = quality.Quality(buckets=buckets, ridge=ridge)
+    model = quality.fit_ordinal(rows, p)
+    loss = lambda x: ordinal_loss(x, rows, buckets, ridge)
+    fitted = np.concatenate([model.weights, model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    best, least = minimise(loss, np.concatenate([np.zeros(buckets), [-0.5, 0.0]]))
+    assert loss(fitted) <= least + 1e-4 and np.abs(fitted - best).max() < 0.1
+    slopes = [(loss(fitted + h) - loss(fitted - h)) / 2e-5 for h in np.eye(len(fitted)) * 1e-5]
+    assert np.abs(slopes).max() < 5e-3
+
+
+def test_grades_equal_a_plain_loop(spark):
+    rows = [(i, t) for i, t, _ in rated(60)] + [(900, None), (901, ""), (902, "\u2028 "), (903, "One, two TWO 3rd " * 500)]
+    p = quality.Quality(buckets=256)
+    model = quality.Model(np.random.default_rng(1).standard_normal(256), np.array([-0.4, 0.9, 1.1]))
+    got = {r["doc_id"]: r for r in quality.grade(docs(spark, rows), model, p).collect()}
+    tokens = quality.Tokens(p.buckets)
+    for i, t in rows:
+        z = sum(float(model.weights[k]) * float(v) for k, v in zip(*quality.features(t, tokens)))
+        above = [1 / (1 + np.exp(th - z)) for th in model.thresholds]
+        share = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert got[i]["tail"] == pytest.approx(above[0]) and got[i]["top"] == pytest.approx(above[2]) and got[i]["kept"] == (above[0] >= 0.5)
+        assert got[i]["expected_grade"] == pytest.approx(sum(n * x for n, x in enumerate(share)))
+
+
+def test_languages_are_never_left_out(spark):
+    rows = [(i, f"word{i % 300} text{i % 300} " * 3, f"l{i % 300:03d}") for i in range(900)]
+    model = langid.fit(docs(spark, rows))
+    assert len(model.langs) == 300
+    with pytest.raises(ValueError):
+        langid.fit(docs(spark, rows), langid.LangId(most_bytes=100 * 8 << 15))
+    assert len(langid.fit(docs(spark, rows), langid.LangId(most_langs=5)).langs) == 5
+    # rows of one language that share an id
+    same = langid.fit(docs(spark, [(1, "aa bb", "x")] * 50 + [(2, "cc dd", "y")]), langid.LangId(per_lang=10))
+    assert same.langs == ("x", "y") and langid.classify(["cc dd"], same, langid.LangId())[0] in (["x"], ["y"])
+
+
+def test_layout_without_bounds():
+    deep = "<ul><li>x" * 60 + "end"
+    assert H.visible_text(deep).splitlines()[-1].startswith(" " * 38 + "- ") and H.visible_text(deep, H.UNBOUNDED).splitlines()[-1] == " " * 118 + "- xend"
+    wide = "<table>" + "".join(f"<tr>{''.join(f'<td>{(chr(97 + c) * (30 + r))}</td>' for c in range(20))}</tr>" for r in range(3)) + "</table>"
+    lines = H.visible_text(wide, H.UNBOUNDED).splitlines()
+    assert all(line.index("t" * 30) == 19 * 34 for line in lines) and len({line.index("t" * 30) for line in H.visible_text(wide).splitlines()}) > 1
+    nested = "<table><tr><td>" * 20 + "core" + "</table>" * 20
+    assert H.visible_text(nested, H.UNBOUNDED) == "core" == H.visible_text(nested)
+    spans = "<table><tr>" + "<td>a</td>" * 149 + "<td rowspan=2>last</td></tr><tr>" + "<td>b</td>" * 149 + "<td>more</td></tr></table>"
+    first, second = H.visible_text(spans, H.UNBOUNDED).splitlines()
+    assert second.index("more") > first.index("last") and H.visible_text(spans).splitlines()[1].split() == second.split()
+
+
 # decontamination
 
 def test_leaks_equal_a_scan_of_all_windows(spark):
