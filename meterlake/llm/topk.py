@@ -238,19 +238,21 @@ def top_inner_products(vectors: DataFrame, queries: Column, p: TopK = TopK(), id
     chunk = F.pmod(F.xxhash64("rid"), F.col("n"))
     blocks = at_home.withColumn("block", F.col("first") + chunk).groupBy("block", "dim").agg(pack)
     blocks = ws.save(blocks.select("block", "dim", "rows").mapInArrow(_pack(p, ["block"]), f"block long, dim int, {_PACKED}"), "blocks").drop("d")
-    asked = at_home.where("asked").groupBy("first", "home", F.pmod(F.xxhash64("rid"), F.col("q_n")).alias("chunk"), "dim").agg(pack)
-    asked = ws.save(asked.select("first", "dim", "rows").mapInArrow(_pack(p, ["first"]), f"first long, dim int, {_PACKED}").withColumn("q_block", F.monotonically_increasing_id()), "queries")
-    q = asked.select("q_block", "dim", "first", *[F.col(c).alias(f"q_{c}") for c in ("rids", "v", "d", "top", "lo", "hi")])
+    asked = at_home.where("asked").groupBy("first", "n", "home", F.pmod(F.xxhash64("rid"), F.col("q_n")).alias("chunk"), "dim").agg(pack)
+    # the block of its home that a query block meets first: different ones meet different blocks
+    seed = F.col("first") + F.pmod(F.xxhash64("first", "chunk"), F.col("n"))
+    asked = ws.save(asked.select(seed.alias("seed"), "dim", "rows").mapInArrow(_pack(p, ["seed"]), f"seed long, dim int, {_PACKED}").withColumn("q_block", F.monotonically_increasing_id()), "queries")
+    q = asked.select("q_block", "dim", "seed", *[F.col(c).alias(f"q_{c}") for c in ("rids", "v", "d", "top", "lo", "hi")])
 
     side = ["q_block", "dim", "q_rids", "q_v", "q_d", "q_kth", "rids", "ids", "v", "tops", "los", "his"]
-    home = q.withColumn("q_kth", F.lit(None).cast("array<long>")).withColumn("block", F.col("first")).join(blocks, ["dim", "block"]).select(*side)
+    home = q.withColumn("q_kth", F.lit(None).cast("array<long>")).withColumn("block", F.col("seed")).join(blocks, ["dim", "block"]).select(*side)
     seeds = ws.save(home.sortWithinPartitions("q_block").mapInArrow(_search(p), _FOUND), "seeds")
 
     told = q.join(seeds.select("q_block", F.col("kth").alias("q_kth")), "q_block")
     spots = blocks.select("dim", "block", "top", "lo", "hi")
-    sent = told.select("q_block", "dim", "first", "q_top", "q_lo", "q_hi", F.array_min("q_kth").alias("least"))
+    sent = told.select("q_block", "dim", "seed", "q_top", "q_lo", "q_hi", F.array_min("q_kth").alias("least"))
     numbers = homes.groupBy("dim").agg(F.sum("n").alias("all"))
-    sent = sent.join(numbers, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1))).where("block <> first")
+    sent = sent.join(numbers, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1))).where("block <> seed")
     apart = F.greatest(F.array_max(F.zip_with("q_lo", "hi", lambda a, b: a - b)), F.array_max(F.zip_with("lo", "q_hi", lambda a, b: a - b)), F.lit(0.0))
     apart = F.greatest(apart - 1e-7 * (F.array_max("q_hi") + F.array_max("hi")), F.lit(0.0))
     reach = (F.col("q_top") + F.col("top") - apart * apart) / 2 + 1 + 1e-9 * (F.col("q_top") + F.col("top"))
