@@ -111,8 +111,69 @@ def finite_or_null(x: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    """Without terminal escape sequences."""
-    return F.regexp_replace(text, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
+    """Without terminal escape sequences: control sequences, commands to the terminal up to their end, and escapes that are cut off."""
+    return F.regexp_replace(text, "\x1b\\[[0-9;:?]*[ -/]*[@-~]|\x1b\\][^\x07\x1b]*(?:\x07|\x1b\\\\)?|\x1b", "")
+
+
+# What wraps text that a person did not write.
+MARKERS = ("command-name", "command-message", "command-args", "local-command-caveat", "local-command-stdout", "local-command-stderr")
+NOTIFICATIONS, ECHOES = ("task-notification", "bash-notification"), ("bash-input", "bash-stdout", "bash-stderr")
+COMPACTION = "This session is being continued from a previous conversation"
+SENT = r"\A\s*<system-reminder>Message sent at [^<]*UTC\.</system-reminder>\s*"
+
+
+def _wrapped(tags: tuple[str, ...]) -> str:
+    """A pattern of one whole element, up to the first end that fits; it does not look further for another end."""
+    return rf"<({'|'.join(tags)})>(?>[\s\S]*?</\1>)"
+
+
+def wrapper_kind(text: Column) -> Column:
+    """What a text is that a person did not write: marker if it is nothing but elements of commands, notification or echo if it begins with a whole element of that kind, compaction if it
+    begins as a summary does; else null."""
+    return (F.when(text.rlike(rf"\A\s*(?:{_wrapped(MARKERS)}\s*)++\z"), "marker").when(text.rlike(rf"\A\s*{_wrapped(NOTIFICATIONS)}"), "notification")
+            .when(text.rlike(rf"\A\s*{_wrapped(ECHOES)}"), "echo").when(text.rlike(rf"\A\s*{re.escape(COMPACTION)}"), "compaction"))
+
+
+def strip_sent(text: Column) -> Column:
+    """Without a leading note of when a message was sent."""
+    return F.regexp_replace(text, SENT, "")
+
+
+def canonical_document(document: Column) -> Column:
+    """A JSON text with the keys of all objects in order and no spaces, whatever nests in it; null for what is no JSON or names a key twice. Numbers are
+    written as their value is, 1.50 as 1.5."""
+    return F.to_json(F.try_parse_json(document))
+
+
+def reasoning_headings(entries: Column) -> Column:
+    """Headings of a summary (array of texts): an entry of which each line but separators is a bold one gives those lines' texts, any other entry itself. Blank and null entries give none."""
+    def one(entry: Column) -> Column:
+        lines = F.filter(F.transform(F.split(entry, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "<!-- -->"))
+        bold = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"\A\*\*[^\n]+\*\*\z"))
+        return F.when(bold, F.transform(lines, lambda x: F.substring(x, F.lit(3), F.length(x) - 4))).otherwise(F.array(entry))
+
+    return F.flatten(F.transform(F.filter(entries, lambda e: F.coalesce(F.trim(e) != "", F.lit(False))), one))
+
+
+def diff_counts(diff: Column) -> Column:
+    """struct(added, removed) lines of a unified diff, counted inside its hunks, whose heads say how many lines they have; null for a text without a hunk."""
+    head = r"^@@ -[0-9]+(?:,([0-9]+))? [+][0-9]+(?:,([0-9]+))? @@"
+    start = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.lit(0).alias("added"), F.lit(0).alias("removed"), F.lit(False).alias("seen"))
+
+    def size(line: Column, group: int) -> Column:
+        n = F.regexp_extract(line, head, group)
+        return F.when(n == "", 1).otherwise(n.try_cast("int"))
+
+    def step(s: Column, line: Column) -> Column:
+        inside, opens = (s.old > 0) | (s.new > 0), line.rlike(head)
+        plus, minus, note = line.startswith("+"), line.startswith("-"), line.startswith("\\")
+        counts = inside & ~note
+        return F.struct(
+            F.when(~inside & opens, size(line, 1)).otherwise(s.old - (counts & ~plus).cast("int")).alias("old"), F.when(~inside & opens, size(line, 2)).otherwise(s.new - (counts & ~minus).cast("int")).alias("new"),
+            (s.added + (counts & plus).cast("int")).alias("added"), (s.removed + (counts & minus).cast("int")).alias("removed"), (s.seen | ~inside & opens).alias("seen"))
+
+    done = F.aggregate(F.split(diff, "\n"), start, step)
+    return F.when(done.seen, F.struct(done.added.alias("added"), done.removed.alias("removed")))
 
 
 def command_of(text: Column) -> Column:

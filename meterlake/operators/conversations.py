@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrences
+from ..functions.text import diff_counts, occurrences
 from .ranks import checkpointed
 
 SCOPES = {"all": None, "prompts": ["user"], "chat": ["user", "assistant"]}
@@ -52,8 +52,33 @@ def facets(turns: DataFrame) -> DataFrame:
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
 
 
+PATCH = "map<string, struct<type string, unified_diff string, content string>>"
+
+
+def patch_touches(rows: DataFrame, changes: str = "changes") -> DataFrame:
+    """(conv_id, turn, path, op, added, removed) of patches (``PATCH``), a row a file. Counts come from the diff, or for a file that is added or deleted from its content; null where neither tells."""
+    c = rows.select("conv_id", "turn", F.explode(changes).alias("path", "c"))
+    lines = F.size(F.split("c.content", "\n")) - F.col("c.content").rlike(r"\n\z").cast("int") - (F.col("c.content") == "").cast("int")
+    whole = F.when((F.col("c.type") == "add") & F.col("c.content").isNotNull(), F.struct(lines.alias("added"), F.lit(0).alias("removed"))).when((F.col("c.type") == "delete") & F.col("c.content").isNotNull(), F.struct(F.lit(0).alias("added"), lines.alias("removed")))
+    counts = F.when(F.col("c.unified_diff").isNotNull(), diff_counts(F.col("c.unified_diff"))).otherwise(whole)
+    return c.select("conv_id", "turn", "path", F.col("c.type").alias("op"), counts.alias("n")).select("conv_id", "turn", "path", "op", "n.added", "n.removed")
+
+
+def replay_recipe(turns: DataFrame) -> DataFrame:
+    """(conv_id, markdown): the prompts of each conversation as numbered steps of one line, to be run again; a conversation without any says so."""
+    prompt = (F.col("role") == "user") & (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "")
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    ordered = F.array_sort(F.collect_list(F.when(prompt, F.struct("turn", line.alias("x")))))
+    g = turns.groupBy("conv_id").agg(ordered.alias("p"))
+    steps = F.transform("p", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x.x))
+    body = F.when(F.size("p") > 0, F.array_join(steps, "\n")).otherwise("_(no prompts)_")
+    return g.select("conv_id", F.concat(F.lit("# Replay recipe\n\n"), body, F.lit("\n")).alias("markdown"))
+
+
 def export_markdown(turns: DataFrame, scope: str = "all") -> DataFrame:
-    """(conv_id, markdown): turns of a scope in order. A conversation is one row, so it must fit in one."""
+    """(conv_id, markdown): turns of a scope in order, or as ``replay_recipe``. A conversation is one row, so it must fit in one."""
+    if scope == "recipe":
+        return replay_recipe(turns)
     roles = SCOPES[scope]
     t = turns if roles is None else turns.where(F.col("role").isin(roles))
     part = F.concat(F.lit("## "), "role", F.lit("\n\n"), F.coalesce("text", F.lit("")))

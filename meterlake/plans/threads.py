@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as texts
 from ..functions.text import bounded_json
 from ..operators import conversations
 from ..operators.segments import segments
@@ -55,3 +56,53 @@ def lookback_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("turn") % 7 == 3, 0).when(F.col("turn") % 3 == 1, 1).otherwise(2)
     g = c.select("conv_id", "turn", (1 + F.floor(F.length("text") / 300)).alias("blocks"), rank.alias("rank"), none.alias("first"), none.alias("last"))
     return segments(g, ["conv_id"], "turn", 8, 0.45).select("conv_id", "turn", "segment")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, turn % 8 AS k, text FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'marker' WHEN 1 THEN 'notification' WHEN 2 THEN 'echo' WHEN 3 THEN 'compaction' END AS kind, md5(CASE WHEN k = 5 THEN text ELSE CASE k WHEN 0 THEN ' <command-name>/run</command-name> <command-args>' || text || '</command-args> ' WHEN 1 THEN '<task-notification>' || text || '</task-notification> later'
+  WHEN 2 THEN chr(10) || '<bash-stdout>' || text || '</bash-stdout>' WHEN 3 THEN 'This session is being continued from a previous conversation: ' || text WHEN 4 THEN '<command-name>/run</command-name>' || text WHEN 6 THEN '<bash-input>' || text ELSE text END END) AS shown FROM t""")
+def message_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns wrapped as commands, notifications and echoes are, coloured, or stamped with when they were sent; some only begin like that."""
+    t, k = F.col("text"), F.col("turn") % 8
+    wrap = lambda a, b="": F.concat(F.lit(a), t, F.lit(b))
+    raw = (F.when(k == 0, wrap(" <command-name>/run</command-name> <command-args>", "</command-args> ")).when(k == 1, wrap("<task-notification>", "</task-notification> later")).when(k == 2, wrap("\n<bash-stdout>", "</bash-stdout>"))
+           .when(k == 3, wrap("This session is being continued from a previous conversation: ")).when(k == 4, wrap("<command-name>/run</command-name>")).when(k == 5, wrap(" <system-reminder>Message sent at 2024-01-01 10:00 UTC.</system-reminder> ")).when(k == 6, wrap("<bash-input>")).otherwise(t))
+    coloured = F.concat(F.lit("\x1b[1m\x1b]0;title\x07"), raw, F.lit("\x1b[0m\x1b"))
+    plain = texts.strip_ansi(coloured)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.wrapper_kind(plain).alias("kind"), F.md5(texts.strip_sent(plain)).alias("shown"))
+
+
+@query("""SELECT conv_id, turn, sha256('{"a":{"k":[1,{"x":null,"y":' || turn || '}],"l":true},"b":' || conv_id || ',"role":"' || role || '"}') AS digest FROM conversations""")
+def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of documents whose keys, nested ones too, come in an order that differs from row to row."""
+    odd = F.col("turn") % 2 == 1
+    inner = F.when(odd, F.format_string('{"l": true, "k": [1, {"y": %d, "x": null}]}', "turn")).otherwise(F.format_string('{"k":[1,{"x":null,"y":%d}],"l":true}', "turn"))
+    doc = F.when(odd, F.format_string('{"role": "%s", "b": %d, "a": %s}', "role", "conv_id", inner)).otherwise(F.format_string('{"b":%d , "a":%s, "role":"%s"}', "conv_id", inner, "role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(texts.canonical_document(doc), 256).alias("digest"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'one ' || turn || '|' || role || '|plain' WHEN turn % 3 = 1 THEN '**one ' || turn || '**' || chr(10) || 'text|plain' ELSE 'plain' END AS headings FROM conversations""")
+def reasoning_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold lines of summaries as headings; an entry with any other line stays whole."""
+    one = F.concat(F.lit("**one "), "turn", F.lit("**"))
+    first = F.when(F.col("turn") % 3 == 0, F.concat(one, F.lit("\n<!-- -->\n\n  **"), "role", F.lit("** \n"))).when(F.col("turn") % 3 == 1, F.concat(one, F.lit("\ntext"))).otherwise(" ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(texts.reasoning_headings(F.array(first, F.lit(None).cast("string"), F.lit("plain"))), "|").alias("headings"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 1 + turn % 4 AS plus, turn % 3 AS minus, len(string_split(text, chr(10))) AS n, text[len(text):] = chr(10) OR text = '' AS closed FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, 'a.sql' AS path, 'update' AS op, (plus + 1)::INTEGER AS added, (minus + 1)::INTEGER AS removed FROM t UNION ALL SELECT conv_id, turn, 'b.txt', 'add', (n - closed::INTEGER)::INTEGER, 0 FROM t UNION ALL SELECT conv_id, turn, 'c.txt', 'update', NULL, NULL FROM t""")
+def patch_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of patches with their counts: a diff whose lines look like heads, a new file, and a diff without a hunk."""
+    t = F.col("turn")
+    plus, minus = (1 + t % 4).cast("int"), (t % 3).cast("int")
+    diff = F.concat(F.lit("--- a.sql\n+++ a.sql\n@@ -1,"), minus + 1, F.lit(" +1,"), plus + 1, F.lit(" @@ part\n"), F.repeat(F.lit("--- old\n"), minus), F.repeat(F.lit("+++i;\n"), plus), F.lit(" same\n\\ No newline\n@@ -90 +90 @@\n-x\n+y\n+beyond"))
+    change = lambda kind, d, c: F.struct(F.lit(kind).alias("type"), d.cast("string").alias("unified_diff"), c.cast("string").alias("content"))
+    none = F.lit(None)
+    changes = F.create_map(F.lit("a.sql"), change("update", diff, none), F.lit("b.txt"), change("add", none, F.col("text")), F.lit("c.txt"), change("update", F.lit("+no hunk"), none))
+    return conversations.patch_touches(table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", changes.alias("changes")))
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x, role FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM p WHERE role = 'user' AND x <> ''),
+g AS (SELECT conv_id, string_agg(n || '. ' || x, chr(10) ORDER BY n) AS body FROM n GROUP BY 1) SELECT c.conv_id, '# Replay recipe' || chr(10) || chr(10) || coalesce(body, '_(no prompts)_') || chr(10) AS markdown FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g USING (conv_id)""".replace("\\\\s", "\\s"))
+def replay_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.export_markdown(table(spark, sf_dir, "conversations"), "recipe")

@@ -129,3 +129,31 @@ def test_segments_of_many_keys(spark):
             want |= {(k, at + i): n for i in range(size)}
             at += size
     assert got == want and segments(df.where("false"), ["k"], "at").count() == 0
+
+
+def test_what_a_person_did_not_write(spark):
+    cases = [
+        ("<command-name>a</command-name>", "marker"), ("<command-name>a</command-name> x", None), ("<command-name>a</command-args>", None), (" <command-name>a</command-name>\n<command-args></command-args> ", "marker"),
+        ("<command-name>a</command-name>b</command-name>", None), ("<task-notification>x</task-notification> more", "notification"), ("<task-notification>x</bash-notification>", None), ("<bash-stdout>" + "y" * 200_000 + "</bash-stdout>", "echo"),
+        ("<command-args>" + "z " * 100_000 + "</command-args>", "marker"), ("<bash-input>", None), ("  This session is being continued from a previous conversation.", "compaction"), ("say <bash-input>x</bash-input>", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(text.wrapper_kind(F.col("t"))).collect()] == [k for _, k in cases]
+    stripped = spark.createDataFrame([("\x1b[1;31mred\x1b[0m [31m \x1b]8;;http://x\x1b\\link\x1b]0;t",), ("a\x1b",), (None,)], "t string").select(text.strip_ansi(F.col("t"))).collect()
+    assert [r[0] for r in stripped] == ["red [31m link", "a", None]
+    sent = spark.createDataFrame([(" <system-reminder>Message sent at Mon UTC.</system-reminder>\n hi",), ("x <system-reminder>Message sent at Mon UTC.</system-reminder>",)], "t string").select(text.strip_sent(F.col("t"))).collect()
+    assert [r[0] for r in sent] == ["hi", "x <system-reminder>Message sent at Mon UTC.</system-reminder>"]
+
+
+def test_canonical_documents(spark):
+    docs = ['{"b":1,"a":{"d":[1,{"z":0,"y":"é"}],"c":null}}', ' {"a" : {"c":null, "d":[1, {"y":"é","z":0}]}, "b" : 1 }', "[3, {}]", "no", '{"a":1,"a":2}', None, '{"é":1,"z":2,"Z":3}']
+    got = [r[0] for r in spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").orderBy("i").select(text.canonical_document(F.col("d"))).collect()]
+    assert got == ['{"a":{"c":null,"d":[1,{"y":"é","z":0}]},"b":1}'] * 2 + ["[3,{}]", None, None, None, '{"Z":3,"z":2,"é":1}']
+
+
+def test_headings_and_diffs(spark):
+    df = spark.createDataFrame([(["**a**\n**b c**", "**d**\nx", None, " ", "**", "****", "***e***", "**f**\n<!-- -->"],), ([],), (None,)], "e array<string>")
+    got = [r[0] for r in df.select(text.reasoning_headings(F.col("e"))).collect()]
+    assert got == [["a", "b c", "**d**\nx", "**", "****", "*e*", "f"], [], None]
+    diffs = ["@@ -1 +1 @@\n-a\n+b", "@@ -1,2 +1,1 @@\n--- x\n same\n+ after", "no hunk\n+x", "", None, "@@ -0,0 +1,2 @@\n+a\n+b\n\\ No newline\n@@ -5,1 +6,0 @@\n-z"]
+    counts = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(i, d) for i, d in enumerate(diffs)], "i int, d string").orderBy("i").select(text.diff_counts(F.col("d"))).collect()]
+    assert counts == [(1, 1), (0, 1), None, None, None, (2, 1)]
