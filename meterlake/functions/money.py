@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sizes import broadcast_if_small
 
 TIER = 200_000
 CUMULATIVE_TIER = 272_000
@@ -38,24 +37,24 @@ def bare_model(model: Column, prefixes: tuple[str, ...]) -> Column:
 
 def with_prices_or_fallback(entries: DataFrame, prices: DataFrame, aliases: DataFrame, fallback: str, prefixes: tuple[str, ...] = ("anthropic/", "anthropic.", "openai/")) -> DataFrame:
     """``with_prices`` for a vendor whose unknown models are charged like the model ``fallback``: the name as it is, else without a vendor
-    prefix, else the one that ``aliases`` (alias, model) gives it, else the fallback, which ``is_fallback`` tells. Both lists are
-    broadcast after a look at their size."""
-    known = broadcast_if_small(prices.select(F.col("model").alias("known")).distinct())
+    prefix, else the one that ``aliases`` (alias, model) gives it, else the fallback, which ``is_fallback`` tells. Spark
+    broadcasts both lists, as it knows how small they are."""
+    known = prices.select(F.col("model").alias("known")).distinct()
     e = entries.withColumn("_bare", bare_model(F.col("model"), prefixes))
-    e = e.join(broadcast_if_small(aliases.select(F.col("alias").alias("_bare"), F.col("model").alias("_alias"))), "_bare", "left")
+    e = e.join(aliases.select(F.col("alias").alias("_bare"), F.col("model").alias("_alias")), "_bare", "left")
     for name, key in (("_k0", "model"), ("_k1", "_bare"), ("_k2", "_alias")):
         e = e.join(known.withColumnRenamed("known", name), F.col(key) == F.col(name), "left")
     e = e.withColumn("price_key", F.coalesce("_k0", "_k1", "_k2", F.lit(fallback))).withColumn("is_fallback", F.coalesce("_k0", "_k1", "_k2").isNull()).drop("_bare", "_alias", "_k0", "_k1", "_k2")
-    return e.join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left")
+    return e.join(prices.withColumnRenamed("model", "price_key"), "price_key", "left")
 
 
 def with_prices(entries: DataFrame, prices: DataFrame, prefixes: tuple[str, ...] = ("anthropic/", "anthropic.", "openai/")) -> DataFrame:
     """A left join on the model's name, or on the name without a vendor prefix; a miss leaves the rates null.
 
-    The price list has one row per model and is broadcast after a look at its size: entries have few distinct models, so a shuffle
-    on them would put most of a log in one task.
+    The price list has one row per model. Given as values or a small table, Spark knows its size and broadcasts it, and otherwise sees it at run
+    time; entries have few distinct models, so a shuffle on them would put most of a log in one task.
     """
-    return entries.withColumn("price_key", bare_model(F.col("model"), prefixes)).join(broadcast_if_small(prices.withColumnRenamed("model", "price_key")), "price_key", "left").drop("price_key")
+    return entries.withColumn("price_key", bare_model(F.col("model"), prefixes)).join(prices.withColumnRenamed("model", "price_key"), "price_key", "left").drop("price_key")
 
 
 def tiered(tokens: Column, rate: Column, hi: Column, threshold: int = TIER) -> Column:

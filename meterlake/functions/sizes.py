@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by a shuffle. The plan itself knows
-    for lists given as values and for limits; of other tables a limited count tells."""
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    if bound.isDefined() and bound.get() <= rows:
-        return F.broadcast(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes in all; else as it is, to be joined by a shuffle. A limited pass tells, which reads
+    no more than ``rows`` rows and one; a text counts its bytes, any other value 16."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(16 * len(df.columns)))
+    told = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if told["n"] <= rows and told["bytes"] <= size else df

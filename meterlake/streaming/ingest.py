@@ -25,19 +25,16 @@ def windowed_cost(entries: DataFrame, width: str = "1 hour", late: str = "1 day"
     return g.agg((F.sum(nano(F.col("cost"))) / F.lit(1e9)).alias("cost_usd"), F.count("*").alias("entries")).select(F.col("w.start").alias("start"), "model", "cost_usd", "entries")
 
 
-def insert_absent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends rows whose key the table at ``path`` lacks, so a batch that is run again adds nothing."""
+def insert_absent_sink(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: appends rows whose key the table at ``path`` lacks, so a batch that is run again adds nothing. The table lies in
+    ``buckets`` folders by a hash of the key (column ``_bucket``), and a batch reads the keys of those folders only that its own rows fall in."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        try:
-            seen = spark.read.parquet(path).select(*keys)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = None
-        (rows if seen is None else rows.join(seen, keys, "left_anti")).write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows.limit(0).write.mode("append").partitionBy("_bucket").parquet(path)  # there is a table from the first batch on
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
+        seen = batch.sparkSession.read.schema(rows.schema).parquet(path).where(F.col("_bucket").isin(touched or [-1])).select(*keys)
+        rows.join(seen, keys, "left_anti").write.mode("append").partitionBy("_bucket").parquet(path)
 
     return write
 

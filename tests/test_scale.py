@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import attribution, blocks, events, quota, reports, weeks
+from meterlake.operators import attribution, blocks, events, intervals, quota, ranks, reports, weeks
 from meterlake.sources import logs
 
 DAY0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
@@ -138,3 +138,49 @@ def test_lines_have_their_place_whatever_the_splits(spark, tmp_path):
     for r, x in zip(got, lines):
         assert r["offset"] == at
         at += len(x.encode()) + 1
+
+
+MANY = 100_000
+
+
+def test_one_key_of_very_many_blocks_and_windows(spark):
+    """Blocks ended by the next window: the frame only grows."""
+    at = F.timestamp_seconds
+    e = spark.range(MANY).select(F.lit(1).alias("key"), at(F.col("id") * 36_000 + 60).alias("ts"))
+    w = spark.range(0, MANY, 2).select(F.lit(1).alias("key"), at(F.col("id") * 36_000 + 9000).alias("start"), at(F.col("id") * 36_000 + 9000 + 18_000).alias("end"))
+    got = blocks.anchored_blocks(e, w, ["key"])
+    ends = got.select((F.unix_seconds("end") - F.unix_seconds("start")).alias("n"), "anchor").groupBy("anchor", "n").count().collect()
+    assert sorted(map(tuple, ends)) == [("heuristic", 9000, MANY // 2), ("heuristic", 18_000, MANY // 2)]
+
+
+def test_one_key_of_very_many_points_and_intervals(spark):
+    at = F.timestamp_seconds
+    p = spark.range(MANY).select(F.lit(1).alias("key"), "id", at(F.col("id") * 18_000 + F.col("id") % 18_000).alias("ts"))
+    i = spark.range(MANY).select(F.lit(1).alias("key"), F.col("id").alias("n"), at(F.col("id") * 18_000).alias("start"), at((F.col("id") + 1) * 18_000).alias("end"))
+    j = intervals.assign(p, i, "ts", 18_000, by=["key"])
+    assert j.columns.count("key") == 1 and tuple(j.agg(F.count("*"), F.sum((F.col("id") == F.col("n")).cast("int"))).first()) == (MANY, MANY)
+
+
+def test_sliding_medians(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(0, 3000), rng.choice([None, *(float(x) for x in range(40))]), i) for i in range(1500) for k in [rng.choice([1, 2, None])]] + [(1, None, 5.0, -1)]
+    got = {r["i"]: (r["samples"], r["baseline"]) for r in ranks.sliding_median(spark.createDataFrame(rows, "k long, at long, v double, i long"), ["k"], "at", "v", 100, 3).collect()}
+    for k, at, _, i in rows:
+        inside = sorted(v for k2, a2, v, _ in rows if k2 == k and at is not None and a2 is not None and at - 100 <= a2 < at and v is not None)
+        m = len(inside)
+        assert got[i] == (m, (inside[(m - 1) // 2] + inside[m // 2]) / 2 if m >= 3 else None)
+
+
+def test_one_key_of_very_many_samples_a_window(spark):
+    d = spark.range(MANY).select(F.lit(1).alias("k"), F.col("id").alias("at"), (F.col("id") % 1000).cast("double").alias("v"))
+    got = ranks.sliding_median(d, ["k"], "at", "v", 20_000, 10)
+    assert tuple(got.where("at >= 20000").agg(F.min("baseline"), F.max("baseline"), F.min("samples")).first()) == (499.5, 499.5, 20_000)
+
+
+def test_places_in_an_order(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(50), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "x long, i long").repartition(7)
+    got = {r["i"]: r["place"] for r in ranks.placed(df, [F.desc("x"), "i"]).collect()}
+    assert [got[i] for _, i in sorted(rows, key=lambda r: (-r[0], r[1]))] == list(range(1, 5001))
+    assert ranks.placed(df.where("false"), ["x"]).count() == 0

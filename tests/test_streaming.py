@@ -37,6 +37,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(out))) == key(read_usage(spark, str(src)))
 
 
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sink = ingest.insert_absent_sink(path, ["k"], buckets=4)
+    rows = lambda lo, hi: spark.createDataFrame([(i, f"v{i}") for i in range(lo, hi)], "k long, v string")
+    for lo, hi in ((0, 0), (0, 50), (0, 50), (30, 80)):
+        sink(rows(lo, hi), 0)
+    got = spark.read.parquet(path)
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [(i, f"v{i}") for i in range(80)] and got.select("_bucket").distinct().count() == 4
+
+
 def test_windowed_cost(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h, 30), "m", 1.5) for h in (0, 0, 1)], "ts timestamp, model string, cost double")
     got = {r["start"].hour: (r["cost_usd"], r["entries"]) for r in ingest.windowed_cost(df).collect()}
