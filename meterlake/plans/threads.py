@@ -9,8 +9,10 @@ from ..functions import text as texts
 from ..functions.text import bounded_json
 from ..operators import conversations
 from ..operators.segments import segments
+from ..sources.logs import physical_events as events_of
+from ..sources.logs import thread_facts as facts_of
 from ..sources.tables import table
-from .registry import query
+from .registry import USAGE_SQL, query, usage
 
 _TURNS = """t AS (SELECT conv_id, turn, CASE WHEN turn % 11 = 7 THEN turn + 1000 WHEN conv_id % 13 = 6 AND turn = 4 THEN 5 WHEN conv_id % 13 = 6 AND turn = 5 THEN 4 WHEN turn > 0 THEN turn - 1 - turn % 2 END AS parent, CASE WHEN turn % 6 = 3 OR turn % 8 = 2 THEN 'agent-' || turn % 5 END AS agent,
   turn // 2 AS message, length(text)::BIGINT AS cost, CASE WHEN turn % 3 <> 1 THEN regexp_extract_all(text, '[a-z]{8,}') END AS files, CASE WHEN turn % 4 = 1 THEN turn % 3 || '/' || turn % 3 + 2 END AS tasks FROM conversations)"""
@@ -106,3 +108,29 @@ def patch_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT conv_id, string_agg(n || '. ' || x, chr(10) ORDER BY n) AS body FROM n GROUP BY 1) SELECT c.conv_id, '# Replay recipe' || chr(10) || chr(10) || coalesce(body, '_(no prompts)_') || chr(10) AS markdown FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g USING (conv_id)""".replace("\\\\s", "\\s"))
 def replay_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.export_markdown(table(spark, sf_dir, "conversations"), "recipe")
+
+
+def _rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of rollouts, a file a session: some begin a thread, all others are calls; some are no JSON."""
+    u, k = usage(spark, sf_dir), F.col("k")
+    git = F.when(k % 4 == 0, F.format_string(', "git": {"url": "u%d", "branch": "b"}', k)).otherwise("")
+    source = F.when(k % 3 == 0, ', "source": {"subagent": {}}').when(k % 3 == 1, ', "source": "cli"').otherwise("")
+    meta = F.format_string('{"type": "session_meta", "payload": {"id": "t%d"%s%s, "context_window": %d}}', "entry_id", git, source, k - 20)
+    call = F.format_string('{"payload": {"type": "call", "turn_id": "%d", "call_id": "c%d", "b": {"z": 1, "a": 2}}, "type": "event_msg"}', k, "entry_id")
+    line = F.when(k % 10 < 3, meta).when(k % 10 == 9, F.lit("torn {")).otherwise(call)
+    return u.select(F.concat(F.lit("s"), "session_id").alias("source_path"), F.col("entry_id").alias("pos"), line.alias("value"))
+
+
+@query(f"""WITH {USAGE_SQL} SELECT 's' || session_id AS source_path, entry_id AS pos, 't' || entry_id AS thread_id, CASE WHEN k % 3 = 0 THEN 'subagent' ELSE 'user' END AS thread_source, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS cwd, CASE WHEN k % 4 = 0 THEN '{{"branch":"b","url":"u' || k || '"}}' END AS git,
+CASE WHEN k % 3 = 1 THEN 'cli' END AS source_kind, NULL::VARCHAR AS provider, CASE WHEN k > 20 THEN k - 20 END AS context_window FROM u WHERE k % 10 < 3""")
+def thread_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts_of(_rollout(spark, sf_dir))
+
+
+@query(f"""WITH {USAGE_SQL}, l AS (SELECT 's' || session_id AS source_path, entry_id AS pos, k, k % 10 < 3 AS meta FROM u WHERE k % 10 <> 9)
+SELECT source_path, pos, CASE WHEN meta THEN 'session_meta' ELSE 'event_msg' END AS record_type, CASE WHEN NOT meta THEN 'call' END AS event_type, CASE WHEN NOT meta THEN k::VARCHAR END AS turn_id, CASE WHEN NOT meta THEN 'c' || pos END AS call_id,
+  last_value(CASE WHEN meta THEN 't' || pos END IGNORE NULLS) OVER (PARTITION BY source_path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS thread_id, CASE WHEN NOT meta THEN '{{"b":{{"a":2,"z":1}},"call_id":"c' || pos || '","turn_id":"' || k || '","type":"call"}}' END AS payload FROM l""")
+def physical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a rollout with its canonical payload; of lines that begin a thread the payload is left to ``thread_facts``."""
+    e = events_of(_rollout(spark, sf_dir)).drop("ts")
+    return e.withColumn("payload", F.when(F.col("record_type") != "session_meta", F.col("payload")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_document
+
 LIMIT = "struct<used_percent double, window_minutes int, resets_at bigint>"
 ROLLOUT_LINE = (
     "timestamp string, type string, payload struct<type string, id string, model string, turn_id string, parent_thread_id string, "
@@ -58,6 +60,42 @@ def accounting(rollouts: DataFrame) -> DataFrame:
     return out.where("ts is not null and session_id is not null")
 
 
+META = (
+    "timestamp string, type string, payload struct<type string, id string, session_id string, forked_from_id string, cwd string, git string, source string, thread_source string, "
+    "model_provider string, context_window bigint, turn_id string, call_id string>")
+# Fixed value: whose thread it is if nothing says.
+THREAD_OF = "user"
+
+
+def _said(x: Column) -> Column:
+    return F.when(F.trim(x) != "", x)
+
+
+def thread_facts(lines: DataFrame) -> DataFrame:
+    """(source_path, pos, thread_id, thread_source, parent_id, cwd, git, source_kind, provider, context_window) of the lines (source_path, pos, value) that begin a thread. The source is what is stated, or the only key of an
+    object that names where the thread came from, else a person's; objects are canonical."""
+    j = F.from_json("value", META)
+    p = F.col("j.payload")
+    keys = F.when(p.source.startswith("{"), F.json_object_keys(p.source))
+    only = F.when(F.size(keys) == 1, _said(F.try_element_at(keys, F.lit(1))))
+    stated = F.when(~p.thread_source.startswith("{"), _said(p.thread_source))
+    rows = lines.withColumn("j", j).where("j.type = 'session_meta' and j.payload is not null")
+    return rows.select(
+        "source_path", "pos", F.coalesce(_said(p.session_id), _said(p.id)).alias("thread_id"), F.coalesce(stated, only, F.lit(THREAD_OF)).alias("thread_source"), _said(p.forked_from_id).alias("parent_id"), _said(p.cwd).alias("cwd"),
+        F.when(p.git.startswith("{"), canonical_document(p.git)).alias("git"), F.when(~p.source.startswith("{"), _said(p.source)).alias("source_kind"), _said(p.model_provider).alias("provider"), F.when(p.context_window > 0, p.context_window).alias("context_window"))
+
+
+def physical_events(lines: DataFrame) -> DataFrame:
+    """(source_path, pos, ts, record_type, event_type, turn_id, call_id, thread_id, payload): a row for every line that is a JSON object, with its canonical payload and the thread that the file's latest
+    beginning before it, or itself, names."""
+    j = F.from_json("value", META)
+    whole = F.try_parse_json("value")
+    rows = lines.withColumn("j", j).withColumn("_p", F.to_json(F.try_variant_get(whole, "$.payload", "variant"))).where(F.ltrim("value").startswith("{") & whole.isNotNull())
+    begun = F.when(F.col("j.type") == "session_meta", F.coalesce(_said(F.col("j.payload.session_id")), _said(F.col("j.payload.id"))))
+    w = Window.partitionBy("source_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("source_path", "pos", F.try_to_timestamp("j.timestamp").alias("ts"), F.col("j.type").alias("record_type"), F.col("j.payload.type").alias("event_type"), F.col("j.payload.turn_id").alias("turn_id"), F.col("j.payload.call_id").alias("call_id"), F.last(begun, True).over(w).alias("thread_id"), F.col("_p").alias("payload"))
+
+
 def quota_observations(rollouts: DataFrame) -> DataFrame:
     """(source_path, pos, ts, slot, used_percent, window_minutes, resets_at): one row per slot of a line's limits; each number is the
     direct one if it is valid, else the one in the line's info. Slots without a valid number of each kind are left out."""
