@@ -1,7 +1,12 @@
 """Drops that wait for every source, against a plain machine that keeps whole histories."""
 
+import datetime as dt
+import json
+import os
 import random
+from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from meterlake.operators import consensus as C
@@ -165,3 +170,25 @@ def test_batch_and_stream_equal_the_machine(spark, traces, tmp_path):
     finally:
         spark.conf.unset(key)
     assert sorted(map(str, spark.read.schema(C.DECISION).parquet(str(tmp_path / "out")).collect())) == got
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_the_query_equals_the_plain_machine(spark):
+    from meterlake.plans import catalogue
+
+    traces = defaultdict(list)
+    events = pq.read_table("/root/testdata/sf0.001/events.parquet").to_pylist()
+    for e in sorted(events, key=lambda e: e["event_id"]):
+        k, at, i = json.loads(e["props"])["k"], int(e["ts"].replace(tzinfo=dt.UTC).timestamp()), e["event_id"]
+        week, percent, rows = at // 604_800, float(k % 6 * 10), traces[e["user_id"] % 9]
+        rows.append((i * 4, reading(f"s{e['user_id'] % 4}", at, percent, key=week, raw=week * 10 + k % 3)))
+        if e["event_type"] == "purchase":
+            rows.append((i * 4 + 1, published(percent, key=week, generation=i % 3, raw=week * 10)))
+        if e["event_type"] == "error":
+            rows.append((i * 4 + 2, {"kind": "tombstone", "state": ["inflight", "committed", "none"][k % 3], "through": at - 20}))
+        rows.append((i * 4 + 3, tick(at)))
+    want = []
+    for axis, rows in traces.items():
+        ticks = [seq for seq, r in rows if r["kind"] == "tick"]
+        want += [(axis, seq, *d) for seq, d in zip(ticks, plain([r for _, r in rows]))]
+    assert sorted(map(str, (tuple(r) for r in catalogue.QUERIES["pending_drops"](spark, "/root/testdata/sf0.001").collect()))) == sorted(map(str, want))
