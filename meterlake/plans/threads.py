@@ -9,6 +9,7 @@ from ..functions import text as texts
 from ..functions.text import bounded_json
 from ..operators import conversations
 from ..operators.segments import segments
+from ..sources.logs import message_rows
 from ..sources.logs import physical_events as events_of
 from ..sources.logs import thread_facts as facts_of
 from ..sources.tables import table
@@ -134,3 +135,17 @@ def physical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a rollout with its canonical payload; of lines that begin a thread the payload is left to ``thread_facts``."""
     e = events_of(_rollout(spark, sf_dir)).drop("ts")
     return e.withColumn("payload", F.when(F.col("record_type") != "session_meta", F.col("payload")))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'meta' WHEN 2 THEN 'meta' WHEN 3 THEN 'human' ELSE 'queued' END AS kind, md5(CASE turn % 7 WHEN 1 THEN 'done: ' || text WHEN 2 THEN '<bash-input>' || text || '</bash-input>' ELSE text END) AS text FROM conversations WHERE turn % 7 <> 4 AND trim(text) <> ''""")
+def queued_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as lines of a conversation, most of them queued while the other side was busy, and read back."""
+    c, k, t = table(spark, sf_dir, "conversations"), F.col("turn") % 7, F.col("text")
+    prompt = F.when(k == 1, F.concat(F.lit("done: "), t)).when(k == 2, F.concat(F.lit("<bash-input>"), t, F.lit("</bash-input>"))).when(k == 5, F.concat(F.lit("<system-reminder>Message sent at 10:00 UTC.</system-reminder> "), t)).otherwise(t)
+    attachment = F.struct(F.when(k == 4, "file").otherwise("queued_command").alias("type"), F.when(k == 1, "task-notification").otherwise("prompt").alias("commandMode"), prompt.alias("prompt"))
+    id_ = F.concat_ws(":", "conv_id", "turn").alias("uuid")
+    queued = F.to_json(F.struct(F.lit("attachment").alias("type"), id_, attachment.alias("attachment")))
+    plain = F.to_json(F.struct(F.lit("user").alias("type"), id_, F.struct(F.lit("user").alias("role"), t.alias("content")).alias("message")))
+    lines = c.where("trim(text) <> ''").select(F.lit("f").alias("source_path"), F.when(k == 3, plain).otherwise(queued).alias("line"))
+    at = F.split("uuid", ":")
+    return message_rows(lines).select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "kind", F.md5("text").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_document
+from ..functions.text import canonical_document, strip_sent, wrapper_kind
 
 LIMIT = "struct<used_percent double, window_minutes int, resets_at bigint>"
 ROLLOUT_LINE = (
@@ -130,15 +130,25 @@ def append_journal(records: DataFrame, path: str) -> None:
 
 def message_rows(lines: DataFrame) -> DataFrame:
     """(source_path, uuid, parent_uuid, ts, kind, text) of conversation lines; the first kind that fits: meta, tool_result, human,
-    assistant. A line's text is the concatenation of its text blocks."""
-    schema = "type string, timestamp string, uuid string, parentUuid string, isMeta boolean, isSidechain boolean, message struct<role string, content string>"
+    assistant; and queued for what a person typed while the other side was busy, which comes as an attachment of its own. What only
+    wraps commands, notifications, echoes or summaries is meta wherever it stands. A line's text is the concatenation of its text blocks, without a note of when it was sent."""
+    schema = (
+        "type string, timestamp string, uuid string, parentUuid string, isMeta boolean, isSidechain boolean, message struct<role string, content string>, "
+        "attachment struct<type string, commandMode string, prompt string>")
     j = F.from_json("line", schema)
+    none = F.array().cast("array<struct<type:string,text:string>>")
     blocks = F.from_json(F.col("j.message.content"), "array<struct<type string, text string>>")
-    m = lines.withColumn("j", j).where("j.type in ('user', 'assistant')").withColumn("blocks", blocks)
-    has_result = F.exists(F.coalesce("blocks", F.array().cast("array<struct<type:string,text:string>>")), lambda b: b.type == "tool_result")
-    text = F.when(F.col("j.message.content").startswith("["), F.array_join(F.transform(F.filter("blocks", lambda b: b.type == "text"), lambda b: b.text), "\n")).otherwise(F.col("j.message.content"))
-    kind = F.when(F.coalesce("j.isMeta", F.lit(False)), "meta").when(has_result, "tool_result").when(F.col("j.type") == "user", "human").otherwise("assistant")
-    return m.select("source_path", F.col("j.uuid").alias("uuid"), F.col("j.parentUuid").alias("parent_uuid"), F.try_to_timestamp("j.timestamp").alias("ts"), kind.alias("kind"), F.coalesce(text, F.lit("")).alias("text"))
+    mode, prompt = F.col("j.attachment.commandMode"), F.col("j.attachment.prompt")
+    queued = (F.col("j.type") == "attachment") & F.col("j.uuid").isNotNull() & (F.col("j.attachment.type") == "queued_command") & mode.isin("prompt", "task-notification") & (F.trim(prompt) != "")
+    m = lines.withColumn("j", j).withColumn("_queued", F.coalesce(queued, F.lit(False))).where("j.type in ('user', 'assistant') or _queued").withColumn("blocks", blocks)
+    has_result = F.exists(F.coalesce("blocks", none), lambda b: b.type == "tool_result")
+    own = F.when(F.col("j.message.content").startswith("["), F.array_join(F.transform(F.filter("blocks", lambda b: b.type == "text"), lambda b: b.text), "\n")).otherwise(F.col("j.message.content"))
+    typed = F.col("_queued") | (F.col("j.type") == "user")
+    text = F.coalesce(F.when(F.col("_queued"), prompt).otherwise(own), F.lit(""))
+    text = F.when(typed, strip_sent(text)).otherwise(text)
+    wrapped = typed & wrapper_kind(text).isNotNull() | F.col("_queued") & (mode == "task-notification")
+    kind = (F.when(F.coalesce("j.isMeta", F.lit(False)), "meta").when(has_result, "tool_result").when(wrapped, "meta").when(F.col("_queued"), "queued").when(F.col("j.type") == "user", "human").otherwise("assistant"))
+    return m.select("source_path", F.col("j.uuid").alias("uuid"), F.col("j.parentUuid").alias("parent_uuid"), F.try_to_timestamp("j.timestamp").alias("ts"), kind.alias("kind"), text.alias("text"))
 
 
 def envelope(rows: DataFrame, version: int = 1) -> DataFrame:
