@@ -185,6 +185,17 @@ def prompts(turns: DataFrame) -> DataFrame:
     return classify(turns).where("kind = 'prompt'").select("conv_id", "turn", F.row_number().over(w).alias("n"))
 
 
+def nearest_root(rows: DataFrame, roots: DataFrame, cwd: str = "cwd") -> DataFrame:
+    """Adds ``root`` to rows with a working directory: the innermost of ``roots`` (root) that is the directory itself or above it, null if none is. Every directory is cut into those
+    above it once, and these are met by an equality; slashes at the end don't count."""
+    parts = F.split("_cwd", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when((n == 1) & (parts[0] == ""), "/").otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    dirs = rows.select(F.col(cwd).alias("_dir")).where("_dir <> ''").distinct().withColumn("_cwd", F.regexp_replace("_dir", "(?<=.)/+$", ""))
+    known = roots.select(F.regexp_replace("root", "(?<=.)/+$", "").alias("_root")).where("_root is not null").distinct()
+    best = dirs.select("_dir", F.explode(above).alias("_root")).join(known, "_root").groupBy("_dir").agg(F.max_by("_root", F.length("_root")).alias("root"))
+    return rows.join(best, F.col(cwd) == F.col("_dir"), "left").drop("_dir")
+
+
 def browse(turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per session of (conv_id, ts, cwd, branch, model, main): latest branch that is known, models, main ones first, by name,
     null if none; ``roots`` (cwd, root) names projects, as the file system cannot be asked from a task."""

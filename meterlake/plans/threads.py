@@ -149,3 +149,16 @@ def queued_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = c.where("trim(text) <> ''").select(F.lit("f").alias("source_path"), F.when(k == 3, plain).otherwise(queued).alias("line"))
     at = F.split("uuid", ":")
     return message_rows(lines).select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "kind", F.md5("text").alias("text"))
+
+
+_ROOTS = ["/home/u0", "/home/u0/p1/", "/home/u1/p2/src", "/home/u2/p3/s", "/home/u3", "/home/u3/p4/src/m1"]
+
+
+@query(f"""WITH {USAGE_SQL}, c AS (SELECT entry_id, '/home/u' || session_id % 5 || '/p' || project || CASE WHEN k % 3 > 0 THEN '/src/m' || k % 4 ELSE '/' END AS cwd FROM u), r(root) AS (VALUES {', '.join(f"('{r.rstrip('/')}')" for r in _ROOTS)}),
+m AS (SELECT entry_id, arg_max(root, length(root)) AS root FROM c JOIN r ON rtrim(cwd, '/') = root OR starts_with(cwd, root || '/') GROUP BY 1) SELECT entry_id, root FROM c LEFT JOIN m USING (entry_id)""")
+def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost repository root above each entry's directory."""
+    tail = F.when(F.col("k") % 3 > 0, F.concat(F.lit("/src/m"), F.col("k") % 4)).otherwise("/")
+    rows = usage(spark, sf_dir).select("entry_id", F.concat(F.lit("/home/u"), F.col("session_id") % 5, F.lit("/p"), "project", tail).alias("cwd"))
+    values = ", ".join(f"('{r}')" for r in _ROOTS)
+    return conversations.nearest_root(rows, spark.sql(f"select * from values {values} as t(root)")).select("entry_id", "root")

@@ -157,3 +157,13 @@ def test_headings_and_diffs(spark):
     diffs = ["@@ -1 +1 @@\n-a\n+b", "@@ -1,2 +1,1 @@\n--- x\n same\n+ after", "no hunk\n+x", "", None, "@@ -0,0 +1,2 @@\n+a\n+b\n\\ No newline\n@@ -5,1 +6,0 @@\n-z"]
     counts = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(i, d) for i, d in enumerate(diffs)], "i int, d string").orderBy("i").select(text.diff_counts(F.col("d"))).collect()]
     assert counts == [(1, 1), (0, 1), None, None, None, (2, 1)]
+
+
+def test_the_innermost_root_above_a_directory(spark):
+    roots = spark.createDataFrame([("/a",), ("/a/b/",), ("/a/b/c",), ("/",), ("rel/x",), (None,)], "root string")
+    cases = {"/a": "/a", "/a/": "/a", "/a/b": "/a/b", "/a/bc": "/a", "/a/b/c/d/e": "/a/b/c", "/z": "/", "rel/x/y": "rel/x", "rel": None, None: None, "": None, "/": "/"}
+    rows = spark.createDataFrame([(c, 1) for c in cases] * 2, "cwd string, n int")
+    got = conversations.nearest_root(rows, roots)
+    assert {r["cwd"]: r["root"] for r in got.collect()} == cases and got.count() == 2 * len(cases) and got.columns == ["cwd", "n", "root"]
+    bare = conversations.nearest_root(rows, roots.where("root <> '/'")).where("cwd in ('/', '/z')").collect()
+    assert all(r["root"] is None for r in bare)
