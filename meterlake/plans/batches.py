@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import events
+from ..operators.ranks import checkpointed
 from .registry import USAGE_SQL, query, usage
 
 
@@ -62,7 +63,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rev DESC, seq) AS n,
 SELECT id, rev, seq, digest, conflict FROM w WHERE n = 1 AND status = 'active'""")
 def batched_effective_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective events where batches count as a whole or not at all, read in three increments."""
-    loose, rows = _records(spark, sf_dir)
+    loose, rows = (checkpointed(r) for r in _records(spark, sf_dir))  # read by each increment
     a = b = None
     for n in range(3):
         a, b = events.loose_state(loose.where(f"seq % 3 = {n}"), a), events.batch_state(rows.where(f"seq % 3 = {n}"), b)
